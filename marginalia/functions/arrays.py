@@ -65,3 +65,40 @@ def positions(texts: Column) -> Column:
         return place(a["line"] + b["line"], F.when(b["line"] > 0, b["col"]).otherwise(a["col"] + b["col"]))
 
     return exclusive_scan(moves, place(F.lit(0), F.lit(0)), then, "struct<line:int,col:int>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    An array that a lambda looks into by index must be bound like this: written into the
+    lambda as it is, the optimizer may repeat the expression for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def flags_at(size: Column, places: Column) -> Column:
+    """ARRAY<BOOLEAN> of ``size`` entries, true at the 1-based ``places`` (NULL: none).
+
+    One sort instead of a search per entry: every place sorts directly before the entry
+    it points at.
+    """
+    entries = F.transform(
+        F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("at"), F.lit(1).alias("entry"))
+    )
+    asked = F.transform(
+        F.coalesce(places, F.array().cast("array<int>")),
+        lambda p: F.struct(p.cast("int").alias("at"), F.lit(0).alias("entry")),
+    )
+
+    def pair(ordered: Column) -> Column:
+        before = F.concat(F.slice(ordered, 1, 1), ordered)
+        return F.zip_with(
+            F.slice(before, F.lit(1), F.size(ordered)),
+            ordered,
+            lambda b, o: F.struct(
+                o["entry"].alias("entry"), ((b["entry"] == 0) & (b["at"] == o["at"])).alias("hit")
+            ),
+        )
+
+    merged = let(F.sort_array(F.concat(entries, asked)), pair)
+    return F.transform(F.filter(merged, lambda x: x["entry"] == 1), lambda x: x["hit"])

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
-from ..functions.langs import family_of
-from ..functions.text import TAG, eol_of, is_blank, join_lines, trim_end
+from ..functions.arrays import flags_at
+from ..functions.text import BLANK_NO_LF, TAG, eol_of, is_blank, join_lines, split_lines, trim, trim_end
 from .lexed import MARKED, with_marked, with_segments
 from .lines import (
     comment_start,
@@ -24,8 +24,6 @@ from .lines import (
     starts_in_block,
 )
 
-_LINES = "__lines"
-
 
 def strip_inline(text: Column, start: Column) -> Column:
     """``text`` without the comment that starts at 0-based column ``start``.
@@ -144,3 +142,119 @@ def stripped_lines(files: DataFrame, tag: str | None = None) -> DataFrame:
     return lexed.select("path", F.posexplode(survivors).alias("pos", "line")).select(
         "path", (F.col("pos") + 1).alias("out_line"), "line.orig_line", "line.text"
     )
+
+
+# -- strict policy ------------------------------------------------------------------
+_GONE = lexing.COMMENT  # stands for removed comment text, one per line it was on
+_BLANKS = rf"[{BLANK_NO_LF}]"
+_ESCAPES = [(lexing.STAYS, lexing.STAYS + "?"), (lexing.COMMENT, lexing.STAYS + "!")]
+
+
+def code_with_gaps(segments: Column) -> Column:
+    """The text with every comment replaced by one stand-in per line it covers."""
+
+    def part(s: Column) -> Column:
+        code, comment = s["code"], s["comment"]
+        for plain, escaped in _ESCAPES:
+            code = F.replace(code, F.lit(plain), F.lit(escaped))
+        n_lf = F.length(comment) - F.length(F.replace(comment, F.lit("\n"), F.lit("")))
+        gap = F.concat(F.lit(_GONE), F.repeat(F.lit("\n" + _GONE), n_lf))
+        kept = (comment == "") | F.startswith(comment, F.lit("#!"))
+        return F.concat(code, F.when(kept, comment).otherwise(gap))
+
+    return F.array_join(F.transform(segments, part), "")
+
+
+def _unescaped(text: Column) -> Column:
+    for plain, escaped in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return text
+
+
+def strict_prune(files: DataFrame, content: str = "content", output: str = "content") -> DataFrame:
+    """Removes exactly the comment text: no code and no string content goes with it.
+
+    Lines on which nothing but comment stood go entirely, blanks in front of a comment
+    that ends its line go too, and words that a comment kept apart get a space. Row-local.
+    """
+    gaps = F.concat(F.lit("\n"), code_with_gaps(F.col("segments")))
+    words = r"[\p{L}\p{N}_$]"
+    text = F.regexp_replace(gaps, rf"\n{_BLANKS}*+{_GONE}(?:{_GONE}|{_BLANKS})*+(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"(?<!{_BLANKS}){_BLANKS}*+{_GONE}++(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"(?<={words}){_GONE}++(?={words})", " ")
+    text = _unescaped(F.replace(text, F.lit(_GONE), F.lit("")))
+    text = F.substring(text, F.lit(2), F.length(text))
+    eol = eol_of(F.col(content))
+    text = F.when(eol == "\r\n", F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
+    return with_segments(files, content).withColumn(output, text).drop("segments")
+
+
+# -- explicit deletions -------------------------------------------------------------
+def line_requests(files: DataFrame, requests: DataFrame, past_end: int) -> DataFrame:
+    """Requests whose ``line`` exists in their file, up to ``past_end`` lines behind it."""
+    sizes = files.select("path", F.size(split_lines(F.col("content"))).alias("__n"))
+    return requests.join(sizes, "path").where(F.col("line").between(1, F.col("__n") + past_end)).drop("__n")
+
+
+def _looks_like_comment(text: Column, m: Column) -> Column:
+    """What an explicit deletion may delete (the safety block)."""
+    visible = trim(text)
+    looks = starts_in_block(m) | is_pure_comment(text, m)
+    for opening in ("//", "/*", "*", "#", "<!--", "-->", "--"):  # fixed values
+        looks = looks | F.startswith(visible, F.lit(opening))
+    return looks | F.endswith(visible, F.lit("*/"))
+
+
+def apply_deletions(
+    files: DataFrame, deletions: DataFrame, tag: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Strips like prune (``tag`` None) or clean, and deletes the requested lines too.
+
+    deletions(path, line). Only lines that look like comment are deleted. Returns the
+    files and refused(path, line, text), the requests that would have deleted code.
+    """
+    # Distinct existing lines: no more of them per file than the file has lines.
+    asked = (
+        line_requests(files, deletions.select("path", "line"), 0)
+        .distinct()
+        .groupBy("path")
+        .agg(F.collect_list(F.col("line").cast("int")).alias("__asked"))
+    )
+    text = F.col("content")
+    lexed = with_marked(files.join(asked, "path", "left"))
+    pairs = line_array(text, _tagged_marked(F.col(MARKED), tag))
+    judged = F.zip_with(
+        pairs,
+        flags_at(F.size(split_lines(text)), F.col("__asked")),
+        lambda p, asked_for: F.struct(
+            p["text"].alias("text"),
+            stripped_line(p["text"], p["m"], tag).alias("kept"),
+            (asked_for & (p["text"] != "") & ~is_shebang(p["text"])).alias("asked"),
+            _looks_like_comment(p["text"], p["m"]).alias("safe"),
+        ),
+    )
+    judged_files = lexed.withColumn("__judged", judged)
+    result = F.transform(
+        F.col("__judged"), lambda j: F.when(~F.coalesce(j["asked"] & j["safe"], F.lit(False)), j["kept"])
+    )
+    out = judged_files.withColumn("content", join_lines(result, eol_of(text)))
+    refused = (
+        judged_files.where(F.col("__asked").isNotNull())
+        .select("path", F.posexplode("__judged").alias("pos", "j"))
+        .where(F.col("j.asked") & ~F.col("j.safe"))
+        .select("path", (F.col("pos") + 1).alias("line"), "j.text")
+    )
+    return out.drop(MARKED, "__asked", "__judged"), refused
+
+
+# -- dry run ------------------------------------------------------------------------
+def preview(files: DataFrame, rewrite) -> DataFrame:
+    """(path, before, after) of the files a rewrite would change; nothing is written.
+
+    ``rewrite`` maps files to files and adds the new text as column ``after``.
+    """
+    return (
+        rewrite(files)
+        .select("path", F.col("content").alias("before"), "after")
+        .where(F.col("before") != F.col("after"))
+    )
