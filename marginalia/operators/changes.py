@@ -5,12 +5,13 @@ revisions(path, ext, commit_id, commit_ts, message, content).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ignore import drop_ignored_commit, with_ext
 from ..functions.langs import EXTENSIONS
+from ..sources.ignore import drop_ignored_commit, with_ext
 from .strip import prune
+from .windows import lag_in_buckets
 
 OWN_SUBJECT = "docs: auto-generated comments"
 
@@ -29,30 +30,9 @@ def changed_files(revisions: DataFrame, commit_id: int | None = None) -> DataFra
 def with_previous(
     revisions: DataFrame, columns: list[str], bucket_seconds: int = 86_400
 ) -> DataFrame:
-    """Adds ``prev_<column>`` from the revision before, by (commit_ts, commit_id).
-
-    A window over a path alone would put all revisions of a busy file into one task. The
-    lag is taken inside buckets of commit time; the first revision of a bucket gets the
-    last one of the nearest earlier bucket from a table with one row per bucket.
-    """
-    order = ["commit_ts", "commit_id"]
+    """Adds ``prev_<column>`` from the revision before, by (commit_ts, commit_id)."""
     slot = F.floor(F.unix_seconds("commit_ts") / bucket_seconds)
-    bucketed = revisions.withColumn("__bucket", F.coalesce(slot, F.lit(-(2**62))))
-    inside = Window.partitionBy("path", "__bucket").orderBy(*order)
-    here = F.struct(*columns)
-    marked = bucketed.withColumn("__before", F.lag(here).over(inside))
-    lasts = (
-        bucketed.groupBy("path", "__bucket")
-        .agg(F.max_by(here, F.struct(*order)).alias("__last"))
-        .withColumn("__carried", F.lag("__last").over(Window.partitionBy("path").orderBy("__bucket")))
-        .select("path", "__bucket", "__carried")
-    )
-    joined = marked.join(lasts, ["path", "__bucket"])
-    # lag() has no row before the first one of a bucket, and only there
-    before = F.coalesce("__before", "__carried")
-    return joined.select(
-        *revisions.columns, *[before[c].alias(f"prev_{c}") for c in columns]
-    )
+    return lag_in_buckets(revisions, "path", ["commit_ts", "commit_id"], slot, columns)
 
 
 def code_digests(revisions: DataFrame) -> DataFrame:

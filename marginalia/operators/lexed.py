@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,74 +13,93 @@ from .deep_nesting import lex_nested
 
 _NESTED_EXT = [ext for ext, family, _ in LANGUAGES if family in NESTED_FAMILIES]
 _TOKENS = "__tokens"
-FAMILY = "__family"
+_FAMILY = "__family"
 MARKED = "__marked"
 
 
-def _split_by_depth(files: DataFrame, content: str) -> tuple[DataFrame, DataFrame]:
-    """(rows the patterns lex exactly, rows that need the fallback).
+class PatternLexer:
+    """Lexes with the family patterns; exact for all files but very deeply nested ones."""
 
-    The second branch reads only the extensions with nesting comments, and only those
-    rows with very many comment openings leave the JVM.
-    """
-    files = files.withColumn(FAMILY, family_of(F.col("ext")))
-    deep = lexing.too_deep(F.col(content), F.col(FAMILY))
-    return files.where(~deep), files.where(F.col("ext").isin(*_NESTED_EXT) & deep)
+    def _lex(self, files, content, output, by_pattern, by_tokens, tail=""):
+        return files.withColumn(output, by_pattern(F.col(content), family_of(F.col("ext"))))
 
+    def marked(
+        self, files: DataFrame, content: str = "content", when: Column | None = None
+    ) -> DataFrame:
+        """Adds the marked text (see ``functions.lexing``); NULL where ``when`` is false.
+
+        ``when`` saves the lexing of rows whose result is known without it.
+        """
+
+        def guarded(build):
+            return lambda x, family: build(x, family) if when is None else F.when(when, build(x, family))
+
+        return self._lex(
+            files,
+            content,
+            MARKED,
+            guarded(lexing.marked_text),
+            guarded(lexing.marked_from_tokens),
+            tail="\n",
+        )
+
+    def segments(self, files: DataFrame, content: str = "content") -> DataFrame:
+        """Adds ``segments`` ARRAY<STRUCT<code, comment>>."""
+        return self._lex(
+            files, content, "segments", lexing.segments, lexing.segments_from_tokens
+        )
+
+    def tokens(self, files: DataFrame, content: str = "content") -> DataFrame:
+        """Adds ``tokens`` ARRAY<STRUCT<kind, text>>: the text in order, nothing lost."""
+
+        def typed(tokens: Column, family: Column) -> Column:
+            return F.transform(
+                tokens,
+                lambda t: F.struct(lexing.token_kind(t, family).alias("kind"), t.alias("text")),
+            )
+
+        return self._lex(
+            files,
+            content,
+            "tokens",
+            lambda text, family: typed(lexing.tokens(text, family), family),
+            typed,
+        )
 
-def _lexed(
-    files: DataFrame, content: str, output: str, by_pattern: Column, by_tokens, tail=""
-) -> DataFrame:
-    """``by_pattern`` for ordinary rows, ``by_tokens`` over fallback tokens for the rest."""
-    shallow, deep = _split_by_depth(files, content)
-    shallow = shallow.withColumn(output, by_pattern)
-    deep = lex_nested(deep, content, FAMILY, _TOKENS, tail)
-    deep = deep.withColumn(output, by_tokens(F.col(_TOKENS), F.col(FAMILY)))
-    return shallow.unionByName(deep.drop(_TOKENS)).drop(FAMILY)
 
+class DeepLexer(PatternLexer):
+    """Lexes files of the nesting languages exactly at any depth (Arrow batches)."""
 
-def with_marked(files: DataFrame, content: str = "content", when: Column | None = None) -> DataFrame:
-    """Adds the marked text (see ``functions.lexing``); NULL where ``when`` is false.
+    def _lex(self, files, content, output, by_pattern, by_tokens, tail=""):
+        typed = files.withColumn(_FAMILY, family_of(F.col("ext")))
+        lexed = lex_nested(typed, content, _FAMILY, _TOKENS, tail)
+        return lexed.withColumn(output, by_tokens(F.col(_TOKENS), F.col(_FAMILY))).drop(
+            _TOKENS, _FAMILY
+        )
 
-    ``when`` saves the lexing of rows whose result is known without it.
+
+def by_depth(
+    files: DataFrame, build: Callable[[DataFrame, PatternLexer], DataFrame], content: str = "content"
+) -> DataFrame:
+    """``build(files, lexer)`` over ordinary and over deeply nested files, put together.
+
+    The second branch reads only the extensions with nesting comments, and only rows
+    with very many comment openings leave the JVM. Stripping never adds an opening, so a
+    pipeline that lexes its own output again stays in its branch.
     """
+    deep = lexing.too_deep(F.col(content), family_of(F.col("ext")))
+    ordinary = build(files.where(~deep), PatternLexer())
+    nested = build(files.where(F.col("ext").isin(*_NESTED_EXT) & deep), DeepLexer())
+    return ordinary.unionByName(nested)
 
-    def guarded(expr: Column) -> Column:
-        return expr if when is None else F.when(when, expr)
 
-    return _lexed(
-        files,
-        content,
-        MARKED,
-        guarded(lexing.marked_text(F.col(content), F.col(FAMILY))),
-        lambda tokens, family: guarded(lexing.marked_from_tokens(tokens, family)),
-        tail="\n",
-    )
+def with_marked(files: DataFrame, content: str = "content") -> DataFrame:
+    return by_depth(files, lambda f, lexer: lexer.marked(f, content), content)
 
 
 def with_segments(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``segments`` ARRAY<STRUCT<code, comment>>."""
-    return _lexed(
-        files,
-        content,
-        "segments",
-        lexing.segments(F.col(content), F.col(FAMILY)),
-        lexing.segments_from_tokens,
-    )
+    return by_depth(files, lambda f, lexer: lexer.segments(f, content), content)
 
 
 def with_tokens(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds ``tokens`` ARRAY<STRUCT<kind, text>>: all of the text in order, nothing lost."""
-
-    def typed(tokens: Column, family: Column) -> Column:
-        return F.transform(
-            tokens, lambda t: F.struct(lexing.token_kind(t, family).alias("kind"), t.alias("text"))
-        )
-
-    return _lexed(
-        files,
-        content,
-        "tokens",
-        typed(lexing.tokens(F.col(content), F.col(FAMILY)), F.col(FAMILY)),
-        typed,
-    )
+    return by_depth(files, lambda f, lexer: lexer.tokens(f, content), content)

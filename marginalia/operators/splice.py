@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.text import TAG, eol_of, split_lines, trim_start
-from .lexed import MARKED, with_marked
+from ..functions.text import TAG, eol_of, join_lines, split_lines, trim_start
+from .lexed import MARKED, PatternLexer, by_depth, with_marked
 from .lines import line_array, starts_in_string
-from .strip import clean, line_requests, prune
+from .strip import check_tag, clean, line_requests, prune, strip_with
 
 _CHUNK = 512
 
@@ -159,8 +159,9 @@ def merged_array(content: Column, marked: Column, blocks: Column) -> Column:
 
 
 def _with_blocks(files: DataFrame, suggestions: DataFrame, tag: str) -> DataFrame:
-    blocks = insertion_blocks(valid_suggestions(suggestions, files), tag)
-    return files.join(blocks, "path", "left")
+    # Lines that do not exist are dropped where the file's lines are at hand (see
+    # merged_array); testing them here would read and strip every file a second time.
+    return files.join(insertion_blocks(suggestions.where(F.col("line") >= 1), tag), "path", "left")
 
 
 def splice_merged(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
@@ -172,24 +173,28 @@ def splice_merged(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> D
 
 def rebuilt(merged: Column, content: Column) -> Column:
     """Text of merged lines with the line end of the original content."""
-    return F.call_function("array_join", F.transform(merged, lambda x: x["text"]), eol_of(content))
+    return join_lines(F.transform(merged, lambda x: x["text"]), eol_of(content))
 
 
-def splice(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
-    """Files with the suggested comments inserted, indented and tagged.
+def splice_with(lexer: PatternLexer, files: DataFrame) -> DataFrame:
+    """Inserts the ``blocks`` of each file.
 
-    Files without a valid suggestion are not lexed; only their line ends become uniform.
+    Files without blocks are not lexed; only their line ends become uniform.
     """
-    joined = _with_blocks(files, suggestions, tag)
-    lexed = with_marked(joined, when=F.col("blocks").isNotNull())
+    lexed = lexer.marked(files, when=F.col("blocks").isNotNull())
     text = F.col("content")
     new = rebuilt(merged_array(text, F.col(MARKED), F.col("blocks")), text)
-    same = F.call_function("array_join", split_lines(text), eol_of(text))
+    same = join_lines(split_lines(text), eol_of(text))
     return lexed.withColumn(
         "content", F.when(F.col("blocks").isNotNull(), new).otherwise(same)
     ).drop(MARKED, "blocks")
 
 
+def splice(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
+    """Files with the suggested comments inserted, indented and tagged."""
+    return by_depth(_with_blocks(files, suggestions, tag), lambda f, lexer: splice_with(lexer, f))
+
+
 def spliced_lines(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
     """out_lines(path, out_line, orig_line, text); orig_line is NULL for inserted lines."""
     return splice_merged(files, suggestions, tag).select(
@@ -213,4 +218,10 @@ def annotate(
 
     Lines of the suggestions refer to the stripped text.
     """
-    return splice(prepared(files, overwrite, keep, tag), suggestions, tag)
+    check_tag(tag)
+    stripped_tag = None if overwrite and not keep else tag
+
+    def build(f: DataFrame, lexer: PatternLexer) -> DataFrame:
+        return splice_with(lexer, strip_with(lexer, f, stripped_tag, "content", "content"))
+
+    return by_depth(_with_blocks(files, suggestions, tag), build)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexing
 from ..functions.arrays import flags_at
 from ..functions.text import BLANK_NO_LF, TAG, eol_of, is_blank, join_lines, split_lines, trim, trim_end
-from .lexed import MARKED, with_marked, with_segments
+from .lexed import MARKED, PatternLexer, by_depth, with_marked, with_segments
 from .lines import (
     comment_start,
     ends_in_block,
@@ -98,11 +98,13 @@ def _whole_lines(content: Column) -> Column:
     ).otherwise(content)
 
 
-def _strip(files: DataFrame, tag: str | None, content: str, output: str) -> DataFrame:
+def strip_with(
+    lexer: PatternLexer, files: DataFrame, tag: str | None, content: str, output: str
+) -> DataFrame:
     text = F.col(content)
     # clean leaves a file without the tag as it is, so it need not be lexed
     relevant = None if tag is None else F.contains(text, F.lit(tag))
-    lexed = with_marked(files, content, relevant)
+    lexed = lexer.marked(files, content, relevant)
     result = join_lines(stripped_array(text, F.col(MARKED), tag), eol_of(text))
     if relevant is not None:
         result = F.when(relevant, result).otherwise(_whole_lines(text))
@@ -117,16 +119,20 @@ def prune(
         return strict_prune(files, content, output)
     if policy != "compat":
         raise ValueError(f"unknown policy {policy!r}")
-    return _strip(files, None, content, output)
+    return by_depth(files, lambda f, lexer: strip_with(lexer, f, None, content, output), content)
 
 
 def clean(
     files: DataFrame, tag: str = TAG, content: str = "content", output: str = "content"
 ) -> DataFrame:
     """Files without tagged comments."""
+    check_tag(tag)
+    return by_depth(files, lambda f, lexer: strip_with(lexer, f, tag, content, output), content)
+
+
+def check_tag(tag: str) -> None:
     if not tag or any(c in tag for c in "\n" + lexing.MARKS):
         raise ValueError("the tag has to be visible text on one line")
-    return _strip(files, tag, content, output)
 
 
 def stripped_lines(files: DataFrame, tag: str | None = None) -> DataFrame:
@@ -251,10 +257,10 @@ def apply_deletions(
 def preview(files: DataFrame, rewrite) -> DataFrame:
     """(path, before, after) of the files a rewrite would change; nothing is written.
 
-    ``rewrite`` maps files to files and adds the new text as column ``after``.
+    ``rewrite`` maps files to files and adds the new text as column ``after``. The
+    comparison sits inside the explode: as a filter it would be pushed below the rewrite
+    and run the whole rewrite a second time.
     """
-    return (
-        rewrite(files)
-        .select("path", F.col("content").alias("before"), "after")
-        .where(F.col("before") != F.col("after"))
-    )
+    pair = F.struct(F.col("content").alias("before"), F.col("after"))
+    changed = F.filter(F.array(pair), lambda p: p["before"] != p["after"])
+    return rewrite(files).select("path", F.explode(changed).alias("p")).select("path", "p.before", "p.after")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
 from ..functions.text import TAG, is_blank
-from .lexed import MARKED, with_marked, with_segments
+from .lexed import MARKED, by_depth, with_marked
 from .lines import is_pure_comment, line_array, starts_in_string
 from .splice import rebuilt, splice_merged
-from .strip import code_with_gaps, clean, stripped_array
+from .strip import clean, code_with_gaps, stripped_array
+from .windows import lag_in_buckets
 
 
 def verify_lines(before: DataFrame, out_lines: DataFrame, mode: str = "splice", tag: str = TAG) -> DataFrame:
@@ -45,28 +46,13 @@ def verify_lines(before: DataFrame, out_lines: DataFrame, mode: str = "splice",
 def verify_order(out_lines: DataFrame, chunk: int = 4096) -> DataFrame:
     """violations(path, out_line, orig_line, previous): original order not kept.
 
-    Done in two levels so that one very long output does not end up in one task: inside
-    chunks of the output by ``lag``, across chunks by the largest line of earlier ones.
+    Compared in chunks of the output, so that one very long output is many groups.
     """
-    kept = out_lines.where(F.col("orig_line").isNotNull()).withColumn(
-        "chunk", F.floor(F.col("out_line") / chunk)
-    )
-    inside = Window.partitionBy("path", "chunk").orderBy("out_line")
-    marked = kept.withColumn("previous", F.lag("orig_line").over(inside))
-    tops = (
-        kept.groupBy("path", "chunk")
-        .agg(F.max_by("orig_line", "out_line").alias("last"))
-        .withColumn("carried", F.lag("last").over(Window.partitionBy("path").orderBy("chunk")))
-        .select("path", "chunk", "carried")
-    )
-    first = marked.where(F.col("previous").isNull()).join(tops, ["path", "chunk"])
-    across = first.where(F.col("orig_line") <= F.col("carried")).select(
-        "path", "out_line", "orig_line", F.col("carried").alias("previous")
-    )
-    return (
-        marked.where(F.col("orig_line") <= F.col("previous"))
-        .select("path", "out_line", "orig_line", "previous")
-        .unionByName(across)
+    kept = out_lines.where(F.col("orig_line").isNotNull()).select("path", "out_line", "orig_line")
+    slot = F.floor(F.col("out_line") / chunk)
+    compared = lag_in_buckets(kept, "path", ["out_line"], slot, ["orig_line"])
+    return compared.where(F.col("orig_line") <= F.col("prev_orig_line")).select(
+        "path", "out_line", "orig_line", F.col("prev_orig_line").alias("previous")
     )
 
 
@@ -93,7 +79,7 @@ def verify_roundtrip(before: DataFrame, after: DataFrame, tag: str = TAG) -> Dat
 def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
     """(path, line_no, text): lines that compat stripping deletes though they hold code
     or string content."""
-    lexed = with_segments(with_marked(files))
+    lexed = by_depth(files, lambda f, lexer: lexer.segments(lexer.marked(f)))
     text = F.col("content")
     lines = F.arrays_zip(
         line_array(text, F.col(MARKED)).alias("line"),

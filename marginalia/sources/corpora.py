@@ -9,6 +9,7 @@ size and its cost follow the table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.langs import EXTENSIONS
 
@@ -90,7 +91,7 @@ FROM (SELECT *, {_part_source()} AS body FROM ({_PART_ROWS}) AS c) AS d
 """
 
 # Orders: between one and six steps each, in six languages.
-_ORDER_EXT = _cases("k % 6", ["'.java'", "'.go'", "'.ts'", "'.py'", "'.rs'", "'.php'"])
+_ORDER_EXT = _cases("k % 6", ["'.java'", "'.go'", "'.dart'", "'.py'", "'.scss'", "'.php'"])
 _ORDER_TOKEN = "CASE WHEN ext = '.py' THEN '# ' ELSE '// ' END"
 
 
@@ -285,4 +286,10 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, table = CORPORA[name]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     sql = sql.replace("{", "{{").replace("}", "}}")  # braces here are text, not fields
-    return spark.sql(f"WITH {table} AS (SELECT * FROM {{source}}) {sql}", source=source)
+    df = spark.sql(f"WITH {table} AS (SELECT * FROM {{source}}) {sql}", source=source)
+    if "content" not in df.columns:
+        return df
+    # The explode keeps the long expression for the text in one place; otherwise filters
+    # on the text would repeat it.
+    rest = [c for c in df.columns if c != "content"]
+    return df.select(*rest, F.explode(F.array("content")).alias("content")).select(*df.columns)

@@ -143,15 +143,16 @@ FROM ({inner}) AS q"""
 # -- splicing -----------------------------------------------------------------------
 _SIZES = "sizes AS (SELECT path, len(" + _SPLIT + ") AS n FROM files)"
 _VALID = "valid AS (SELECT s.* FROM sugg AS s JOIN sizes USING (path) WHERE line BETWEEN 1 AND n + 1)"
-_EXPANDED = f"""ex0 AS (SELECT path, idx, line, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS sub_line
-  FROM (SELECT *, string_split(comment, chr(10)) AS parts FROM sugg) AS v),
+_EXPANDED = f"""ex0 AS (SELECT path, idx, line, tie, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS sub_line
+  FROM (SELECT *, string_split(comment, chr(10)) AS parts,
+    row_number() OVER (PARTITION BY path, line, idx ORDER BY comment) AS tie FROM sugg) AS v),
 ex1 AS (SELECT *, ltrim(raw) AS body FROM ex0),
 ex2 AS (SELECT *, CASE WHEN body = '' THEN ''
   WHEN body LIKE '//%' OR body LIKE '#%' OR body LIKE '--%' THEN body || ' [ds]'
   WHEN sub_line = 0 AND body LIKE '%*/' THEN left(body, length(body) - 2) || '[ds] */'
   WHEN sub_line = 0 AND body LIKE '%-->' THEN left(body, length(body) - 3) || '[ds] -->'
   WHEN sub_line = 0 THEN body || ' [ds]' ELSE body END AS tagged FROM ex1),
-ex AS (SELECT path, idx, line, CAST(sub_line AS BIGINT) AS sub_line,
+ex AS (SELECT path, idx, line, tie, CAST(sub_line AS BIGINT) AS sub_line,
   CASE WHEN tagged LIKE '*%' AND tagged NOT LIKE '*/%' THEN ' ' || tagged ELSE tagged END AS text FROM ex2)"""
 
 
@@ -159,13 +160,13 @@ def _merged(source: str = "files", p: str = "") -> str:
     """CTE merged: lines of ``source`` and inserted lines in output order."""
     return f"""{p}sizes AS (SELECT path, max(line_no) AS n FROM {p}ls GROUP BY path),
 {p}tail AS (SELECT path, any_value(ext) AS ext, any_value(eol) AS eol FROM {p}ls GROUP BY path),
-{p}ins AS (SELECT ex.path, ex.line, ex.idx, ex.sub_line,
+{p}ins AS (SELECT ex.path, ex.line, ex.idx, ex.tie, ex.sub_line,
     CASE WHEN ex.text = '' THEN '' ELSE coalesce(regexp_extract(l.text, '^[ \\t]*'), '') || ex.text END AS text
   FROM ex JOIN {p}sizes AS z ON z.path = ex.path AND ex.line BETWEEN 1 AND z.n + 1
   LEFT JOIN {p}ls AS l ON l.path = ex.path AND l.line_no = ex.line WHERE NOT coalesce(l.sis, false)),
-{p}mg AS (SELECT path, line_no AS line, 1 AS is_code, 0 AS o, 0 AS sub_line, line_no AS orig_line, text FROM {p}ls
-  UNION ALL SELECT path, line, 0, -idx, sub_line, NULL, text FROM {p}ins),
-{p}merged AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, is_code, o, sub_line) AS out_line FROM {p}mg),
+{p}mg AS (SELECT path, line_no AS line, 1 AS is_code, 0 AS o, 0 AS tie, 0 AS sub_line, line_no AS orig_line, text FROM {p}ls
+  UNION ALL SELECT path, line, 0, -idx, tie, sub_line, NULL, text FROM {p}ins),
+{p}merged AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line, is_code, o, tie, sub_line) AS out_line FROM {p}mg),
 {p}spliced AS (SELECT m.path, any_value(t.ext) AS ext, replace(string_agg(m.text, chr(10) ORDER BY out_line), chr(10), t.eol) AS content
   FROM {p}merged AS m JOIN {p}tail AS t ON t.path = m.path GROUP BY m.path, t.eol)"""
 
@@ -181,11 +182,11 @@ SELECT path, content FROM b_spliced"""
 
 
 # -- responses ----------------------------------------------------------------------
-_TEXT = """CASE provider WHEN 'gemini' THEN body ->> '$.candidates[0].content.parts[0].text'
-  WHEN 'claude' THEN body ->> '$.content[0].text' ELSE body ->> '$.choices[0].message.content' END"""
-_TEXTS = f"""texts AS (SELECT path, provider, CASE WHEN body -> '$.error' IS NULL THEN {_TEXT} END AS text,
-  CASE WHEN body -> '$.error' IS NOT NULL THEN 'api_error' WHEN {_TEXT} IS NULL THEN 'no_text' END AS err,
-  body ->> '$.error.message' AS message FROM files)"""
+_TEXT = """CASE provider WHEN 'gemini' THEN (body ->> '$.candidates[0].content.parts[0].text')
+  WHEN 'claude' THEN (body ->> '$.content[0].text') ELSE (body ->> '$.choices[0].message.content') END"""
+_TEXTS = f"""texts AS (SELECT path, provider, CASE WHEN (body -> '$.error') IS NULL THEN ({_TEXT}) END AS text,
+  CASE WHEN (body -> '$.error') IS NOT NULL THEN 'api_error' WHEN ({_TEXT}) IS NULL THEN 'no_text' END AS err,
+  (body ->> '$.error.message') AS message FROM files)"""
 _ITEMS = f"""{_TEXTS},
 sliced AS (SELECT *, CASE WHEN regexp_matches(text, '(?s)\\[.*\\]') THEN regexp_extract(text, '(?s)\\[.*\\]') ELSE trim(text) END AS js FROM texts),
 parsed AS (SELECT *, CASE WHEN json_valid(js) THEN js END AS v FROM sliced),
