@@ -37,7 +37,7 @@ def line_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def _ratio(n: Column, base: Column) -> Column:
+def ratio(n: Column, base: Column) -> Column:
     return F.round(n / F.nullif(base, F.lit(0)), 6)
 
 
@@ -49,8 +49,8 @@ def density(files: DataFrame) -> DataFrame:
         "n_lines",
         "n_comment",
         "n_code",
-        _ratio(F.col("n_comment"), F.col("n_code")).alias("per_code"),
-        _ratio(F.col("n_comment"), F.col("n_lines")).alias("per_line"),
+        ratio(F.col("n_comment"), F.col("n_code")).alias("per_code"),
+        ratio(F.col("n_comment"), F.col("n_lines")).alias("per_line"),
     )
 
 
@@ -67,7 +67,7 @@ def density_by(files: DataFrame, *keys: str, totals: bool = True) -> DataFrame:
         F.count("*").alias("n_files"),
         F.sum("n_comment").alias("n_comment"),
         F.sum("n_code").alias("n_code"),
-        _ratio(F.sum("n_comment"), F.sum("n_code")).alias("per_code"),
+        ratio(F.sum("n_comment"), F.sum("n_code")).alias("per_code"),
         level.alias("level"),
     )
 

@@ -45,8 +45,10 @@ def comment_examples(token: Column) -> tuple[Column, Column]:
     return block_form, F.concat(token, F.lit(f" {inline}"), closing)
 
 
-def build_prompts(files: DataFrame, mode: str = "default") -> DataFrame:
-    """prompts(path, mode, comment_token, prompt)."""
+def build_prompts(
+    files: DataFrame, mode: str = "default", keep_columns: list[str] | None = None
+) -> DataFrame:
+    """prompts(path, mode, comment_token, prompt), and ``keep_columns`` of the files."""
     if mode not in INSTRUCTIONS:
         raise ValueError(f"mode {mode!r} takes no prompt")
     name = file_name(F.col("path"))
@@ -69,5 +71,9 @@ def build_prompts(files: DataFrame, mode: str = "default") -> DataFrame:
         numbered(F.col("content")),
     )
     return files.select(
-        "path", F.lit(mode).alias("mode"), token.alias("comment_token"), trim(text).alias("prompt")
+        "path",
+        *(keep_columns or []),
+        F.lit(mode).alias("mode"),
+        token.alias("comment_token"),
+        trim(text).alias("prompt"),
     )

@@ -37,7 +37,7 @@ ERRORS = (
 )
 
 
-def response_text(responses: DataFrame) -> DataFrame:
+def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -> DataFrame:
     """(path, provider, text, err, message): the model's text, or why there is none."""
     parsed = responses.withColumn("__v", F.try_parse_json("body"))
     text = F.try_variant_get("__v", CHAT_PATH, "string")
@@ -47,6 +47,7 @@ def response_text(responses: DataFrame) -> DataFrame:
     has_error = failed.isNotNull() & ~F.schema_of_variant(failed).isin("VOID")
     return parsed.select(
         "path",
+        *(keep_columns or []),
         "provider",
         F.when(~has_error, text).alias("text"),
         F.when(F.col("__v").isNull(), "bad_envelope")
@@ -94,13 +95,15 @@ def _checked(item: Column, action: str | None) -> Column:
     )
 
 
-def checked_items(responses: DataFrame, mode: str = "default") -> DataFrame:
+def checked_items(
+    responses: DataFrame, mode: str = "default", keep_columns: list[str] | None = None
+) -> DataFrame:
     """(path, err, items): all items of a response with their errors, still in one row.
 
     ``err`` is the first thing wrong with the response: a fault of the envelope or the
     JSON, or of its first bad item; NULL means the whole response is accepted.
     """
-    texts = response_text(responses)
+    texts = response_text(responses, keep_columns)
     value = F.try_parse_json(json_slice(F.col("text")))
     parsed = texts.withColumn("__v", F.when(F.col("err").isNull(), value))
     elements = F.when(_kind(F.col("__v")) == "ARRAY", F.col("__v").cast("array<variant>"))
@@ -115,7 +118,7 @@ def checked_items(responses: DataFrame, mode: str = "default") -> DataFrame:
         .when(F.col("__elements").isNull(), "not_array")
         .otherwise(first_bad)
     )
-    return items.select("path", err.alias("err"), "items")
+    return items.select("path", *(keep_columns or []), err.alias("err"), "items")
 
 
 def response_items(responses: DataFrame, mode: str = "default") -> DataFrame:
@@ -129,19 +132,21 @@ def response_items(responses: DataFrame, mode: str = "default") -> DataFrame:
 
 def accepted_items(responses: DataFrame, mode: str = "default") -> DataFrame:
     """suggestions(path, idx, line, comment) of responses in which every item is good."""
+    # The test sits inside the explode: a filter would be pushed down and check twice.
+    good = F.when(F.col("err").isNull(), F.col("items"))
     return (
         checked_items(responses, mode)
-        .where(F.col("err").isNull())
-        .select("path", F.posexplode("items").alias("idx", "i"))
+        .select("path", F.posexplode(good).alias("idx", "i"))
         .select("path", F.col("idx").cast("bigint").alias("idx"), "i.line", "i.comment")
     )
 
 
 def response_errors(responses: DataFrame, mode: str = "default") -> DataFrame:
     """(err, responses): how many responses were rejected, by first error."""
+    rejected = F.filter(F.array("err"), lambda e: e.isNotNull())
     return (
         checked_items(responses, mode)
-        .where(F.col("err").isNotNull())
+        .select(F.explode(rejected).alias("err"))
         .groupBy("err")
         .agg(F.count("*").alias("responses"))
     )

@@ -91,7 +91,7 @@ def insertion_blocks(suggestions: DataFrame, tag: str = TAG) -> DataFrame:
         .withColumn("text", F.array_join(F.transform("texts", lambda t: t["text"]), "\n"))
     )
     block = F.struct(
-        F.col("line").cast("int").alias("line"),
+        F.least("line", F.lit(2**31 - 1)).cast("int").alias("line"),
         F.lit(0).alias("is_code"),
         (-F.col("chunk")).alias("order"),
         F.col("text"),
@@ -99,6 +99,19 @@ def insertion_blocks(suggestions: DataFrame, tag: str = TAG) -> DataFrame:
     return chunks.groupBy("path").agg(F.collect_list(block).alias("blocks"))
 
 
+def as_blocks(items: Column, tag: str = TAG) -> Column:
+    """The same blocks from an array of (line, comment) that is already in the file's row."""
+    return F.transform(
+        items,
+        lambda s, i: F.struct(
+            F.least(s["line"], F.lit(2**31 - 1)).cast("int").alias("line"),
+            F.lit(0).alias("is_code"),
+            (-i).cast("bigint").alias("order"),
+            F.array_join(expanded(s["comment"], tag), "\n").alias("text"),
+        ),
+    )
+
+
 def merged_array(content: Column, marked: Column, blocks: Column) -> Column:
     """ARRAY<STRUCT<orig_line, text>>: file lines and inserted lines in output order.
 

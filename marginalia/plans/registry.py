@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ..operators import changes, lines, metrics, prompts, responses, splice, strip, verify
 from ..sources import ignore
 from ..sources.corpora import corpus
+from ..sources.shared import shared_folder
+from ..streaming import revisions
+from . import annotate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,3 +352,61 @@ def corpus_totals(spark, d):
 @query
 def run_summary(spark, d):
     return metrics.run_summary(corpus(spark, d, "run_log_events"))
+
+
+# -- annotation run ---------------------------------------------------------------------
+@query
+def annotate_offline(spark, d):
+    files = corpus(spark, d, "src_part").select("path", "ext", "content")
+    return annotate.annotate_files(ignore.drop_empty(files), annotate.offline_annotator)
+
+
+# -- streams ----------------------------------------------------------------------------
+def _revision_files(spark, d):
+    """The revisions as a folder of files in commit order, for a stream to pick up."""
+    folder = shared_folder(spark, "revisions")
+    revisions_sorted = corpus(spark, d, "rev_part").repartitionByRange(4, "commit_ts")
+    revisions_sorted.write.parquet(folder)
+    return folder
+
+
+def _drained(spark, name, stream, mode="append"):
+    out = shared_folder(spark, name)
+    revisions.drain(stream, out, shared_folder(spark, name + "-checkpoint"), mode)
+    return spark.read.parquet(out)
+
+
+@query
+def stream_change_kind(spark, d):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, revisions.STATE_STORE)
+    try:
+        source = revisions.revision_stream(spark, _revision_files(spark, d))
+        return _drained(spark, "kinds", revisions.change_kind_stream(source))
+    finally:
+        spark.conf.set(provider, before)
+
+
+@query
+def stream_density(spark, d):
+    source = revisions.revision_stream(spark, _revision_files(spark, d), max_files=2)
+    return _drained(spark, "density", revisions.density_stream(source), "complete")
+
+
+def _stripped_stream(spark, d, mode):
+    source = revisions.revision_stream(spark, _revision_files(spark, d), max_files=2)
+    out = _drained(spark, mode, revisions.strip_stream(source, mode))
+    return out.select(
+        F.concat("path", F.lit("@"), F.col("commit_id").cast("string")).alias("path"), "content"
+    )
+
+
+@query
+def stream_strict_prune(spark, d):
+    return _stripped_stream(spark, d, "strict")
+
+
+@query
+def stream_prune(spark, d):
+    return _stripped_stream(spark, d, "prune")

@@ -358,3 +358,11 @@ ORACLES["stream_strict_prune"] = strict_sql(
     + ", files AS (SELECT path || '@' || CAST(commit_id AS STRING) AS path, ext, content FROM revs)"
 )
 ORACLES["stream_prune"] = f"WITH {_change_parts()} SELECT path, content FROM out"
+
+_TOK = "CASE WHEN ext IN ('.py', '.rb', '.sh', '.php') THEN '#' WHEN ext IN ('.html', '.vue', '.svelte') THEN '<!--' ELSE '//' END"
+# The stand-in annotator puts one comment, with the number of lines, above line 1.
+ORACLES["annotate_offline"] = f"""WITH {corpus('src_part')}, {lexed()}, {stripped('clean')}, {rebuilt()}
+SELECT path, ext, {_TOK} || ' ' || CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' lines'
+  || CASE WHEN {_TOK} = '<!--' THEN ' [ds] -->' ELSE ' [ds]' END
+  || {_EOL} || content AS content, CAST(NULL AS VARCHAR) AS err
+FROM out WHERE trim(replace(content, chr(10), '')) <> ''"""
