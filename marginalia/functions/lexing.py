@@ -285,7 +285,7 @@ def token_kind(token: Column, family: Column) -> Column:
 
 
 # -- marked text ------------------------------------------------------------------
-def _has_marks(text: Column) -> Column:
+def has_marks(text: Column) -> Column:
     found = F.contains(text, F.lit(COMMENT))
     for mark in MARKS[1:]:
         found = found | F.contains(text, F.lit(mark))
@@ -301,7 +301,7 @@ def working_copy(content: Column) -> Column:
     line becomes visible as one more line."""
     text = F.replace(content, F.lit("\r\n"), F.lit("\n"))
     # translate() looks at every character, so it runs only where there is work for it
-    return F.concat(F.when(_has_marks(content), _masked(text)).otherwise(text), F.lit("\n"))
+    return F.concat(F.when(has_marks(content), _masked(text)).otherwise(text), F.lit("\n"))
 
 
 def _mark_comment(comment: Column) -> Column:
@@ -317,41 +317,42 @@ def _mark_string(string: Column) -> Column:
 _TO_COMMENT, _TO_SPAN, _CUT = COMMENT, IN_STRING, STAYS
 
 
-def _cut_segments(text: Column, content: Column, family: Column) -> Column:
-    """ARRAY<STRING>: the segments of a text free of marks, their parts set off by marks."""
-    return F.split(
-        _per_family(
-            content,
-            family,
-            lambda fam: F.regexp_replace(
-                text,
-                F.lit(fam.segment_pattern),
-                F.lit("${code}" + _TO_COMMENT + "${comment}" + _TO_SPAN + "${span}" + _CUT),
-            ),
+def _cut_text(text: Column, content: Column, family: Column) -> Column:
+    """A text free of marks with the parts of its segments set off by marks; where no
+    comment and no multi-line string follows, the marks are left out."""
+    cut = _per_family(
+        content,
+        family,
+        lambda fam: F.regexp_replace(
+            text,
+            F.lit(fam.segment_pattern),
+            F.lit("${code}" + _TO_COMMENT + "${comment}" + _TO_SPAN + "${span}" + _CUT),
         ),
-        _CUT,
     )
+    return F.replace(cut, F.lit(_TO_COMMENT + _TO_SPAN + _CUT), F.lit(""))
 
 
 def _segment_parts(segment: Column) -> tuple[Column, Column, Column]:
     code_comment = F.substring_index(segment, _TO_SPAN, 1)
-    return (
-        F.substring_index(code_comment, _TO_COMMENT, 1),
-        F.substring_index(code_comment, _TO_COMMENT, -1),
-        F.substring_index(segment, _TO_SPAN, -1),
+    comment = F.substring_index(code_comment, _TO_COMMENT, -1)
+    code = F.substring(
+        code_comment, F.lit(1), F.length(code_comment) - F.length(comment) - 1
     )
+    return code, comment, F.substring_index(segment, _TO_SPAN, -1)
 
 
 def marked_text(content: Column, family: Column) -> Column:
     """The working copy of a text with marks inserted."""
+    cut = _cut_text(working_copy(content), content, family)
 
     def mark(segment: Column) -> Column:
         code, comment, span = _segment_parts(segment)
-        return F.concat(
+        marked = F.concat(
             code, F.when(comment == "", F.lit("")).otherwise(_mark_comment(comment)), _mark_string(span)
         )
+        return F.when(F.contains(segment, F.lit(_TO_SPAN)), marked).otherwise(segment)
 
-    return F.array_join(F.transform(_cut_segments(working_copy(content), content, family), mark), "")
+    return F.array_join(F.transform(F.split(cut, _CUT), mark), "")
 
 
 def segments(content: Column, family: Column) -> Column:
@@ -359,12 +360,38 @@ def segments(content: Column, family: Column) -> Column:
 
     def parts(segment: Column) -> Column:
         code, comment, span = _segment_parts(segment)
-        return F.struct(F.concat(code, span).alias("code"), comment.alias("comment"))
+        whole = F.struct(F.concat(code, span).alias("code"), comment.alias("comment"))
+        rest = F.struct(segment.alias("code"), F.lit("").alias("comment"))
+        return F.when(F.contains(segment, F.lit(_TO_SPAN)), whole).otherwise(rest)
 
     text = F.replace(content, F.lit("\r\n"), F.lit("\n"))
     return F.when(
-        _has_marks(content), segments_from_tokens(tokens(content, family), family)
-    ).otherwise(F.transform(_cut_segments(text, content, family), parts))
+        has_marks(content), segments_from_tokens(tokens(content, family), family)
+    ).otherwise(F.transform(F.split(_cut_text(text, content, family), _CUT), parts))
+
+
+# Stands for removed comment text, one per line the comment was on.
+GAP = TAGGED
+
+
+def code_with_gaps(content: Column, family: Column) -> Column:
+    """LF text with every comment replaced by gaps. For content free of marks."""
+    text = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    cut = _cut_text(text, content, family)
+    # comments on one line, except that a "#!" line stays as it is
+    cut = F.regexp_replace(cut, rf"{_TO_COMMENT}(#![^\n{_TO_SPAN}]*+){_TO_SPAN}", "$1")
+    cut = F.regexp_replace(cut, rf"{_TO_COMMENT}[^\n{_TO_SPAN}]++{_TO_SPAN}", GAP)
+    cut = F.replace(F.replace(cut, F.lit(_TO_COMMENT + _TO_SPAN), F.lit("")), F.lit(_CUT), F.lit(""))
+
+    # what is still set off begins with a comment over several lines
+    def gaps(piece: Column) -> Column:
+        comment = F.substring_index(piece, _TO_SPAN, 1)
+        n_lf = F.length(comment) - F.length(F.replace(comment, F.lit("\n"), F.lit("")))
+        behind = F.substring(piece, F.length(comment) + 2, F.length(piece))
+        filled = F.concat(F.lit(GAP), F.repeat(F.lit("\n" + GAP), n_lf), behind)
+        return F.when(F.contains(piece, F.lit(_TO_SPAN)), filled).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(cut, _TO_COMMENT), gaps), "")
 
 
 def segments_from_tokens(content_tokens: Column, family: Column) -> Column:
@@ -383,7 +410,7 @@ def marked_from_tokens(content_tokens: Column, family: Column) -> Column:
 
     def mark(token: Column) -> Column:
         kind = token_kind(token, family)
-        clean = F.when(_has_marks(token), _masked(token)).otherwise(token)
+        clean = F.when(has_marks(token), _masked(token)).otherwise(token)
         return (
             F.when(kind == "comment", _mark_comment(clean))
             .when(kind == "string", _mark_string(clean))

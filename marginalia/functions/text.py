@@ -16,12 +16,25 @@ BLANK = BLANK_NO_LF + r"\n"
 TAG = "[ds]"
 
 
+_ASCII_BLANKS = " \t\n\r\x0b\x0c"
+
+
+# Trimming ASCII blanks settles nearly every text; the patterns below are for what is left
+# when the trimmed text begins or ends with a character outside ASCII.
 def trim_start(col: Column) -> Column:
-    return F.regexp_replace(col, rf"\A[{BLANK}]+", "")
+    short = F.ltrim(col, F.lit(_ASCII_BLANKS))
+    return F.when(F.ascii(short) < 128, short).otherwise(
+        F.regexp_replace(col, rf"\A[{BLANK}]+", "")
+    )
 
 
 def trim_end(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?<![{BLANK}])[{BLANK}]+\z", "")
+    short = F.rtrim(col, F.lit(_ASCII_BLANKS))
+    # begins at the first blank of a run only, so long runs are not tried again and again
+    pattern = rf"[{BLANK}](?<![{BLANK}][{BLANK}])[{BLANK}]*\z"
+    return F.when(F.ascii(F.right(short, F.lit(1))) < 128, short).otherwise(
+        F.regexp_replace(col, pattern, "")
+    )
 
 
 def trim(col: Column) -> Column:
@@ -29,12 +42,12 @@ def trim(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return ~F.rlike(col, F.lit(rf"[^{BLANK}]"))
-
-
-def first_visible(col: Column) -> Column:
-    """Text from the first visible character on (a cheap left trim for prefix tests)."""
-    return trim_start(col)
+    short = F.ltrim(col, F.lit(_ASCII_BLANKS))
+    return (
+        F.when(short == "", F.lit(True))
+        .when(F.ascii(short) < 128, F.lit(False))
+        .otherwise(~F.rlike(col, F.lit(rf"[^{BLANK}]")))
+    )
 
 
 def eol_of(content: Column) -> Column:
@@ -44,7 +57,7 @@ def eol_of(content: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines of a text; LF and CRLF end a line, a lone CR is data."""
-    return F.split(content, r"\r?\n")
+    return F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n")
 
 
 def numbered(content: Column) -> Column:

@@ -49,6 +49,20 @@ class PatternLexer:
             files, content, "segments", lexing.segments, lexing.segments_from_tokens
         )
 
+    def gaps(self, files: DataFrame, content: str = "content") -> DataFrame:
+        """Adds ``gaps``: the text with comments replaced by gaps (escaped if it has marks)."""
+        from .strip import code_with_gaps
+
+        def by_pattern(text: Column, family: Column) -> Column:
+            return F.when(
+                lexing.has_marks(text), code_with_gaps(lexing.segments(text, family))
+            ).otherwise(lexing.code_with_gaps(text, family))
+
+        def by_tokens(tokens: Column, family: Column) -> Column:
+            return code_with_gaps(lexing.segments_from_tokens(tokens, family))
+
+        return self._lex(files, content, "gaps", by_pattern, by_tokens)
+
     def tokens(self, files: DataFrame, content: str = "content") -> DataFrame:
         """Adds ``tokens`` ARRAY<STRUCT<kind, text>>: the text in order, nothing lost."""
 

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
-from ..functions.arrays import flags_at
+from ..functions.arrays import flags_at, let
 from ..functions.text import BLANK_NO_LF, TAG, eol_of, is_blank, join_lines, split_lines, trim, trim_end
-from .lexed import MARKED, PatternLexer, by_depth, with_marked, with_segments
+from .lexed import MARKED, PatternLexer, by_depth, with_marked
 from .lines import (
-    comment_start,
+    comment_tail,
     ends_in_block,
     has_comment_start,
     is_pure_comment,
@@ -25,20 +25,31 @@ from .lines import (
 )
 
 
+_B = rf"[{BLANK_NO_LF}]"
+
+
 def strip_inline(text: Column, start: Column) -> Column:
     """``text`` without the comment that starts at 0-based column ``start``.
 
     A block or markup comment that closes on the line is cut out and what follows is
     kept; otherwise everything from ``start`` on goes. Blanks at the end are removed.
     """
-    left = F.substring(text, F.lit(1), start)
-    rest = F.substring(text, start + 1, F.length(text))
-    close = F.when(F.startswith(rest, F.lit("/*")), F.lit("*/")).when(
-        F.startswith(rest, F.lit("<!--")), F.lit("-->")
+    return _without_tail(
+        F.substring(text, F.lit(1), start), F.substring(text, start + 1, F.length(text))
+    )
+
+
+def _without_tail(left: Column, tail: Column) -> Column:
+    behind = (
+        F.when(tail.startswith("/*") & (F.position(F.lit("*/"), tail) > 0), _behind(tail, "*/"))
+        .when(tail.startswith("<!--") & (F.position(F.lit("-->"), tail) > 0), _behind(tail, "-->"))
+        .otherwise("")
     )
-    at = F.position(close, rest)
-    behind = F.substring(rest, at + F.length(close), F.length(rest))
-    return trim_end(F.when(close.isNotNull() & (at > 0), F.concat(left, behind)).otherwise(left))
+    return trim_end(F.concat(left, behind))
+
+
+def _behind(tail: Column, close: str) -> Column:
+    return F.substring(tail, F.position(F.lit(close), tail) + len(close), F.length(tail))
 
 
 def mark_tagged_blocks(marked: Column, tag: str) -> Column:
@@ -67,16 +78,29 @@ def in_tagged_block(m: Column) -> Column:
 def stripped_line(text: Column, m: Column, tag: str | None) -> Column:
     """The line after stripping; NULL when it goes. ``tag`` None strips every comment."""
     touched = F.lit(True) if tag is None else in_tagged_block(m) | F.contains(text, F.lit(tag))
-    no_marks = ~has_comment_start(m) & ~starts_in_block(m)
-    gone = F.lit(None).cast("string")
-    # Lines without marks are most of all lines, so they are settled first. Empty lines
-    # always stay.
+    in_block, gone = starts_in_block(m), F.lit(None).cast("string")
+
+    def with_comment(s: Column) -> Column:
+        left, tail = s["left"], s["tail"]
+        pure = (in_block & ends_in_block(m)) | (~in_block & is_blank(left))
+        return F.when(pure, gone).otherwise(_without_tail(left, tail))
+
+    def cut(tail_size: Column) -> Column:
+        start = F.length(text) - tail_size
+        return F.struct(
+            F.substring(text, F.lit(1), start).alias("left"),
+            F.substring(text, start + 1, tail_size).alias("tail"),
+        )
+
+    # Lines without comment are most of all lines, so they are settled first; empty lines
+    # always stay. What a comment line needs repeatedly is bound once.
     return (
-        F.when(no_marks, F.when(touched & is_blank(text) & (text != ""), gone).otherwise(text))
-        .when(~touched | is_shebang(text) | (text == ""), text)
-        .when(is_pure_comment(text, m), gone)
-        .when(has_comment_start(m), strip_inline(text, comment_start(text, m)))
-        .otherwise(text)
+        F.when(
+            ~has_comment_start(m),
+            F.when((in_block | is_blank(text)) & touched & (text != "") & ~is_shebang(text), gone).otherwise(text),
+        )
+        .when(~touched | is_shebang(text), text)
+        .otherwise(let(let(F.length(comment_tail(m)), cut), with_comment))
     )
 
 
@@ -92,10 +116,11 @@ def stripped_array(content: Column, marked: Column, tag: str | None) -> Column:
 
 def _whole_lines(content: Column) -> Column:
     """The text with its line ends made uniform and nothing else changed."""
-    return F.when(
-        F.contains(content, F.lit("\r\n")),
-        F.replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\r\n")),
-    ).otherwise(content)
+    return F.when(F.contains(content, F.lit("\r\n")), _with_crlf(content)).otherwise(content)
+
+
+def _with_crlf(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\r\n"))
 
 
 def strip_with(
@@ -151,20 +176,20 @@ def stripped_lines(files: DataFrame, tag: str | None = None) -> DataFrame:
 
 
 # -- strict policy ------------------------------------------------------------------
-_GONE = lexing.COMMENT  # stands for removed comment text, one per line it was on
-_BLANKS = rf"[{BLANK_NO_LF}]"
-_ESCAPES = [(lexing.STAYS, lexing.STAYS + "?"), (lexing.COMMENT, lexing.STAYS + "!")]
+_GAP = lexing.GAP
+_ESCAPES = [(lexing.STAYS, lexing.STAYS + "?"), (_GAP, lexing.STAYS + "!")]
 
 
 def code_with_gaps(segments: Column) -> Column:
-    """The text with every comment replaced by one stand-in per line it covers."""
+    """The text of ``segments`` with every comment replaced by one gap per line it covers;
+    characters of the text that would read as gaps are escaped."""
 
     def part(s: Column) -> Column:
         code, comment = s["code"], s["comment"]
         for plain, escaped in _ESCAPES:
             code = F.replace(code, F.lit(plain), F.lit(escaped))
         n_lf = F.length(comment) - F.length(F.replace(comment, F.lit("\n"), F.lit("")))
-        gap = F.concat(F.lit(_GONE), F.repeat(F.lit("\n" + _GONE), n_lf))
+        gap = F.concat(F.lit(_GAP), F.repeat(F.lit("\n" + _GAP), n_lf))
         kept = (comment == "") | F.startswith(comment, F.lit("#!"))
         return F.concat(code, F.when(kept, comment).otherwise(gap))
 
@@ -177,22 +202,36 @@ def _unescaped(text: Column) -> Column:
     return text
 
 
+def _close_gaps(text: Column) -> Column:
+    text = F.concat(F.lit("\n"), text)
+    words = r"[\p{L}\p{N}_$]"
+    # lines of nothing but comment; blanks in front of a comment that ends its line; a
+    # space where a comment kept two words apart
+    text = F.regexp_replace(text, rf"\n{_B}*+{_GAP}(?:{_GAP}|{_B})*+(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"(?:{_B}(?<!{_B}{_B}){_B}*+)?+{_GAP}++(?=\n|\z)", "")
+    text = F.regexp_replace(text, rf"{_GAP}(?<={words}{_GAP}){_GAP}*+(?={words})", " ")
+    text = F.replace(text, F.lit(_GAP), F.lit(""))
+    return F.substring(text, F.lit(2), F.length(text))
+
+
+def strict_with(lexer: PatternLexer, files: DataFrame, content: str, output: str) -> DataFrame:
+    text = F.col(content)
+    lexed = lexer.gaps(files, content)
+    # Escaping is for files that hold characters used as marks, and for those only.
+    closed = _close_gaps(F.col("gaps"))
+    closed = F.when(lexing.has_marks(text), _unescaped(closed)).otherwise(closed)
+    crlf = F.replace(closed, F.lit("\n"), F.lit("\r\n"))
+    result = F.when(F.contains(text, F.lit("\r\n")), crlf).otherwise(closed)
+    return lexed.withColumn(output, result).drop("gaps")
+
+
 def strict_prune(files: DataFrame, content: str = "content", output: str = "content") -> DataFrame:
     """Removes exactly the comment text: no code and no string content goes with it.
 
     Lines on which nothing but comment stood go entirely, blanks in front of a comment
     that ends its line go too, and words that a comment kept apart get a space. Row-local.
     """
-    gaps = F.concat(F.lit("\n"), code_with_gaps(F.col("segments")))
-    words = r"[\p{L}\p{N}_$]"
-    text = F.regexp_replace(gaps, rf"\n{_BLANKS}*+{_GONE}(?:{_GONE}|{_BLANKS})*+(?=\n|\z)", "")
-    text = F.regexp_replace(text, rf"(?<!{_BLANKS}){_BLANKS}*+{_GONE}++(?=\n|\z)", "")
-    text = F.regexp_replace(text, rf"(?<={words}){_GONE}++(?={words})", " ")
-    text = _unescaped(F.replace(text, F.lit(_GONE), F.lit("")))
-    text = F.substring(text, F.lit(2), F.length(text))
-    eol = eol_of(F.col(content))
-    text = F.when(eol == "\r\n", F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text)
-    return with_segments(files, content).withColumn(output, text).drop("segments")
+    return by_depth(files, lambda f, lexer: strict_with(lexer, f, content, output), content)
 
 
 # -- explicit deletions -------------------------------------------------------------

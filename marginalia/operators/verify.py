@@ -10,7 +10,7 @@ from ..functions.text import TAG, is_blank
 from .lexed import MARKED, by_depth, with_marked
 from .lines import is_pure_comment, line_array, starts_in_string
 from .splice import rebuilt, splice_merged
-from .strip import clean, code_with_gaps, stripped_array
+from .strip import clean, stripped_array
 from .windows import lag_in_buckets
 
 
@@ -79,15 +79,15 @@ def verify_roundtrip(before: DataFrame, after: DataFrame, tag: str = TAG) -> Dat
 def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
     """(path, line_no, text): lines that compat stripping deletes though they hold code
     or string content."""
-    lexed = by_depth(files, lambda f, lexer: lexer.segments(lexer.marked(f)))
+    lexed = by_depth(files, lambda f, lexer: lexer.gaps(lexer.marked(f)))
     text = F.col("content")
     lines = F.arrays_zip(
         line_array(text, F.col(MARKED)).alias("line"),
         stripped_array(text, F.col(MARKED), tag).alias("kept"),
-        F.split(code_with_gaps(F.col("segments")), "\n").alias("code"),
+        F.split("gaps", "\n").alias("code"),
     )
     m = F.col("z.line.m")
-    holds_code = ~is_blank(F.replace(F.col("z.code"), F.lit(lexing.COMMENT), F.lit("")))
+    holds_code = ~is_blank(F.replace(F.col("z.code"), F.lit(lexing.GAP), F.lit("")))
     return (
         lexed.select("path", F.posexplode(lines).alias("pos", "z"))
         .where(F.col("z.line.text").isNotNull() & F.col("z.kept").isNull())

@@ -281,10 +281,20 @@ CORPORA = {
 }
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Rows over all cores where a table is too small to be read in as many splits.
+
+    The text a row turns into is many times its size, so it is the short rows that move.
+    Large tables have more splits than cores and are left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus over the parquet tables in ``sf_dir``."""
     sql, table = CORPORA[name]
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    source = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     sql = sql.replace("{", "{{").replace("}", "}}")  # braces here are text, not fields
     df = spark.sql(f"WITH {table} AS (SELECT * FROM {{source}}) {sql}", source=source)
     if "content" not in df.columns:
