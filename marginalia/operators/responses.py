@@ -39,7 +39,7 @@ ERRORS = (
 
 def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -> DataFrame:
     """(path, provider, text, err, message): the model's text, or why there is none."""
-    parsed = responses.withColumn("__v", F.try_parse_json("body"))
+    parsed = responses.withColumn("__v", parse_json(F.col("body")))
     text = F.try_variant_get("__v", CHAT_PATH, "string")
     for provider, where in TEXT_PATHS.items():
         text = F.when(F.col("provider") == provider, F.try_variant_get("__v", where, "string")).otherwise(text)
@@ -58,6 +58,18 @@ def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -
     )
 
 
+def parse_json(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else NULL.
+
+    try_parse_json takes the first value and ignores what follows. Wrapped in an array
+    and in an object, the text parses both ways, to one element, only if nothing does.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    elements = in_array.cast("array<variant>")
+    return F.when((F.size(elements) == 1) & in_object.isNotNull(), F.get(elements, F.lit(0)))
+
+
 def json_slice(text: Column) -> Column:
     """From the first ``[`` to the last ``]``, or the whole trimmed text."""
     found = F.regexp_extract(text, r"(?s)\[.*\]", 0)
@@ -72,7 +84,7 @@ def _kind(variant: Column) -> Column:
 def _checked(item: Column, action: str | None) -> Column:
     line = F.try_variant_get(item, "$.line", "variant")
     number = F.try_variant_get(item, "$.line", "double")
-    whole = _kind(line).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (number > 0) & (number == F.floor(number))
+    whole = _kind(line).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (number > 0) & (number == F.rint(number))
     comment = F.try_variant_get(item, "$.comment", "variant")
     text = F.try_variant_get(item, "$.comment", "string")
     is_text = F.coalesce(_kind(comment) == "STRING", F.lit(False))
@@ -104,7 +116,7 @@ def checked_items(
     JSON, or of its first bad item; NULL means the whole response is accepted.
     """
     texts = response_text(responses, keep_columns)
-    value = F.try_parse_json(json_slice(F.col("text")))
+    value = parse_json(json_slice(F.col("text")))
     parsed = texts.withColumn("__v", F.when(F.col("err").isNull(), value))
     elements = F.when(_kind(F.col("__v")) == "ARRAY", F.col("__v").cast("array<variant>"))
     items = parsed.withColumn("__elements", elements).withColumn(
