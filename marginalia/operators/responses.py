@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import trim
 
 # Where each provider's envelope keeps the text; others use "chat".
@@ -39,22 +40,25 @@ ERRORS = (
 
 def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -> DataFrame:
     """(path, provider, text, err, message): the model's text, or why there is none."""
-    parsed = responses.withColumn("__v", parse_json(F.col("body")))
-    text = F.try_variant_get("__v", CHAT_PATH, "string")
-    for provider, where in TEXT_PATHS.items():
-        text = F.when(F.col("provider") == provider, F.try_variant_get("__v", where, "string")).otherwise(text)
-    failed = F.try_variant_get("__v", "$.error", "variant")
-    has_error = failed.isNotNull() & ~F.schema_of_variant(failed).isin("VOID")
-    return parsed.select(
-        "path",
-        *(keep_columns or []),
-        "provider",
-        F.when(~has_error, text).alias("text"),
-        F.when(F.col("__v").isNull(), "bad_envelope")
-        .when(has_error, "api_error")
-        .when(text.isNull(), "no_text")
-        .alias("err"),
-        F.when(has_error, F.try_variant_get("__v", "$.error.message", "string")).alias("message"),
+    provider = F.col("provider")
+
+    def unpack(v: Column) -> Column:
+        text = F.try_variant_get(v, CHAT_PATH, "string")
+        for name, where in TEXT_PATHS.items():
+            text = F.when(provider == name, F.try_variant_get(v, where, "string")).otherwise(text)
+        failed = F.try_variant_get(v, "$.error", "variant")
+        has_error = failed.isNotNull() & (F.schema_of_variant(failed) != "VOID")
+        return F.struct(
+            F.when(~has_error, text).alias("text"),
+            F.when(v.isNull(), "bad_envelope")
+            .when(has_error, "api_error")
+            .when(text.isNull(), "no_text")
+            .alias("err"),
+            F.when(has_error, F.try_variant_get(v, "$.error.message", "string")).alias("message"),
+        )
+
+    return responses.withColumn("__r", let(parse_json(F.col("body")), unpack)).select(
+        "path", *(keep_columns or []), "provider", "__r.text", "__r.err", "__r.message"
     )
 
 
@@ -64,10 +68,16 @@ def parse_json(text: Column) -> Column:
     try_parse_json takes the first value and ignores what follows. Wrapped in an array
     and in an object, the text parses both ways, to one element, only if nothing does.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    elements = in_array.cast("array<variant>")
-    return F.when((F.size(elements) == 1) & in_object.isNotNull(), F.get(elements, F.lit(0)))
+
+    def strict(t: Column) -> Column:
+        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        return let(
+            F.when(in_object.isNotNull(), in_array.cast("array<variant>")),
+            lambda elements: F.when(F.size(elements) == 1, F.get(elements, F.lit(0))),
+        )
+
+    return let(text, strict)
 
 
 def json_slice(text: Column) -> Column:
@@ -115,22 +125,30 @@ def checked_items(
     ``err`` is the first thing wrong with the response: a fault of the envelope or the
     JSON, or of its first bad item; NULL means the whole response is accepted.
     """
+    action = "delete" if mode == "clean" else None
+    fault = F.col("err")
+
+    def judge(v: Column) -> Column:
+        elements = F.when(_kind(v) == "ARRAY", v.cast("array<variant>"))
+        items = F.transform(elements, lambda item: _checked(item, action))
+        return let(F.struct(v.isNull().alias("no_json"), items.alias("items")), verdict)
+
+    def verdict(s: Column) -> Column:
+        first_bad = F.get(F.filter(s["items"], lambda i: i["err"].isNotNull()), F.lit(0))["err"]
+        err = (
+            F.when(fault.isNotNull(), fault)
+            .when(s["no_json"], "not_json")
+            .when(s["items"].isNull(), "not_array")
+            .otherwise(first_bad)
+        )
+        return F.struct(err.alias("err"), s["items"].alias("items"))
+
+    # Bound step by step, so that no text is parsed more than once, whatever is selected.
+    value = F.when(fault.isNull(), parse_json(json_slice(F.col("text"))))
     texts = response_text(responses, keep_columns)
-    value = parse_json(json_slice(F.col("text")))
-    parsed = texts.withColumn("__v", F.when(F.col("err").isNull(), value))
-    elements = F.when(_kind(F.col("__v")) == "ARRAY", F.col("__v").cast("array<variant>"))
-    items = parsed.withColumn("__elements", elements).withColumn(
-        "items",
-        F.transform("__elements", lambda item: _checked(item, "delete" if mode == "clean" else None)),
-    )
-    first_bad = F.get(F.filter("items", lambda i: i["err"].isNotNull()), F.lit(0))["err"]
-    err = (
-        F.when(F.col("err").isNotNull(), F.col("err"))
-        .when(F.col("__v").isNull(), "not_json")
-        .when(F.col("__elements").isNull(), "not_array")
-        .otherwise(first_bad)
+    return texts.select("path", *(keep_columns or []), let(value, judge).alias("v")).select(
+        "path", *(keep_columns or []), "v.err", "v.items"
     )
-    return items.select("path", *(keep_columns or []), err.alias("err"), "items")
 
 
 def response_items(responses: DataFrame, mode: str = "default") -> DataFrame:

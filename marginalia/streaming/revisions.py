@@ -24,9 +24,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def revision_stream(
-    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None
+    spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = 1000
 ) -> DataFrame:
-    """revisions as they arrive as files in ``path``."""
+    """revisions as they arrive as files in ``path``, at most ``max_files`` per micro-batch
+    (which bounds the revisions of one path that a stateful task holds at a time)."""
     reader = spark.readStream.format(fmt).schema(REVISIONS_SCHEMA)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
