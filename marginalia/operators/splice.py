@@ -25,23 +25,24 @@ def indentation(text: Column) -> Column:
 def expanded(comment: Column, tag: str) -> Column:
     """ARRAY<STRING>: the lines of a suggested comment, tagged, not yet indented."""
 
-    def shape(line: Column, i: Column) -> Column:
-        body = trim_start(line)
+    in_replacement = tag.replace("\\", r"\\").replace("$", r"\$")
+
+    def shape(body: Column, i: Column) -> Column:
         to_eol = body.startswith("//") | body.startswith("#") | body.startswith("--")
         closes = body.endswith("*/") | body.endswith("-->")
-        appended = F.concat(body, F.lit(" " + tag))
-        before_close = F.regexp_replace(body, F.lit(r"(\*/|-->)\z"), F.concat(F.lit(tag.replace("\\", r"\\").replace("$", r"\$")), F.lit(" $1")))
+        before_close = F.regexp_replace(body, r"(\*/|-->)\z", f"{in_replacement} $1")
         tagged = (
             F.when(body == "", body)
-            .when(to_eol, appended)
-            .when((i == 0) & closes, before_close)
-            .when(i == 0, appended)
+            .when(~to_eol & (i == 0) & closes, before_close)
+            .when(to_eol | (i == 0), F.concat(body, F.lit(" " + tag)))
             .otherwise(body)
         )
-        star = tagged.startswith("*") & ~tagged.startswith("*/")
-        return F.when(star, F.concat(F.lit(" "), tagged)).otherwise(tagged)
+        star = body.startswith("*") & ~body.startswith("*/")
+        return F.concat(F.when(star, F.lit(" ")).otherwise(F.lit("")), tagged)
 
-    return F.transform(split_lines(comment), shape)
+    return F.transform(
+        split_lines(comment), lambda line, i: let(trim_start(line), lambda body: shape(body, i))
+    )
 
 
 def valid_suggestions(suggestions: DataFrame, files: DataFrame) -> DataFrame:

@@ -217,11 +217,14 @@ def _close_gaps(text: Column) -> Column:
 def strict_with(lexer: PatternLexer, files: DataFrame, content: str, output: str) -> DataFrame:
     text = F.col(content)
     lexed = lexer.gaps(files, content)
-    # Escaping is for files that hold characters used as marks, and for those only.
-    closed = _close_gaps(F.col("gaps"))
-    closed = F.when(lexing.has_marks(text), _unescaped(closed)).otherwise(closed)
-    crlf = F.replace(closed, F.lit("\n"), F.lit("\r\n"))
-    result = F.when(F.contains(text, F.lit("\r\n")), crlf).otherwise(closed)
+
+    def finish(closed: Column) -> Column:
+        # Escaping is for files that hold characters used as marks, and for those only.
+        plain = F.when(lexing.has_marks(text), _unescaped(closed)).otherwise(closed)
+        crlf = F.contains(text, F.lit("\r\n"))
+        return F.when(crlf, F.replace(plain, F.lit("\n"), F.lit("\r\n"))).otherwise(plain)
+
+    result = let(_close_gaps(F.col("gaps")), finish)
     return lexed.withColumn(output, result).drop("gaps")
 
 
