@@ -83,8 +83,8 @@ class Encoder:
         kept.update((part, ids) for part, ids in found.items() if len(part) <= KEPT_LENGTH)
         return [b"".join([kept[p] if p in kept else found[p] for p in parts]) for parts in cut]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, width: int = 4) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, f"<u{width}").tolist()))
 
     def char_offsets(self, ids: bytes) -> np.ndarray:
         """Start of each id's piece in the text, in characters; a piece that begins inside a
@@ -140,8 +140,8 @@ def encode(
     return docs.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded`` BINARY: the bytes of the pieces, which are valid UTF-8 for whole texts; a
+def decode(rows: DataFrame, path: str, ids: str = "ids", width: int = 4) -> DataFrame:
+    """Adds ``decoded`` BINARY from ids of ``width`` bytes: the bytes of the pieces, which are valid UTF-8 for whole texts; a
     sequence cut inside a character keeps the bytes of that part. Null ids count as none."""
     (name,) = free_names(rows, "decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
@@ -149,7 +149,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            decoded = [encoder.decode(x.as_py() or b"") for x in batch.column(ids)]
+            decoded = [encoder.decode(x.as_py() or b"", width) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, name]
             )

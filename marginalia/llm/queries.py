@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import byte_bpe, conversations, exact_dedup, mixing, ngram_join, token_files, url_reputation
+from . import (
+    byte_bpe,
+    byte_cnn,
+    conversations,
+    exact_dedup,
+    labelled,
+    mixing,
+    ngram_join,
+    token_files,
+    toxicity,
+    url_reputation,
+    weighted_sampling,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +76,22 @@ def op3_token_counts(spark, d):
     return counts.withColumn("file", F.regexp_extract("file", r"([^/]*)\z", 1))
 
 
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        labelled.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_quality(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    net = byte_cnn.fit(docs, table(spark, d, "labels"), "quality")
+    return _judged(byte_cnn.score(docs, net), 0.3)
+
+
 @query
 def op5_url_filter(spark, d):
     labels = table(spark, d, "labels")
@@ -78,6 +106,18 @@ def op6_exact_dedup(spark, d):
     return exact_dedup.copies(table(spark, d, "documents"))
 
 
+@query
+def op7_fingerprints(spark, d):
+    return weighted_sampling.edited_fingerprints(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, d, "labels"), "toxic")
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
 @query
 def op9_mixing(spark, d):
     return mixing.mix(table(spark, d, "documents"), SHARES, OTHER_SHARES, seed=9)

@@ -58,12 +58,19 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words before each text and in all)."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_BLANK, stems: tuple[int, ...] = ()
+) -> tuple:
+    """(hash of each word, number of words before each text and in all).
+
+    ``inside`` says which bytes make up words. With ``stems`` there is a third part: for each of
+    these lengths (number, hash of the first so many bytes) of the words that are longer.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[data]
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, [(np.zeros(0, np.int64), none[0])] * len(stems)) if stems else none
+    inside = inside[data]
     first = np.zeros(n + 1, bool)  # a text's first byte begins a word even without a blank before
     first[offsets] = True
     starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | first[:n]))
@@ -71,8 +78,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    begun, base = sums[starts], down[starts]
+    hashes, bounds = mixed((sums[ends] - begun) * base), np.searchsorted(starts, offsets)
+    if not stems:
+        return hashes, bounds
+    beginnings = []
+    for length in stems:
+        at = np.flatnonzero(ends - starts > length)
+        beginnings.append((at, mixed((sums[starts[at] + length] - begun[at]) * base[at])))
+    return hashes, bounds, beginnings
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
