@@ -20,11 +20,6 @@ def exclusive_scan(
     into blocks instead: a short fold inside every block, one over the block totals,
     and a combination of the two.
     """
-    n_blocks = F.ceil(F.size(values) / F.lit(_BLOCK)).cast("int")
-    starts = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    blocks = F.transform(starts, lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
     nothing = F.array().cast(f"array<{element_type}>")
 
     def scan(arr: Column) -> Column:
@@ -37,11 +32,35 @@ def exclusive_scan(
             ),
         )
 
-    inside = F.transform(blocks, scan)
-    base = scan(F.transform(inside, lambda s: s["total"]))["before"]  # one per block
-    return F.flatten(
-        F.zip_with(inside, base, lambda s, b: F.transform(s["before"], lambda x: combine(b, x)))
-    )
+    def blocks(bound: Column) -> Column:
+        n_blocks = F.ceil(F.size(bound) / F.lit(_BLOCK)).cast("int")
+        starts = F.when(n_blocks > 0, F.sequence(F.lit(0), n_blocks - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda b: scan(F.slice(bound, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def combined(inside: Column) -> Column:
+        totals = F.transform(inside, lambda s: s["total"])
+        # a file of very many elements has many blocks, so their totals are scanned the same way
+        base = F.flatten(let(_grouped(totals, scan), lambda groups: _with_bases(groups, scan, combine)))
+        return F.flatten(
+            F.zip_with(inside, base, lambda s, b: F.transform(s["before"], lambda x: combine(b, x)))
+        )
+
+    # Both are looked into by index, or used twice, inside lambdas, so they are bound first.
+    return let(values, lambda v: let(blocks(v), combined))
+
+
+def _grouped(totals: Column, scan) -> Column:
+    """Scans of groups of ``_BLOCK`` totals."""
+    n = F.ceil(F.size(totals) / F.lit(_BLOCK)).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return let(totals, lambda t: F.transform(starts, lambda g: scan(F.slice(t, g * _BLOCK + 1, F.lit(_BLOCK)))))
+
+
+def _with_bases(groups: Column, scan, combine) -> Column:
+    base = scan(F.transform(groups, lambda s: s["total"]))["before"]
+    return F.zip_with(groups, base, lambda s, b: F.transform(s["before"], lambda x: combine(b, x)))
 
 
 def positions(texts: Column) -> Column:

@@ -22,9 +22,22 @@ def skip_own_commits(revisions: DataFrame, subject: str = OWN_SUBJECT) -> DataFr
 
 
 def changed_files(revisions: DataFrame, commit_id: int | None = None) -> DataFrame:
-    """Files touched by a commit (default: every commit) with ``prev_content`` beside them."""
-    with_prev = with_previous(revisions, ["content"])
-    return with_prev if commit_id is None else with_prev.where(F.col("commit_id") == commit_id)
+    """Files touched by a commit (default: every commit) with ``prev_content`` beside them.
+
+    What is lagged over the history is the number of the commit before; the texts of the chosen
+    rows then meet by path and commit, so no more text is shuffled than is returned.
+    """
+    rows = revisions.select("path", "commit_id", "commit_ts")
+    lagged = with_previous(rows, ["commit_id"])
+    if commit_id is not None:
+        lagged = lagged.where(F.col("commit_id") == commit_id)
+        revisions_now = revisions.where(F.col("commit_id") == commit_id)
+    else:
+        revisions_now = revisions
+    before = lagged.where("prev_commit_id IS NOT NULL").select("path", "commit_id", "prev_commit_id")
+    texts = revisions.select("path", F.col("commit_id").alias("prev_commit_id"), F.col("content").alias("prev_content"))
+    known = before.join(texts, ["path", "prev_commit_id"]).select("path", "commit_id", "prev_content")
+    return revisions_now.join(known, ["path", "commit_id"], "left").select(*revisions.columns, "prev_content")
 
 
 def with_previous(
@@ -49,14 +62,15 @@ def code_digests(revisions: DataFrame) -> DataFrame:
 def change_kind(revisions: DataFrame, force: bool = False) -> DataFrame:
     """(path, ext, commit_id, commit_ts, message, kind, skipped).
 
-    ``kind``: new, code, or comment_only when the text without comments is unchanged. A
-    missing or empty predecessor never makes a change comment-only. ``skipped`` is false
-    for everything under ``force``.
+    ``kind``: new, code, deleted (no content), or comment_only when the text without comments is
+    unchanged. A missing, deleted or empty predecessor never makes a change comment-only.
+    ``skipped`` is false for everything under ``force``.
     """
     digests = with_previous(code_digests(revisions), ["digest", "is_empty"])
     same = (F.col("digest") == F.col("prev_digest")) & ~F.col("prev_is_empty")
     kind = (
-        F.when(F.col("prev_digest").isNull(), "new")
+        F.when(F.col("digest").isNull(), "deleted")
+        .when(F.col("prev_digest").isNull(), "new")
         .when(same, "comment_only")
         .otherwise("code")
     )
@@ -72,11 +86,11 @@ def change_kind(revisions: DataFrame, force: bool = False) -> DataFrame:
 
 
 def to_annotate(revisions: DataFrame, force: bool = False, subject: str = OWN_SUBJECT) -> DataFrame:
-    """Revisions to send to the annotator: accepted language, not ignored, not made by the
-    engine itself, and not comment-only."""
+    """Revisions to send to the annotator: accepted language (by the path, whatever its case),
+    not ignored, there after the commit, not made by the engine itself, and not comment-only."""
     # Revisions of the engine stay in until the comparison: they are predecessors too.
-    wanted = drop_ignored_commit(revisions.where(F.col("ext").isin(*EXTENSIONS)))
-    kinds = change_kind(wanted, force)
+    wanted = drop_ignored_commit(with_ext(revisions).where(F.col("ext").isin(*EXTENSIONS)))
+    kinds = change_kind(wanted, force).where(F.col("kind") != "deleted")
     return skip_own_commits(kinds, subject).where(~F.col("skipped"))
 
 

@@ -1,17 +1,16 @@
 """Exact lexing of files whose block comments nest deeper than the patterns reach.
 
 Only rows that ``lexing.too_deep`` selects come here (languages with nesting comments
-and more comment openings than the pattern has levels), as Arrow batches. The helper is
+and more comment openings than the pattern has levels); for others the argument is NULL. The helper is
 a few lines of Python over match positions; all other rows stay in the JVM.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What can begin outside a comment, for the two nesting families.
@@ -54,22 +53,19 @@ def nested_tokens(text: str, family: str) -> list[str]:
     return out
 
 
-def lex_nested(
-    files: DataFrame, content: str, family: str, output: str, tail: str = ""
-) -> DataFrame:
-    """Adds column ``output`` (ARRAY<STRING>) with the tokens of ``content`` + ``tail``, LF line ends."""
-    schema = T.StructType([*files.schema.fields, T.StructField(output, T.ArrayType(T.StringType()))])
+def nested_lexer(tail: str = ""):
+    """A column function (text, family) -> ARRAY<STRING>: the tokens of text + ``tail``, with LF line
+    ends; NULL where the text is, which is nearly everywhere."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, families = batch.column(content), batch.column(family)
-            tokens = [
-                nested_tokens(t.replace("\r\n", "\n") + tail, f)
-                for t, f in zip(texts.to_pylist(), families.to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(tokens, pa.list_(pa.string()))],
-                names=[*batch.schema.names, output],
-            )
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def lex(texts: pa.Array, families: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        if texts.null_count == len(texts):
+            return pa.nulls(len(texts), kind)
+        tokens = [
+            None if t is None else nested_tokens(t.replace("\r\n", "\n") + tail, f)
+            for t, f in zip(texts.to_pylist(), families.to_pylist())
+        ]
+        return pa.array(tokens, kind)
 
-    return files.mapInArrow(run, schema)
+    return lex

@@ -1,119 +1,103 @@
-"""Lexing a table of files: the columns every other operator starts from."""
+"""Lexing a table of files: the columns every other operator starts from.
 
-from __future__ import annotations
+Files whose block comments may nest deeper than the patterns reach are lexed by a column
+function of their own, whose argument is NULL for every other file. So there is one plan for
+all files, each is read once, and only such texts leave the JVM.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
-from ..functions.langs import LANGUAGES, NESTED_FAMILIES, family_of
-from .deep_nesting import lex_nested
+from ..functions.langs import family_of
+from .deep_nesting import nested_lexer
 
-_NESTED_EXT = [ext for ext, family, _ in LANGUAGES if family in NESTED_FAMILIES]
 _TOKENS = "__tokens"
-_FAMILY = "__family"
 MARKED = "__marked"
 
 
-class PatternLexer:
-    """Lexes with the family patterns; exact for all files but very deeply nested ones."""
-
-    def _lex(self, files, content, output, by_pattern, by_tokens, tail=""):
-        return files.withColumn(output, by_pattern(F.col(content), family_of(F.col("ext"))))
+def _lex(files: DataFrame, content: str, output: str, by_pattern, by_tokens, tail: str = "") -> DataFrame:
+    files = settled(files, content)
+    text, family = F.col(content), family_of(F.col("ext"))
+    deep = F.when(lexing.too_deep(text, family), text)
+    tokens = nested_lexer(tail)(deep, F.when(deep.isNotNull(), family))
+    exact = F.when(F.col(_TOKENS).isNotNull(), by_tokens(F.col(_TOKENS), family))
+    return (
+        files.withColumn(_TOKENS, tokens)
+        .withColumn(output, exact.otherwise(by_pattern(text, family)))
+        .drop(_TOKENS)
+    )
 
-    def marked(
-        self, files: DataFrame, content: str = "content", when: Column | None = None
-    ) -> DataFrame:
-        """Adds the marked text (see ``functions.lexing``); NULL where ``when`` is false.
 
-        ``when`` saves the lexing of rows whose result is known without it.
-        """
-
-        def guarded(build):
-            return lambda x, family: build(x, family) if when is None else F.when(when, build(x, family))
-
-        return self._lex(
-            files,
-            content,
-            MARKED,
-            guarded(lexing.marked_text),
-            guarded(lexing.marked_from_tokens),
-            tail="\n",
-        )
+def settled(files: DataFrame, *columns: str) -> DataFrame:
+    """The same rows with ``columns`` computed here and nowhere else.
 
-    def segments(self, files: DataFrame, content: str = "content") -> DataFrame:
-        """Adds ``segments`` ARRAY<STRUCT<code, comment>>."""
-        return self._lex(
-            files, content, "segments", lexing.segments, lexing.segments_from_tokens
-        )
-
-    def gaps(self, files: DataFrame, content: str = "content") -> DataFrame:
-        """Adds ``gaps``: the text with comments replaced by gaps (escaped if it has marks)."""
-        from .strip import code_with_gaps
-
-        def by_pattern(text: Column, family: Column) -> Column:
-            return F.when(
-                lexing.has_marks(text), code_with_gaps(lexing.segments(text, family))
-            ).otherwise(lexing.code_with_gaps(text, family))
-
-        def by_tokens(tokens: Column, family: Column) -> Column:
-            return code_with_gaps(lexing.segments_from_tokens(tokens, family))
+    A text may have been lexed and rewritten before it is lexed again: the optimizer would write the
+    first rewriting into each use of its result, also where no column function can stand. An
+    explode of one element keeps it from that, and from repeating the work.
+    """
+    for name in columns:
+        rest = [c for c in files.columns if c != name]
+        files = files.select(*rest, F.explode(F.array(name)).alias(name)).select(*files.columns)
+    return files
 
-        return self._lex(files, content, "gaps", by_pattern, by_tokens)
 
-    def tokens(self, files: DataFrame, content: str = "content") -> DataFrame:
-        """Adds ``tokens`` ARRAY<STRUCT<kind, text>>: the text in order, nothing lost."""
+def with_marked(
+    files: DataFrame, content: str = "content", when: Column | None = None
+) -> DataFrame:
+    """Adds the marked text (see ``functions.lexing``); NULL where ``when`` is false.
 
-        def typed(tokens: Column, family: Column) -> Column:
-            return F.transform(
-                tokens,
-                lambda t: F.struct(lexing.token_kind(t, family).alias("kind"), t.alias("text")),
-            )
+    ``when`` saves the lexing of rows whose result is known without it.
+    """
 
-        return self._lex(
-            files,
-            content,
-            "tokens",
-            lambda text, family: typed(lexing.tokens(text, family), family),
-            typed,
-        )
+    def guarded(build):
+        return lambda x, family: build(x, family) if when is None else F.when(when, build(x, family))
 
+    return _lex(
+        files,
+        content,
+        MARKED,
+        guarded(lexing.marked_text),
+        guarded(lexing.marked_from_tokens),
+        tail="\n",
+    )
 
-class DeepLexer(PatternLexer):
-    """Lexes files of the nesting languages exactly at any depth (Arrow batches)."""
 
-    def _lex(self, files, content, output, by_pattern, by_tokens, tail=""):
-        typed = files.withColumn(_FAMILY, family_of(F.col("ext")))
-        lexed = lex_nested(typed, content, _FAMILY, _TOKENS, tail)
-        return lexed.withColumn(output, by_tokens(F.col(_TOKENS), F.col(_FAMILY))).drop(
-            _TOKENS, _FAMILY
-        )
+def with_segments(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``segments`` ARRAY<STRUCT<code, comment>>."""
+    return _lex(files, content, "segments", lexing.segments, lexing.segments_from_tokens)
 
 
-def by_depth(
-    files: DataFrame, build: Callable[[DataFrame, PatternLexer], DataFrame], content: str = "content"
-) -> DataFrame:
-    """``build(files, lexer)`` over ordinary and over deeply nested files, put together.
+def with_gaps(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``gaps``: the text with comments replaced by gaps (escaped if it has marks)."""
+    from .strip import code_with_gaps
 
-    The second branch reads only the extensions with nesting comments, and only rows
-    with very many comment openings leave the JVM. Stripping never adds an opening, so a
-    pipeline that lexes its own output again stays in its branch.
-    """
-    deep = lexing.too_deep(F.col(content), family_of(F.col("ext")))
-    ordinary = build(files.where(~deep), PatternLexer())
-    nested = build(files.where(F.col("ext").isin(*_NESTED_EXT) & deep), DeepLexer())
-    return ordinary.unionByName(nested)
+    def by_pattern(text: Column, family: Column) -> Column:
+        return F.when(
+            lexing.has_marks(text), code_with_gaps(lexing.segments(text, family))
+        ).otherwise(lexing.code_with_gaps(text, family))
 
+    def by_tokens(tokens: Column, family: Column) -> Column:
+        return code_with_gaps(lexing.segments_from_tokens(tokens, family))
 
-def with_marked(files: DataFrame, content: str = "content") -> DataFrame:
-    return by_depth(files, lambda f, lexer: lexer.marked(f, content), content)
+    return _lex(files, content, "gaps", by_pattern, by_tokens)
 
 
-def with_segments(files: DataFrame, content: str = "content") -> DataFrame:
-    return by_depth(files, lambda f, lexer: lexer.segments(f, content), content)
+def with_tokens(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds ``tokens`` ARRAY<STRUCT<kind, text>>: the text in order, nothing lost."""
 
+    def typed(tokens: Column, family: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda t: F.struct(lexing.token_kind(t, family).alias("kind"), t.alias("text")),
+        )
 
-def with_tokens(files: DataFrame, content: str = "content") -> DataFrame:
-    return by_depth(files, lambda f, lexer: lexer.tokens(f, content), content)
+    return _lex(
+        files,
+        content,
+        "tokens",
+        lambda text, family: typed(lexing.tokens(text, family), family),
+        typed,
+    )

@@ -7,7 +7,7 @@ Everything up to the accepted items is row-local.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -47,7 +47,7 @@ def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -
         for name, where in TEXT_PATHS.items():
             text = F.when(provider == name, F.try_variant_get(v, where, "string")).otherwise(text)
         failed = F.try_variant_get(v, "$.error", "variant")
-        has_error = failed.isNotNull() & (F.schema_of_variant(failed) != "VOID")
+        has_error = _truthy(failed)
         return F.struct(
             F.when(~has_error, text).alias("text"),
             F.when(v.isNull(), "bad_envelope")
@@ -57,11 +57,30 @@ def response_text(responses: DataFrame, keep_columns: list[str] | None = None) -
             F.when(has_error, F.try_variant_get(v, "$.error.message", "string")).alias("message"),
         )
 
+    keep_last_of_duplicate_keys(responses.sparkSession)
     return responses.withColumn("__r", let(parse_json(F.col("body")), unpack)).select(
         "path", *(keep_columns or []), "provider", "__r.text", "__r.err", "__r.message"
     )
 
 
+def keep_last_of_duplicate_keys(spark: SparkSession) -> None:
+    """Lets an object repeat a key, in which case its last value counts, for plans of this session."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def _truthy(v: Column) -> Column:
+    """Whether a JSON value is neither missing nor null, false, zero or an empty string."""
+    kind = _kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), F.lit(False))
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(kind.isin("OBJECT", "ARRAY"), F.lit(True))
+        .otherwise(F.coalesce(number != 0, F.lit(True)))
+    )
+
+
 def parse_json(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else NULL.
 
@@ -110,8 +129,11 @@ def _checked(item: Column, action: str | None) -> Column:
         act = F.try_variant_get(item, "$.action", "variant")
         same = (_kind(act) == "STRING") & (F.try_variant_get(item, "$.action", "string") == action)
         err = err.when(~F.coalesce(same, F.lit(False)), "bad_action")
+    # A number past every BIGINT is a good line number, though no file has that line.
+    known = F.when(F.coalesce(whole, F.lit(False)), number)
     return F.struct(
-        F.when(F.coalesce(whole, F.lit(False)), F.least(number, F.lit(9e18)).cast("bigint")).alias("line"),
+        known.try_cast("bigint").alias("line"),
+        (known.isNotNull() & known.try_cast("bigint").isNull()).alias("past_any_file"),
         F.when(is_text, text).alias("comment"),
         err.alias("err"),
     )
@@ -152,16 +174,17 @@ def checked_items(
 
 
 def response_items(responses: DataFrame, mode: str = "default") -> DataFrame:
-    """items(path, idx, line, comment, err): one row per array element."""
+    """items(path, idx, line, past_any_file, comment, err): one row per array element."""
     return (
         checked_items(responses, mode)
         .select("path", F.posexplode("items").alias("idx", "i"))
-        .select("path", "idx", "i.line", "i.comment", "i.err")
+        .select("path", "idx", "i.line", "i.past_any_file", "i.comment", "i.err")
     )
 
 
 def accepted_items(responses: DataFrame, mode: str = "default") -> DataFrame:
-    """suggestions(path, idx, line, comment) of responses in which every item is good."""
+    """suggestions(path, idx, line, comment) of responses in which every item is good; ``line`` is NULL
+    where the number is past any file."""
     # The test sits inside the explode: a filter would be pushed down and check twice.
     good = F.when(F.col("err").isNull(), F.col("items"))
     return (
@@ -188,20 +211,22 @@ FIRST_DELAY_MS = 1000
 
 
 def request_outcomes(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """(request_id, attempts_used, outcome, status, error, waited_ms).
+    """(request_id, attempts_used, outcome, status, error, waited_ms, n_extra).
 
     attempts(request_id, attempt, status, error), attempt from 0. 2xx is done; 429, 5xx
     and attempts without a status (network, timeout) are tried again while attempts are
     left; any other status is returned as it is. A plain aggregate: partial sums are
-    built before the shuffle, so a busy request id is no hot spot.
+    built before the shuffle, so a busy request id is no hot spot. ``n_extra`` counts the
+    attempts that do not take part: beyond the limit, or without a number.
     """
-    used = attempts.where(F.col("attempt").between(0, max_attempts - 1))
+    used = F.coalesce(F.col("attempt").between(0, max_attempts - 1), F.lit(False))
     ok = F.col("status").between(200, 299)
     retry = F.col("status").isNull() | (F.col("status") == 429) | F.col("status").between(500, 599)
     seen = F.struct("attempt", "status", "error", ok.alias("ok"), retry.alias("retry"))
-    per_request = used.groupBy("request_id").agg(
-        F.min(F.when(~F.coalesce(retry, F.lit(True)), seen)).alias("final"),
-        F.max(seen).alias("last"),
+    per_request = attempts.groupBy("request_id").agg(
+        F.min(F.when(used & ~F.coalesce(retry, F.lit(True)), seen)).alias("final"),
+        F.max(F.when(used, seen)).alias("last"),
+        F.count_if(~used).alias("n_extra"),
     )
     final, last = F.col("final"), F.col("last")
     end = F.coalesce(final, last)
@@ -209,7 +234,7 @@ def request_outcomes(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> D
     waits = end["attempt"]
     return per_request.select(
         "request_id",
-        (end["attempt"] + 1).cast("bigint").alias("attempts_used"),
+        F.coalesce(end["attempt"] + 1, F.lit(0)).cast("bigint").alias("attempts_used"),
         F.when(final["ok"], "done")
         .when(final.isNotNull(), "returned")
         .when(last["attempt"] == max_attempts - 1, "failed")
@@ -217,5 +242,6 @@ def request_outcomes(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> D
         .alias("outcome"),
         end["status"].alias("status"),
         end["error"].alias("error"),
-        (F.lit(FIRST_DELAY_MS) * (F.pow(F.lit(2.0), waits) - 1)).cast("bigint").alias("waited_ms"),
+        (F.lit(FIRST_DELAY_MS) * (F.pow(F.lit(2.0), F.coalesce(waits, F.lit(0))) - 1)).cast("bigint").alias("waited_ms"),
+        "n_extra",
     )

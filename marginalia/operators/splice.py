@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import TAG, eol_of, join_lines, split_lines, trim_start
-from .lexed import MARKED, PatternLexer, by_depth, with_marked
+from .lexed import MARKED, with_marked
 from .lines import line_array, starts_in_string
 from .strip import check_tag, clean, line_requests, prune, strip_with
 
@@ -92,7 +92,7 @@ def insertion_blocks(suggestions: DataFrame, tag: str = TAG) -> DataFrame:
         .withColumn("text", F.array_join(F.transform("texts", lambda t: t["text"]), "\n"))
     )
     block = F.struct(
-        F.least("line", F.lit(2**31 - 1)).cast("int").alias("line"),
+        F.col("line").cast("int").alias("line"),
         F.lit(0).alias("is_code"),
         (-F.col("chunk")).alias("order"),
         F.col("text"),
@@ -101,11 +101,14 @@ def insertion_blocks(suggestions: DataFrame, tag: str = TAG) -> DataFrame:
 
 
 def as_blocks(items: Column, tag: str = TAG) -> Column:
-    """The same blocks from an array of (line, comment) that is already in the file's row."""
+    """The same blocks from an array of (line, comment) that is already in the file's row.
+
+    A line without a number, or past any array's length, is past the file and left out.
+    """
     return F.transform(
-        items,
+        F.filter(items, lambda s: s["line"].between(1, 2**31 - 2)),
         lambda s, i: F.struct(
-            F.least(s["line"], F.lit(2**31 - 1)).cast("int").alias("line"),
+            s["line"].cast("int").alias("line"),
             F.lit(0).alias("is_code"),
             (-i).cast("bigint").alias("order"),
             F.array_join(expanded(s["comment"], tag), "\n").alias("text"),
@@ -173,9 +176,10 @@ def merged_array(content: Column, marked: Column, blocks: Column) -> Column:
 
 
 def _with_blocks(files: DataFrame, suggestions: DataFrame, tag: str) -> DataFrame:
-    # Lines that do not exist are dropped where the file's lines are at hand (see
-    # merged_array); testing them here would read and strip every file a second time.
-    return files.join(insertion_blocks(suggestions.where(F.col("line") >= 1), tag), "path", "left")
+    # Lines past the end are dropped before anything is gathered (however many suggestions name
+    # them) and, as stripping may shorten a file, again in merged_array.
+    inside = line_requests(files, suggestions, 1)
+    return files.join(insertion_blocks(inside, tag), "path", "left")
 
 
 def splice_merged(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
@@ -190,12 +194,12 @@ def rebuilt(merged: Column, content: Column) -> Column:
     return join_lines(F.transform(merged, lambda x: x["text"]), eol_of(content))
 
 
-def splice_with(lexer: PatternLexer, files: DataFrame) -> DataFrame:
+def splice_with(files: DataFrame) -> DataFrame:
     """Inserts the ``blocks`` of each file.
 
     Files without blocks are not lexed; only their line ends become uniform.
     """
-    lexed = lexer.marked(files, when=F.col("blocks").isNotNull())
+    lexed = with_marked(files, when=F.col("blocks").isNotNull())
     text = F.col("content")
     new = rebuilt(merged_array(text, F.col(MARKED), F.col("blocks")), text)
     same = join_lines(split_lines(text), eol_of(text))
@@ -204,9 +208,38 @@ def splice_with(lexer: PatternLexer, files: DataFrame) -> DataFrame:
     ).drop(MARKED, "blocks")
 
 
+def checked_splice(files: DataFrame) -> DataFrame:
+    """``splice_with`` that proves itself: adds ``intact``, and where that is false leaves the content.
+
+    A file is intact if its lines are all in the new text, unchanged and in their order. The check
+    is made on the merged lines in the file's row, so nothing is read or joined for it.
+    """
+    lexed = with_marked(files, when=F.col("blocks").isNotNull())
+    text = F.col("content")
+
+    def judged(merged: Column) -> Column:
+        kept = F.filter(merged, lambda x: x["orig_line"].isNotNull())
+        same = F.transform(kept, lambda x: x["text"]) == split_lines(text)
+        ordered = F.transform(kept, lambda x: x["orig_line"]) == F.sequence(F.lit(1), F.size(split_lines(text)))
+        return F.struct((same & ordered).alias("intact"), rebuilt(merged, text).alias("content"))
+
+    result = F.when(
+        F.col("blocks").isNotNull(), let(merged_array(text, F.col(MARKED), F.col("blocks")), judged)
+    ).otherwise(F.struct(F.lit(True).alias("intact"), join_lines(split_lines(text), eol_of(text)).alias("content")))
+    spliced = lexed.select(
+        *[c for c in files.columns if c not in ("content", "blocks")], text.alias("__was"), result.alias("__r")
+    )
+    intact = F.coalesce("__r.intact", F.lit(False))
+    return spliced.select(
+        *[c for c in files.columns if c not in ("content", "blocks")],
+        F.when(intact, F.col("__r.content")).otherwise(F.col("__was")).alias("content"),
+        intact.alias("intact"),
+    )
+
+
 def splice(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
     """Files with the suggested comments inserted, indented and tagged."""
-    return by_depth(_with_blocks(files, suggestions, tag), lambda f, lexer: splice_with(lexer, f))
+    return splice_with(_with_blocks(files, suggestions, tag))
 
 
 def spliced_lines(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
@@ -235,7 +268,5 @@ def annotate(
     check_tag(tag)
     stripped_tag = None if overwrite and not keep else tag
 
-    def build(f: DataFrame, lexer: PatternLexer) -> DataFrame:
-        return splice_with(lexer, strip_with(lexer, f, stripped_tag, "content", "content"))
-
-    return by_depth(_with_blocks(files, suggestions, tag), build)
+    stripped = strip_with(_with_blocks(files, suggestions, tag), stripped_tag, "content", "content")
+    return splice_with(stripped)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import lexing
 from ..functions.arrays import flags_at, let
 from ..functions.text import BLANK_NO_LF, TAG, eol_of, is_blank, join_lines, split_lines, trim, trim_end
-from .lexed import MARKED, PatternLexer, by_depth, with_marked
+from .lexed import MARKED, with_gaps, with_marked
 from .lines import (
     comment_tail,
     ends_in_block,
@@ -123,13 +123,11 @@ def _with_crlf(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\r\n"))
 
 
-def strip_with(
-    lexer: PatternLexer, files: DataFrame, tag: str | None, content: str, output: str
-) -> DataFrame:
+def strip_with(files: DataFrame, tag: str | None, content: str, output: str) -> DataFrame:
     text = F.col(content)
     # clean leaves a file without the tag as it is, so it need not be lexed
     relevant = None if tag is None else F.contains(text, F.lit(tag))
-    lexed = lexer.marked(files, content, relevant)
+    lexed = with_marked(files, content, relevant)
     result = join_lines(stripped_array(text, F.col(MARKED), tag), eol_of(text))
     if relevant is not None:
         result = F.when(relevant, result).otherwise(_whole_lines(text))
@@ -144,7 +142,7 @@ def prune(
         return strict_prune(files, content, output)
     if policy != "compat":
         raise ValueError(f"unknown policy {policy!r}")
-    return by_depth(files, lambda f, lexer: strip_with(lexer, f, None, content, output), content)
+    return strip_with(files, None, content, output)
 
 
 def clean(
@@ -152,7 +150,7 @@ def clean(
 ) -> DataFrame:
     """Files without tagged comments."""
     check_tag(tag)
-    return by_depth(files, lambda f, lexer: strip_with(lexer, f, tag, content, output), content)
+    return strip_with(files, tag, content, output)
 
 
 def check_tag(tag: str) -> None:
@@ -214,9 +212,14 @@ def _close_gaps(text: Column) -> Column:
     return F.substring(text, F.lit(2), F.length(text))
 
 
-def strict_with(lexer: PatternLexer, files: DataFrame, content: str, output: str) -> DataFrame:
+def strict_prune(files: DataFrame, content: str = "content", output: str = "content") -> DataFrame:
+    """Removes exactly the comment text: no code and no string content goes with it.
+
+    Lines on which nothing but comment stood go entirely, blanks in front of a comment
+    that ends its line go too, and words that a comment kept apart get a space. Row-local.
+    """
     text = F.col(content)
-    lexed = lexer.gaps(files, content)
+    lexed = with_gaps(files, content)
     # Escaping is for files that hold characters used as marks, and for those only.
     closed = _close_gaps(F.col("gaps"))
     closed = F.when(lexing.has_marks(text), _unescaped(closed)).otherwise(closed)
@@ -225,15 +228,6 @@ def strict_with(lexer: PatternLexer, files: DataFrame, content: str, output: str
     return lexed.withColumn(output, result).drop("gaps")
 
 
-def strict_prune(files: DataFrame, content: str = "content", output: str = "content") -> DataFrame:
-    """Removes exactly the comment text: no code and no string content goes with it.
-
-    Lines on which nothing but comment stood go entirely, blanks in front of a comment
-    that ends its line go too, and words that a comment kept apart get a space. Row-local.
-    """
-    return by_depth(files, lambda f, lexer: strict_with(lexer, f, content, output), content)
-
-
 # -- explicit deletions -------------------------------------------------------------
 def line_requests(files: DataFrame, requests: DataFrame, past_end: int) -> DataFrame:
     """Requests whose ``line`` exists in their file, up to ``past_end`` lines behind it."""
@@ -258,9 +252,10 @@ def apply_deletions(
     deletions(path, line). Only lines that look like comment are deleted. Returns the
     files and refused(path, line, text), the requests that would have deleted code.
     """
-    # Distinct existing lines: no more of them per file than the file has lines.
+    # Distinct lines; those a file does not have find no place among its lines.
     asked = (
-        line_requests(files, deletions.select("path", "line"), 0)
+        deletions.select("path", "line")
+        .where(F.col("line").between(1, 2**31 - 1))
         .distinct()
         .groupBy("path")
         .agg(F.collect_list(F.col("line").cast("int")).alias("__asked"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexing
 from ..functions.text import TAG, is_blank
-from .lexed import MARKED, by_depth, with_marked
+from .lexed import MARKED, settled, with_gaps, with_marked
 from .lines import is_pure_comment, line_array, starts_in_string
-from .splice import rebuilt, splice_merged
+from .splice import rebuilt, splice, splice_merged
 from .strip import clean, stripped_array
 from .windows import lag_in_buckets
 
@@ -56,10 +56,16 @@ def verify_order(out_lines: DataFrame, chunk: int = 4096) -> DataFrame:
     )
 
 
+def flag_violations(files: DataFrame, violations: DataFrame, flag: str = "bad") -> DataFrame:
+    """Files with a column that says whether any violation names them; one pass over both."""
+    bad = violations.select("path").distinct().withColumn(flag, F.lit(True))
+    return files.join(bad, "path", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def quarantine(files: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files that may be written, files with a violation)."""
-    bad = violations.select("path").distinct()
-    return files.join(bad, "path", "left_anti"), files.join(bad, "path", "left_semi")
+    """(files that may be written, files with a violation). To have both, store ``flag_violations``."""
+    flagged = flag_violations(files, violations, "__bad")
+    return flagged.where(~F.col("__bad")).drop("__bad"), flagged.where("__bad").drop("__bad")
 
 
 def verify_roundtrip(before: DataFrame, after: DataFrame, tag: str = TAG) -> DataFrame:
@@ -76,10 +82,20 @@ def verify_roundtrip(before: DataFrame, after: DataFrame, tag: str = TAG) -> Dat
     )
 
 
+def splice_roundtrip(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
+    """(path): files that splicing changes for ``clean``: what cleaning leaves of them is not what it
+    leaves of the spliced text. The original travels in the row, so nothing is joined."""
+    kept = files.select("path", "ext", "content", F.col("content").alias("__before"))
+    after = clean(splice(kept, suggestions, tag), tag, output="__is")
+    both = clean(after, tag, content="__before", output="__was")
+    differs = F.filter(F.array(F.struct("__was", "__is")), lambda t: ~t["__was"].eqNullSafe(t["__is"]))
+    return both.select("path", F.explode(differs)).select("path")
+
+
 def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
     """(path, line_no, text): lines that compat stripping deletes though they hold code
     or string content."""
-    lexed = by_depth(files, lambda f, lexer: lexer.gaps(lexer.marked(f)))
+    lexed = with_gaps(with_marked(files))
     text = F.col("content")
     lines = F.arrays_zip(
         line_array(text, F.col(MARKED)).alias("line"),
@@ -98,7 +114,7 @@ def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
 
 def payload_audit(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
     """(path, out_line, text): inserted lines that are not comment in the file's language."""
-    merged = splice_merged(files, suggestions, tag)
+    merged = settled(splice_merged(files, suggestions, tag), "merged")
     merged = merged.withColumn("__new", rebuilt(F.col("merged"), F.col("content")))
     lexed = with_marked(merged.select("path", "ext", "merged", "__new"), "__new")
     lines = F.arrays_zip(

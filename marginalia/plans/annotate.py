@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TAG
 from ..operators import responses
-from ..operators.lexed import PatternLexer, by_depth
 from ..operators.prompts import build_prompts
-from ..operators.splice import as_blocks, prepared, splice_with
+from ..operators.splice import as_blocks, checked_splice, prepared
 
 # Given the prompts of a batch, returns one response body per prompt (None: no answer).
 Annotator = Callable[[list[str]], list[str | None]]
@@ -64,6 +63,9 @@ def annotate_files(
 ) -> DataFrame:
     """(path, ext, content, err): the new text, or the stripped one and what was wrong.
 
+    ``err`` is a fault of the response, or ``changed_lines`` if a line of the file would not come
+    out as it was. Only rows without ``err`` are to be written (``accepted``).
+
     Filter ``files`` first (see ``changes.to_annotate``): nothing is pushed below the
     call of the annotator.
     """
@@ -74,10 +76,14 @@ def annotate_files(
     blocks = as_blocks(F.when(F.col("err").isNull(), F.col("items")), tag)
     ready = checked.select("path", "ext", "content", "err", blocks.alias("blocks"))
 
-    def build(f: DataFrame, lexer: PatternLexer) -> DataFrame:
-        return splice_with(lexer, f)
+    err = F.coalesce("err", F.when(~F.col("intact"), F.lit("changed_lines")))
+    return checked_splice(ready).select("path", "ext", "content", err.alias("err"))
+
 
-    return by_depth(ready, build).select("path", "ext", "content", "err")
+def accepted(annotated: DataFrame) -> DataFrame:
+    """(path, ext, content) of the files of an annotation run that may be written."""
+    good = F.filter(F.array(F.struct("content", "err")), lambda r: r["err"].isNull())
+    return annotated.select("path", "ext", F.explode(good).alias("r")).select("path", "ext", "r.content")
 
 
 def run_log(annotated: DataFrame) -> DataFrame:

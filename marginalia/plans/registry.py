@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..operators import changes, lines, metrics, prompts, responses, splice, strip, verify
 from ..sources import ignore
 from ..sources.corpora import corpus
+from ..sources.files import write_files
 from ..sources.shared import shared_folder
 from ..streaming import revisions
 from . import annotate
@@ -169,6 +170,26 @@ def hard_strict_prune(spark, d):
     return strip.prune(corpus(spark, d, "hard_part"), policy="strict").select("path", "content")
 
 
+@query
+def quirk_strict_prune(spark, d):
+    return strip.prune(corpus(spark, d, "quirk_part"), policy="strict").select("path", "content")
+
+
+@query
+def quirk_comments(spark, d):
+    return lines.comments(corpus(spark, d, "quirk_part")).select("path", "seq", "text")
+
+
+@query
+def doc_prune(spark, d):
+    return strip.prune(corpus(spark, d, "docs_text")).select("path", "content")
+
+
+@query
+def doc_density(spark, d):
+    return metrics.density(corpus(spark, d, "docs_text"))
+
+
 @query
 def dry_run(spark, d):
     return strip.preview(corpus(spark, d, "src_part"), lambda f: strip.clean(f, output="after"))
@@ -203,6 +224,13 @@ def refused_suggestions(spark, d):
     return splice.refused_suggestions(asked, corpus(spark, d, "src_part")).select("path", "line")
 
 
+@query
+def insertable_suggestions(spark, d):
+    asked = corpus(spark, d, "del_part").withColumn("idx", F.lit(0)).withColumn("comment", F.lit("// x"))
+    ok, _ = splice.insertable(asked, corpus(spark, d, "src_part"))
+    return ok.select("path", "line")
+
+
 @query
 def expanded_comments(spark, d):
     return splice.expand_comments(corpus(spark, d, "sugg_order"))
@@ -253,8 +281,7 @@ def verify_order(spark, d):
 
 @query
 def verify_roundtrip(spark, d):
-    files, suggestions = _orders(spark, d)
-    return verify.verify_roundtrip(files, splice.splice(files, suggestions))
+    return verify.splice_roundtrip(*_orders(spark, d))
 
 
 @query
@@ -270,10 +297,7 @@ def payload_audit(spark, d):
 @query
 def quarantine(spark, d):
     files, suggestions = _orders(spark, d)
-    good, bad = verify.quarantine(files, verify.payload_audit(files, suggestions))
-    return good.select("path", F.lit(False).alias("bad")).unionByName(
-        bad.select("path", F.lit(True).alias("bad"))
-    )
+    return verify.flag_violations(files, verify.payload_audit(files, suggestions)).select("path", "bad")
 
 
 # -- prompts and responses --------------------------------------------------------------
@@ -305,6 +329,12 @@ def accepted_items(spark, d):
     return responses.accepted_items(corpus(spark, d, "resp_order"))
 
 
+@query
+def accepted_deletions(spark, d):
+    accepted = responses.accepted_items(corpus(spark, d, "resp_clean"), mode="clean")
+    return accepted.select("path", "idx", "line")
+
+
 @query
 def request_outcomes(spark, d):
     return responses.request_outcomes(corpus(spark, d, "attempts_events"))
@@ -318,12 +348,19 @@ def change_kind(spark, d):
 
 @query
 def to_annotate(spark, d):
-    return changes.to_annotate(corpus(spark, d, "rev_part")).drop("skipped")
+    return changes.to_annotate(corpus(spark, d, "rev_listed")).drop("skipped")
+
+
+@query
+def changed_files(spark, d):
+    sha = lambda c: F.sha2(F.col(c), 256).alias(c)
+    found = changes.changed_files(corpus(spark, d, "rev_listed"))
+    return found.select("path", "commit_id", sha("content"), sha("prev_content"))
 
 
 @query
 def files_per_commit(spark, d):
-    return changes.files_per_commit(corpus(spark, d, "rev_part"))
+    return changes.files_per_commit(corpus(spark, d, "rev_listed"))
 
 
 # -- metrics ----------------------------------------------------------------------------
@@ -361,11 +398,23 @@ def annotate_offline(spark, d):
     return annotate.annotate_files(ignore.drop_empty(files), annotate.offline_annotator)
 
 
+@query
+def written_version(spark, d):
+    """The sink: a version with every file, then one in which every third file is annotated."""
+    files = corpus(spark, d, "src_part").select("path", "ext", "content", "k")
+    first, second = shared_folder(spark, "version-1"), shared_folder(spark, "version-2")
+    write_files(files, first)
+    changed = files.where("k % 3 = 0").select("path", "ext", "content")
+    annotated = annotate.annotate_files(ignore.drop_empty(changed), annotate.offline_annotator)
+    write_files(annotate.accepted(annotated), second, previous=first)
+    return spark.read.parquet(second).select("path", "content")
+
+
 # -- streams ----------------------------------------------------------------------------
 def _revision_files(spark, d):
     """The revisions as a folder of files in commit order, for a stream to pick up."""
     folder = shared_folder(spark, "revisions")
-    revisions_sorted = corpus(spark, d, "rev_part").repartitionByRange(4, "commit_ts")
+    revisions_sorted = corpus(spark, d, "rev_part").repartitionByRange("commit_ts")
     revisions_sorted.write.parquet(folder)
     return folder
 

@@ -214,30 +214,38 @@ _SECOND = f"""CASE k % 4
   ELSE CASE WHEN k % 10 = 0 THEN body ELSE replace(body, {LF}, chr(13) || {LF}) END END"""
 
 
-def _revision(n: int) -> str:
+def _revision(n: int, more: str = "") -> str:
     content = _SECOND if n == 2 else _BODY.format("body")
     commit = f"(k % 50 * 3 + {n})"
     return f"""
 SELECT path, ext, CAST({commit} AS BIGINT) AS commit_id,
   TIMESTAMP '2024-01-01 00:00:00' + {commit} * INTERVAL '1' HOUR AS commit_ts,
   CASE WHEN {commit} % 7 = 0 THEN 'docs: auto-generated comments' ELSE 'change ' || CAST({commit} AS STRING) END AS message,
-  {content} AS content
+  {content} AS content{more}
 FROM (SELECT *, {_part_source()} AS body, {_part_source("' (edited)'")} AS edited FROM ({_PART_ROWS}) AS c) AS d
 """
 
 
+# What a commit touches as it is listed: the last revision may be a deletion, and a path may have an
+# extension in capitals, with which ``ext`` does not tell the language.
+def _listed() -> str:
+    return f"""
+SELECT CASE WHEN p % 6 = 0 THEN upper(path) ELSE path END AS path, CASE WHEN p % 6 = 0 THEN upper(ext) ELSE ext END AS ext,
+  commit_id, commit_ts, message, CASE WHEN p % 5 = 0 AND n = 3 THEN NULL ELSE content END AS content
+FROM ({"UNION ALL".join(_revision(n, f", k AS p, {n} AS n") for n in (1, 2, 3))}) AS r
+"""
+
+
 REV_PART = "UNION ALL".join(_revision(n) for n in (1, 2, 3))
+REV_LISTED = _listed()
 
-# Request attempts: at most three per user and day. The row limit per group is part of
-# the log's definition, and Spark applies it before the shuffle too.
+# Request attempts: every event is one, and four events in a row are one request, so the
+# fourth attempt is one more than a request may have.
 ATTEMPTS_EVENTS = """
-SELECT request_id, CAST(n - 1 AS INT) AS attempt, status, error FROM (
-  SELECT user_id * 100000 + CAST(date_part('year', ts) * 372 + date_part('month', ts) * 31 + date_part('day', ts) AS BIGINT) % 100000 AS request_id,
-    CASE event_type WHEN 'error' THEN 429 WHEN 'signup' THEN 503 WHEN 'click' THEN 400 ELSE 200 END AS status,
-    CASE event_type WHEN 'error' THEN 'slow down' WHEN 'signup' THEN 'unavailable' END AS error,
-    row_number() OVER (PARTITION BY user_id, date_part('year', ts), date_part('month', ts), date_part('day', ts) ORDER BY ts, event_id) AS n
-  FROM events) AS a
-WHERE n <= 3
+SELECT CAST(floor(event_id / 4.0) AS BIGINT) AS request_id, CAST(event_id % 4 AS INT) AS attempt,
+  CASE event_type WHEN 'error' THEN 429 WHEN 'signup' THEN 503 WHEN 'click' THEN 400 ELSE 200 END AS status,
+  CASE event_type WHEN 'error' THEN 'slow down' WHEN 'signup' THEN 'unavailable' END AS error
+FROM events
 """
 
 RUN_LOG_EVENTS = """
@@ -267,6 +275,42 @@ FROM (
   FROM (SELECT *, p_partkey AS k FROM part) AS a) AS b
 """
 
+# Rules that hang on one line: quotes that end with it, ``#`` in .php, ``#!`` lines. What has to
+# be left is written from the same row without lexing.
+_OPEN_QUOTE = "'s = ' || chr(34) || 'open ' || p_name"
+QUIRK_PART = f"""
+SELECT 'quirk_' || CAST(k AS STRING) || ext AS path, ext, k, p_type,
+  CASE k % 4 WHEN 0 THEN {_lines(_OPEN_QUOTE, "'call(); // ' || p_type")}
+    WHEN 1 THEN {_lines("'$x = ' || CAST(p_size AS STRING) || '; # ' || p_type", "'go();'")}
+    WHEN 2 THEN {_lines("'#!/bin/sh'", "'# ' || p_type", "'run ' || p_name")}
+    ELSE {_lines("'c = ' || chr(39) || p_name || ' /* not a comment'", "'/* ' || p_type || ' */ call();'")} END AS content,
+  CASE k % 4 WHEN 0 THEN {_lines(_OPEN_QUOTE, "'call();'")}
+    WHEN 1 THEN {_lines("'$x = ' || CAST(p_size AS STRING) || ';'", "'go();'")}
+    WHEN 2 THEN {_lines("'#!/bin/sh'", "'run ' || p_name")}
+    ELSE {_lines("'c = ' || chr(39) || p_name || ' /* not a comment'", "' call();'")} END AS expected
+FROM (SELECT *, CASE k % 4 WHEN 0 THEN '.java' WHEN 1 THEN '.php' WHEN 2 THEN '.sh' ELSE '.go' END AS ext
+  FROM (SELECT *, p_partkey AS k FROM part) AS a) AS b
+"""
+
+# Prose read as if it were source, so quotes and slashes come as they come in text.
+DOCS_TEXT = """
+SELECT 'doc_' || CAST(doc_id AS STRING) || ext AS path, ext, text AS content
+FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rb' WHEN 2 THEN '.php' ELSE '.scss' END AS ext
+  FROM documents WHERE text IS NOT NULL) AS a
+"""
+
+# Answers of a clean run: deletions, and what is no deletion.
+_DELETE = f"{_Q} || 'action' || {_Q} || ': ' || {_Q} || 'delete' || {_Q}"
+RESP_CLEAN = f"""
+SELECT path, provider, {_json('{"choices": [{"message": {"content": "%s"}}]}')} AS body
+FROM (SELECT 'order_' || CAST(o_orderkey AS STRING) AS path, 'openai' AS provider, {_cases("o_orderkey % 4", [
+    f"'[{{' || {_Q} || 'line' || {_Q} || ': ' || CAST(1 + o_custkey % 9 AS STRING) || ', ' || {_DELETE} || '}}]'",
+    f"'[{{' || {_Q} || 'line' || {_Q} || ': 2, ' || {_Q} || 'comment' || {_Q} || ': ' || {_Q} || '// a' || {_Q} || '}}]'",
+    f"'[{{' || {_Q} || 'line' || {_Q} || ': 1, ' || {_DELETE} || '}}, {{' || {_Q} || 'line' || {_Q} || ': 3, ' || {_DELETE} || '}}]'",
+    f"'[{{' || {_Q} || 'line' || {_Q} || ': 0, ' || {_DELETE} || '}}]'",
+  ])} AS answer FROM orders) AS a
+"""
+
 CORPORA = {
     "pages_html": (PAGES_HTML, "pages"),
     "src_part": (SRC_PART, "part"),
@@ -275,26 +319,20 @@ CORPORA = {
     "del_part": (DEL_PART, "part"),
     "resp_order": (RESP_ORDER, "orders"),
     "rev_part": (REV_PART, "part"),
+    "rev_listed": (REV_LISTED, "part"),
     "attempts_events": (ATTEMPTS_EVENTS, "events"),
     "run_log_events": (RUN_LOG_EVENTS, "events"),
     "hard_part": (HARD_PART, "part"),
+    "quirk_part": (QUIRK_PART, "part"),
+    "docs_text": (DOCS_TEXT, "documents"),
+    "resp_clean": (RESP_CLEAN, "orders"),
 }
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """Rows over all cores where a table is too small to be read in as many splits.
-
-    The text a row turns into is many times its size, so it is the short rows that move.
-    Large tables have more splits than cores and are left alone.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
-
-
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus over the parquet tables in ``sf_dir``."""
     sql, table = CORPORA[name]
-    source = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     sql = sql.replace("{", "{{").replace("}", "}}")  # braces here are text, not fields
     df = spark.sql(f"WITH {table} AS (SELECT * FROM {{source}}) {sql}", source=source)
     if "content" not in df.columns:

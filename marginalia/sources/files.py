@@ -54,9 +54,14 @@ def scan_source_tree(
     """
     user = None if ignore_file is None else spark.read.text(ignore_file)
     files = scan_files(spark, root)
-    # binaryFile paths are URIs, so the root has to be one as well
-    base = root if "://" in root or root.startswith("file:") else "file:" + os.path.abspath(root)
-    return drop_empty(drop_ignored(files, ignore_patterns(spark, user), base))
+    return drop_empty(drop_ignored(files, ignore_patterns(spark, user), qualified(spark, root)))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as the files below it are listed: with the scheme of its file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop_path).toString()
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -72,16 +77,18 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return read_table(spark, path, RESPONSES_SCHEMA, fmt)
 
 
-def write_files(files: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Writes (path, ext, content) partitioned by ext; only the partitions present in
-    ``files`` are replaced. Spark's commit protocol makes the exchange atomic."""
-    (
-        files.write.format(fmt)
-        .partitionBy("ext")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .save(path)
-    )
+def write_files(files: DataFrame, path: str, previous: str | None = None, fmt: str = "parquet") -> None:
+    """Writes a whole new version of a table of files (path, ext, content) to ``path``, which must
+    be free: the ``files``, and those of the version in ``previous`` that are not among them.
+
+    Readers go over to the new folder when they are told; a job that fails has touched neither
+    version.
+    """
+    files = files.select("path", "ext", "content")
+    if previous is not None:
+        old = files.sparkSession.read.format(fmt).load(previous).select("path", "ext", "content")
+        files = old.join(files.select("path"), "path", "left_anti").unionByName(files)
+    files.write.format(fmt).partitionBy("ext").mode("error").save(path)
 
 
 RUN_LOG_SCHEMA = "path string, status string, error string"

@@ -18,8 +18,6 @@ DEFAULT_IGNORED = [
 ]
 COMMIT_IGNORED = ["node_modules/", "tests/", "__tests__/", "fixtures/"]
 
-MAX_PATTERNS = 10_000
-
 
 def extension_of(path: Column) -> Column:
     """Lower-cased extension with its dot; a leading dot does not begin one."""
@@ -53,27 +51,24 @@ def drop_ignored(files: DataFrame, ignore: DataFrame, root: str = "") -> DataFra
     """Drops files with a path component, at or below ``root``, that a pattern names.
 
     A pattern matches a component it equals (one trailing slash, then one trailing
-    backslash left out) or, when it starts with ``*``, one that ends with its rest.
-    Equality is one lookup in a set and the suffixes are one regular expression; both
-    are small configuration, so their number is checked before they enter the plan.
+    backslash left out) or, when it starts with ``*``, one that ends with its rest. Both
+    are equality joins on the distinct components, which are few beside the paths; every
+    ending of a component is a candidate for the second. A NULL path is kept.
     """
-    patterns = [r["pattern"] for r in ignore.distinct().limit(MAX_PATTERNS + 1).collect()]
-    if len(patterns) > MAX_PATTERNS:
-        return _drop_ignored_join(files, ignore, root)
-    names = sorted({_bare(p) for p in patterns} - {""})
-    suffixes = sorted({p[1:] for p in patterns if p.startswith("*")})
-    parts = F.split(_below(F.col("path"), root), "/")
-    hit = F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names])) if names else F.lit(False)
-    if suffixes:
-        hit = hit | F.exists(
-            parts,
-            lambda part: F.greatest(*[F.endswith(part, F.lit(s)) for s in suffixes], F.lit(False)),
-        )
-    return files.where(~hit)
-
-
-def _bare(pattern: str) -> str:
-    return pattern.removesuffix("/").removesuffix("\\")
+    parts = files.select("path", F.explode(F.split(_below(F.col("path"), root), "/")).alias("part"))
+    known = parts.select("part").distinct()
+    bare = F.regexp_replace(F.regexp_replace("pattern", r"/\z", ""), r"\\\z", "")
+    names = ignore.select(bare.alias("part")).where(F.col("part") != "")
+    rest = F.substr("pattern", F.lit(2), F.length("pattern"))
+    suffixes = ignore.where(F.col("pattern").startswith("*")).select(rest.alias("tail"))
+    endings = F.transform(
+        F.sequence(F.lit(1), F.length("part") + 1),
+        lambda i: F.substr("part", i, F.length("part")),
+    )
+    by_suffix = known.select("part", F.explode(endings).alias("tail")).join(suffixes, "tail", "left_semi")
+    ignored = known.join(names, "part", "left_semi").union(by_suffix.select("part")).distinct()
+    hit = parts.join(ignored, "part", "left_semi").select("path").distinct()
+    return files.join(hit, "path", "left_anti")
 
 
 def _below(path: Column, root: str) -> Column:
@@ -82,32 +77,8 @@ def _below(path: Column, root: str) -> Column:
     if not parent:
         return path
     prefix = parent + "/"
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1_000_000)).otherwise(path)
-
-
-def _drop_ignored_join(files: DataFrame, ignore: DataFrame, root: str) -> DataFrame:
-    """The same for very long pattern lists: joins instead of literals."""
-    bare = F.regexp_replace(F.regexp_replace("pattern", r"/\z", ""), r"\\\z", "")
-    names = ignore.select(bare.alias("part")).where(F.col("part") != "").distinct()
-    suffixes = (
-        ignore.where(F.col("pattern").startswith("*"))
-        .select(F.substring("pattern", 2, 1_000_000).alias("tail"))
-        .distinct()
-    )
-    parts = files.select("path", F.explode(F.split(_below(F.col("path"), root), "/")).alias("part")).distinct()
-    by_name = parts.join(names, "part", "left_semi").select("path")
-    # every suffix of a component is a candidate, which makes the test an equality
-    tails = parts.select(
-        "path",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("part") + 1),
-                lambda i: F.substring(F.col("part"), i, F.length("part")),
-            )
-        ).alias("tail"),
-    )
-    by_suffix = tails.join(suffixes, "tail", "left_semi").select("path")
-    return files.join(by_name.union(by_suffix).distinct(), "path", "left_anti")
+    below = F.substr(path, F.lit(len(prefix) + 1), F.length(path))
+    return F.when(path.startswith(prefix), below).otherwise(path)
 
 
 def drop_ignored_commit(files: DataFrame) -> DataFrame:

@@ -196,7 +196,8 @@ el2 AS (SELECT *, json_type(e) AS ty, json_type(e, '$.line') AS lt, json_extract
   json_type(e, '$.comment') AS ct, json_extract_string(e, '$.comment') AS cv FROM els),
 el3 AS (SELECT *, coalesce(lt IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(lv AS DOUBLE) > 0
   AND TRY_CAST(lv AS DOUBLE) = floor(TRY_CAST(lv AS DOUBLE)), false) AS whole FROM el2),
-items AS (SELECT path, CAST(idx AS BIGINT) AS idx, CASE WHEN whole THEN CAST(TRY_CAST(lv AS DOUBLE) AS BIGINT) END AS line,
+items AS (SELECT path, CAST(idx AS BIGINT) AS idx, CASE WHEN whole THEN TRY_CAST(TRY_CAST(lv AS DOUBLE) AS BIGINT) END AS line,
+  whole AND TRY_CAST(TRY_CAST(lv AS DOUBLE) AS BIGINT) IS NULL AS past_any_file,
   CASE WHEN ct = 'VARCHAR' THEN cv END AS comment,
   CASE WHEN ty NOT IN ('OBJECT', 'ARRAY') THEN 'not_object' WHEN NOT whole THEN 'bad_line'
     WHEN coalesce(ct, '') <> 'VARCHAR' THEN 'bad_comment'
@@ -210,15 +211,15 @@ _COMMIT_OK = "NOT (contains(path, 'node_modules/') OR contains(path, 'tests/') O
 _OWN = "'docs: auto-generated comments'"
 
 
-def _change_parts(where: str = "true") -> str:
+def _change_parts(where: str = "true", source: str = "rev_part") -> str:
     # One row per revision, so the revision number joins the path while lexing.
-    return f"""{corpus('rev_part', 'revs')},
-files AS (SELECT path || '@' || CAST(commit_id AS STRING) AS path, path AS real, ext, commit_id, commit_ts, message, content FROM revs WHERE {where}),
+    return f"""{corpus(source, 'revs')},
+files AS (SELECT path || '@' || CAST(commit_id AS STRING) AS path, path AS real, lower(ext) AS ext, commit_id, commit_ts, message, content FROM revs WHERE {where}),
 {lexed()}, {stripped('prune')}, {rebuilt()},
 kinds AS (SELECT f.real AS path, f.ext, f.commit_id, f.commit_ts, f.message, o.content AS code, f.content AS whole,
   lag(o.content) OVER w AS prev_code, lag(f.content) OVER w AS prev_whole
-  FROM files AS f JOIN out AS o ON o.path = f.path WINDOW w AS (PARTITION BY f.real ORDER BY commit_ts, commit_id)),
-changes AS (SELECT path, ext, commit_id, commit_ts, message, CASE WHEN prev_code IS NULL THEN 'new'
+  FROM files AS f LEFT JOIN out AS o ON o.path = f.path WINDOW w AS (PARTITION BY f.real ORDER BY commit_ts, commit_id)),
+changes AS (SELECT path, ext, commit_id, commit_ts, message, CASE WHEN whole IS NULL THEN 'deleted' WHEN prev_code IS NULL THEN 'new'
   WHEN code = prev_code AND prev_whole <> '' THEN 'comment_only' ELSE 'code' END AS kind FROM kinds)"""
 
 
@@ -293,21 +294,38 @@ SELECT a.path, a.line, text FROM ls JOIN asked AS a ON a.path = ls.path AND a.li
     "annotate_keep": annotate_sql("clean"),
     "prompts": _prompt_sql().replace("{{", "{").replace("}}", "}"),
     "response_text": f"WITH {corpus('resp_order')}, {_TEXTS} SELECT * FROM texts",
-    "response_items": f"WITH {corpus('resp_order')}, {_ITEMS} SELECT path, idx, line, comment, err FROM items",
+    "response_items": f"WITH {corpus('resp_order')}, {_ITEMS} SELECT path, idx, line, past_any_file, comment, err FROM items",
     "response_errors": f"WITH {corpus('resp_order')}, {_ITEMS} SELECT err, count(*) AS responses FROM verdict WHERE err IS NOT NULL GROUP BY err",
     "accepted_items": f"WITH {corpus('resp_order')}, {_ITEMS} SELECT i.path, i.idx, i.line, i.comment FROM items AS i JOIN verdict AS v ON v.path = i.path WHERE v.err IS NULL",
     "request_outcomes": f"""WITH {corpus('attempts_events')},
-final AS (SELECT request_id, min(attempt) AS a FROM files WHERE status IS NOT NULL AND status <> 429 AND status NOT BETWEEN 500 AND 599 GROUP BY request_id),
-last AS (SELECT request_id, max(attempt) AS a FROM files GROUP BY request_id),
-ends AS (SELECT l.request_id, coalesce(f.a, l.a) AS a, f.a IS NOT NULL AS is_final FROM last AS l LEFT JOIN final AS f USING (request_id))
+final AS (SELECT request_id, min(attempt) AS a FROM files WHERE attempt <= 2 AND status IS NOT NULL AND status <> 429 AND status NOT BETWEEN 500 AND 599 GROUP BY request_id),
+last AS (SELECT request_id, max(attempt) FILTER (WHERE attempt <= 2) AS a, count(*) FILTER (WHERE attempt > 2) AS n_extra FROM files GROUP BY request_id),
+ends AS (SELECT l.request_id, l.n_extra, coalesce(f.a, l.a) AS a, f.a IS NOT NULL AS is_final FROM last AS l LEFT JOIN final AS f USING (request_id))
 SELECT request_id, CAST(a + 1 AS BIGINT) AS attempts_used,
   CASE WHEN is_final AND status BETWEEN 200 AND 299 THEN 'done' WHEN is_final THEN 'returned' WHEN a = 2 THEN 'failed' ELSE 'pending' END AS outcome,
-  CAST(status AS BIGINT) AS status, error, CAST(CASE a WHEN 0 THEN 0 WHEN 1 THEN 1000 ELSE 3000 END AS BIGINT) AS waited_ms
+  CAST(status AS BIGINT) AS status, error, CAST(CASE a WHEN 0 THEN 0 WHEN 1 THEN 1000 ELSE 3000 END AS BIGINT) AS waited_ms, n_extra
 FROM ends JOIN files USING (request_id) WHERE attempt = a""",
+    "quirk_strict_prune": f"WITH {corpus('quirk_part')} SELECT path, expected AS content FROM files",
+    "quirk_comments": f"""WITH {corpus('quirk_part')}
+SELECT path, CAST(CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END AS BIGINT) AS seq, CASE k % 4 WHEN 0 THEN '// ' || p_type WHEN 3 THEN '/* ' || p_type || ' */' ELSE '# ' || p_type END AS text FROM files
+UNION ALL SELECT path, 0, '#!/bin/sh' FROM files WHERE k % 4 = 2""",
+    "doc_prune": strip_sql("docs_text", "prune"),
+    "doc_density": density_sql("docs_text"),
+    "insertable_suggestions": f"""WITH {corpus('src_part')}, {corpus('del_part', 'sugg')}, {lexed()},
+sizes AS (SELECT path, max(line_no) AS n FROM ls GROUP BY path)
+SELECT s.path, s.line FROM sugg AS s JOIN sizes USING (path) LEFT JOIN ls ON ls.path = s.path AND ls.line_no = s.line
+WHERE s.line BETWEEN 1 AND n + 1 AND NOT coalesce(sis, false)""",
+    "accepted_deletions": f"""WITH {corpus('resp_clean')}, els AS (
+  SELECT path, json_extract(body ->> '$.choices[0].message.content', '$[*]') AS els FROM files),
+el AS (SELECT path, unnest(els) AS e, generate_subscripts(els, 1) - 1 AS idx FROM els),
+bad AS (SELECT path FROM el WHERE NOT coalesce(CAST(e ->> '$.line' AS BIGINT) > 0 AND (e ->> '$.action') = 'delete', false))
+SELECT path, CAST(idx AS BIGINT) AS idx, CAST(e ->> '$.line' AS BIGINT) AS line FROM el WHERE path NOT IN (SELECT path FROM bad)""",
+    "changed_files": f"""WITH {corpus('rev_listed')}
+SELECT path, commit_id, sha256(content) AS content, sha256(lag(content) OVER (PARTITION BY path ORDER BY commit_ts, commit_id)) AS prev_content FROM files""",
     "change_kind": f"WITH {_change_parts()} SELECT * FROM changes",
-    "to_annotate": f"""WITH {_change_parts(_COMMIT_OK)}
-SELECT path, ext, commit_id, commit_ts, message, kind FROM changes WHERE message <> {_OWN} AND kind <> 'comment_only'""",
-    "files_per_commit": f"WITH {corpus('rev_part')} SELECT commit_id, count(DISTINCT path) AS n_files FROM files WHERE {_COMMIT_OK} GROUP BY commit_id",
+    "to_annotate": f"""WITH {_change_parts(_COMMIT_OK, 'rev_listed')}
+SELECT path, lower(ext) AS ext, commit_id, commit_ts, message, kind FROM changes WHERE message <> {_OWN} AND kind NOT IN ('comment_only', 'deleted')""",
+    "files_per_commit": f"WITH {corpus('rev_listed')} SELECT commit_id, count(DISTINCT path) AS n_files FROM files WHERE {_COMMIT_OK} GROUP BY commit_id",
     "density_by_language": density_by_sql("src_part", ["ext", "mode"], ", CASE length(path) % 3 WHEN 0 THEN 'light' WHEN 1 THEN 'default' ELSE 'full' END AS mode"),
     "tag_counts": f"""WITH {corpus('src_part')}, {lexed()}
 SELECT ext, count(*) FILTER (WHERE contains(t, '[ds]')) AS n_tagged, count(*) FILTER (WHERE NOT contains(t, '[ds]')) AS n_human
@@ -361,8 +379,20 @@ ORACLES["stream_prune"] = f"WITH {_change_parts()} SELECT path, content FROM out
 
 _TOK = "CASE WHEN ext IN ('.py', '.rb', '.sh', '.php') THEN '#' WHEN ext IN ('.html', '.vue', '.svelte') THEN '<!--' ELSE '//' END"
 # The stand-in annotator puts one comment, with the number of lines, above line 1.
-ORACLES["annotate_offline"] = f"""WITH {corpus('src_part')}, {lexed()}, {stripped('clean')}, {rebuilt()}
-SELECT path, ext, {_TOK} || ' ' || CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' lines'
+_ANNOTATED = f"""SELECT path, ext, {_TOK} || ' ' || CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' lines'
   || CASE WHEN {_TOK} = '<!--' THEN ' [ds] -->' ELSE ' [ds]' END
   || {_EOL} || content AS content, CAST(NULL AS VARCHAR) AS err
 FROM out WHERE trim(replace(content, chr(10), '')) <> ''"""
+ORACLES["annotate_offline"] = f"WITH {corpus('src_part')}, {lexed()}, {stripped('clean')}, {rebuilt()} {_ANNOTATED}"
+
+# The sink holds every file: annotated ones (every third that is not empty), and the others as they were.
+ORACLES["written_version"] = f"""WITH {corpus("src_part", "all_files")}, files AS (SELECT * FROM all_files WHERE k % 3 = 0),
+{lexed()}, {stripped('clean')}, {rebuilt()}, new AS ({_ANNOTATED})
+SELECT path, content FROM new
+UNION ALL SELECT path, content FROM all_files WHERE path NOT IN (SELECT path FROM new)"""
+
+# What the longer queries read several times is computed once.
+for _key, _sql in ORACLES.items():
+    for _cte in ("ls", "pc", "b_ls", "merged", "b_merged", "spliced", "out"):
+        _sql = _sql.replace(f"\n{_cte} AS (", f"\n{_cte} AS MATERIALIZED (").replace(f", {_cte} AS (", f", {_cte} AS MATERIALIZED (")
+    ORACLES[_key] = _sql

@@ -124,3 +124,13 @@ def test_long_texts_do_not_overflow_the_stack(spark):
         .collect()
     )
     assert [r.n for r in row] == [6, 6]
+
+
+def test_very_many_comments_in_one_file(spark):
+    from marginalia.operators import lines
+
+    n = 200_000
+    text = "\n".join(f"x{i}(); // {i}" for i in range(n))
+    files = spark.createDataFrame([("a.js", ".js", text)], "path string, ext string, content string")
+    last = lines.comments(files).orderBy(F.desc("seq")).first()
+    assert (last.seq, last.line_no, last.col, last.text) == (n - 1, n, len(f"x{n - 1}(); "), f"// {n - 1}")

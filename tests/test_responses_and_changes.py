@@ -17,8 +17,14 @@ def envelope(provider, text):
 def test_verdicts(spark):
     good = '{"line": 1, "comment": "// a"}'
     cases = {
-        "gemini good": ("gemini", envelope("gemini", '[{"line": 1, "comment": "// fake gemini comments"}]'), None, 1),
-        "groq good": ("groq", envelope("groq", '[{"line": 1, "comment": "// fake groq comments"}]'), None, 1),
+        "parts": ("gemini", envelope("gemini", '[{"line": 3, "comment": "// opens the valve"}]'), None, 1),
+        "choices": ("groq", envelope("groq", '[{"line": 8, "comment": "/* litres */"}, {"line": 1, "comment": "# top"}]'), None, 2),
+        "falsy errors": ("groq", envelope("groq", "[]")[:-1] + ', "error": ""}', None, 0),
+        "zero error": ("groq", envelope("groq", "[]")[:-1] + ', "error": 0}', None, 0),
+        "false error": ("groq", envelope("groq", "[]")[:-1] + ', "error": false}', None, 0),
+        "true error": ("groq", envelope("groq", "[]")[:-1] + ', "error": true}', "api_error", 0),
+        "empty object error": ("groq", envelope("groq", "[]")[:-1] + ', "error": {}}', "api_error", 0),
+        "a key twice": ("groq", envelope("groq", '[{"line": 0, "line": 2, "comment": "x", "comment": "// a"}]'), None, 1),
         "claude fenced": ("claude", envelope("claude", f"```json\n[{good}]\n```"), None, 1),
         "empty": ("groq", envelope("groq", "[]"), None, 0),
         "whole decimal": ("groq", envelope("groq", '[{"line": 4.0, "comment": "# a"}]'), None, 1),
@@ -41,6 +47,8 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, "path string, provider string, body string")
     got = {r.path: r.err for r in responses.checked_items(df).collect()}
     assert got == {name: c[2] for name, c in cases.items()}
+    far = responses.accepted_items(df).where("path = 'huge'").first()
+    assert far.line is None and responses.response_items(df).where("past_any_file").count() == 1
     taken = {r.path: r.n for r in responses.accepted_items(df).groupBy("path").agg(F.count("*").alias("n")).collect()}
     assert taken == {name: c[3] for name, c in cases.items() if c[3]}
 
@@ -56,15 +64,17 @@ def test_request_outcomes(spark):
     log = [
         (1, 0, 200, None), (2, 0, 503, "busy"), (2, 1, None, "timeout"), (2, 2, 429, "slow"),
         (3, 0, 500, "x"), (3, 1, 404, "gone"), (4, 0, 429, "slow"), (5, 0, 200, None), (5, 1, 500, "late"),
+        (6, 3, 200, None), (6, None, 200, None), (2, 7, 200, None),
     ]
     df = spark.createDataFrame(log, "request_id bigint, attempt int, status int, error string")
-    got = {r.request_id: (r.attempts_used, r.outcome, r.status, r.waited_ms) for r in responses.request_outcomes(df).collect()}
+    got = {r.request_id: (r.attempts_used, r.outcome, r.status, r.waited_ms, r.n_extra) for r in responses.request_outcomes(df).collect()}
     assert got == {
-        1: (1, "done", 200, 0),
-        2: (3, "failed", 429, 3000),
-        3: (2, "returned", 404, 1000),
-        4: (1, "pending", 429, 0),
-        5: (1, "done", 200, 0),
+        1: (1, "done", 200, 0, 0),
+        2: (3, "failed", 429, 3000, 1),
+        3: (2, "returned", 404, 1000, 0),
+        4: (1, "pending", 429, 0, 0),
+        5: (1, "done", 200, 0, 0),
+        6: (0, "pending", None, 0, 2),
     }
 
 
@@ -94,3 +104,20 @@ def test_target_bands(spark):
         metrics.in_target_band(F.lit(0.5), F.lit("default")).alias("b"),
     ).first()
     assert (row.a, row.b) == (True, False)
+
+
+def test_commit_selection(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [
+        ("a/B.PY", "x", 1, day, "m", "a()"), ("a/b.js", ".js", 1, day, "m", "a()"), ("a/b.js", ".js", 2, day + dt.timedelta(days=3), "m", None),
+        ("a/b.js", ".js", 3, day + dt.timedelta(days=9), "m", "a()"), ("a/B.PY", "x", 3, day + dt.timedelta(days=9), "m", "a() # c"),
+    ]
+    df = spark.createDataFrame(rows, "path string, ext string, commit_id bigint, commit_ts timestamp, message string, content string")
+    kinds = {(r.path, r.commit_id): r.kind for r in changes.to_annotate(df).collect()}
+    assert kinds == {("a/B.PY", 1): "new", ("a/b.js", 1): "new", ("a/b.js", 3): "new"}
+    for commit in (None, 3):
+        got = changes.changed_files(df, commit).collect()
+        want = {("a/b.js", 3): None, ("a/B.PY", 3): "a()"}
+        if commit is None:
+            want |= {("a/B.PY", 1): None, ("a/b.js", 1): None, ("a/b.js", 2): "a()"}
+        assert {(r.path, r.commit_id): r.prev_content for r in got} == want

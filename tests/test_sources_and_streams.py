@@ -36,18 +36,45 @@ def test_scan_write_back_and_summary(spark, tree):
     assert (summary.n_ok, summary.n_error) == (2, 0)
     assert (tree / "a/x.js").read_text() == "// 2 lines [ds]\nx // c\n"
     assert not list((tree / "a").glob("*.tmp"))
-    io.write_files(found, str(tree / "out"))
-    assert spark.read.parquet(str(tree / "out")).count() == 2
+    io.write_files(found, str(tree / "v1"))
+    first = {r.path: r.content for r in spark.read.parquet(str(tree / "v1")).collect()}
+    one = found.where("path LIKE '%x.js'").selectExpr("path", "ext", "'new' AS content")
+    io.write_files(one, str(tree / "v2"), previous=str(tree / "v1"))
+    second = {r.path: r.content for r in spark.read.parquet(str(tree / "v2")).collect()}
+    assert second == {path: "new" if path.endswith("x.js") else text for path, text in first.items()}
 
 
-def test_ignore_rule_join_form_agrees(spark, files_of):
+def test_a_root_below_an_ignored_name_in_any_form(spark, tmp_path):
+    (tmp_path / "build" / "src").mkdir(parents=True)
+    (tmp_path / "build" / "src" / "a.js").write_text("a")
+    for root in (str(tmp_path / "build" / "src"), f"file://{tmp_path}/build/src", f"file:{tmp_path}/build/src/"):
+        assert io.scan_source_tree(spark, root).count() == 1
+
+
+def test_ignore_rule(spark, files_of):
     paths = ["r/dist/a.js", "r/src/a.min.js", "r/src/a.js", "r/x\\/a.js", "/abs/out/a.js", "/abs/ok/a.js"]
     files = files_of([(p, ".js", "x") for p in paths])
     user = spark.createDataFrame([("*.min.js",), ("src2/",)], "value string")
     patterns = ignore.ignore_patterns(spark, user)
-    by_set = sorted(r.path for r in ignore.drop_ignored(files, patterns).collect())
-    by_join = sorted(r.path for r in ignore._drop_ignored_join(files, patterns, "").collect())
-    assert by_set == by_join == sorted(["r/src/a.js", "r/x\\/a.js", "/abs/ok/a.js"])
+    kept = sorted(r.path for r in ignore.drop_ignored(files, patterns).collect())
+    assert kept == sorted(["r/src/a.js", "r/x\\/a.js", "/abs/ok/a.js"])
+    assert ignore.drop_ignored(files_of([(None, ".js", "x")]), patterns).count() == 1
+
+
+def test_every_file_is_asked_about_once_and_faults_stay_out(spark, files_of):
+    asked = spark.sparkContext.accumulator(0)
+
+    def annotator(prompts):
+        asked.add(len(prompts))
+        return ['{"error": {"message": "no"}}' if "bad" in p.split("\n")[0] else annotate.offline_annotator([p])[0] for p in prompts]
+
+    files = files_of([(f"f{i}.rs", ".rs", "a /* /* b */ */ c") for i in range(20)] + [("bad.js", ".js", "a // c")])
+    out = annotate.annotate_files(files, annotator)
+    rows = {r.path: r for r in out.collect()}
+    assert asked.value == 21
+    assert rows["bad.js"].err == "api_error" and rows["bad.js"].content == "a // c"
+    assert rows["f3.rs"].content == "// 1 lines [ds]\na /* /* b */ */ c"
+    assert annotate.accepted(out).count() == 20
 
 
 def test_late_revisions_and_return_to_old_code(spark, tmp_path):

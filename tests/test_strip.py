@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import lines, strip
 
-READ_FILE = '    return fs.readFileSync("file.txt", "utf8");\n}'
 DEEP = "a " + "/* " * 60 + 'x // y " ' + "*/ " * 60
 
 PRUNE = [
@@ -31,26 +30,26 @@ PRUNE = [
     ("apostrophe in markup", ".html", "don't <!-- a -->\nwon't <!-- b -->", "don't <!-- a -->\nwon't"),
     ("php", ".php", "# c\n// d\n/* e */\nt # f", "t"),
     (
-        "whole file",
-        ".js",
-        "// Import dependencies\nconst fs = require(\"fs\");\n/**\n * Read file helper\n */\n"
-        "function read() {\n    // Read file\n" + READ_FILE,
-        'const fs = require("fs");\nfunction read() {\n' + READ_FILE,
+        "whole program",
+        ".ts",
+        "/* Money in cents,\n   never floats. */\nlet total = 0;\nfor (const item of cart) {\n"
+        "  // gifts are free\n  if (!item.gift) total += item.price; // no tax\n}\n\nbill(total);",
+        "let total = 0;\nfor (const item of cart) {\n  if (!item.gift) total += item.price;\n}\n\nbill(total);",
     ),
 ]
 
 CLEAN = [
     (
-        "whole file",
-        ".js",
-        "// User written comment\nconst fs = require(\"fs\");\n/** [ds]\n * Generated jsdoc\n */\n"
-        "function read() {\n    // User logic comment\n    // Generated inline [ds]\n" + READ_FILE,
-        '// User written comment\nconst fs = require("fs");\nfunction read() {\n    // User logic comment\n'
-        + READ_FILE,
+        "whole program",
+        ".ts",
+        "// ours: cents\nlet total = 0;\n/* [ds] Sums\n   the cart */\nfor (const item of cart) {\n  // ours: gifts\n"
+        "  // skip gifts [ds]\n  if (!item.gift) total += item.price; // [ds] add\n}\nbill(total); // ours",
+        "// ours: cents\nlet total = 0;\nfor (const item of cart) {\n  // ours: gifts\n"
+        "  if (!item.gift) total += item.price;\n}\nbill(total); // ours",
     ),
     ("tag in a string", ".js", 'const x = "[ds]"; // human', 'const x = "[ds]";'),
-    ("unclosed quote", ".py", 's = "unclosed quote\n# comment to clean', 's = "unclosed quote\n# comment to clean'),
-    ("shell string", ".sh", 'echo "hello\n# not a comment\nworld"', 'echo "hello\n# not a comment\nworld"'),
+    ("a quote that never closes", ".py", "label = 'half\n# gone? [ds]", "label = 'half\n# gone? [ds]"),
+    ("text over lines", ".sh", "mail \"dear\n# list [ds]\nbye\"", "mail \"dear\n# list [ds]\nbye\""),
     ("no tag, mixed line ends", ".js", "a // x\r\nb\n", "a // x\r\nb\r\n"),
     ("tag marks the whole human block", ".js", "/* mine\n// x [ds]\n more */\na", "a"),
 ]
@@ -89,11 +88,11 @@ def test_strict(spark):
 
 
 def test_explicit_deletions_and_refusal(spark, files_of):
-    files = files_of([("a", ".js", "const x = 1;\n// comment here\nconst y = 2;")])
+    files = files_of([("a", ".js", "open();\n// wait\nclose();")])
     asked = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 9)], "path string, line bigint")
     out, refused = strip.apply_deletions(files, asked)
-    assert out.first().content == "const x = 1;\nconst y = 2;"
-    assert [tuple(r) for r in refused.collect()] == [("a", 1, "const x = 1;")]
+    assert out.first().content == "open();\nclose();"
+    assert [tuple(r) for r in refused.collect()] == [("a", 1, "open();")]
 
 
 def test_tokens_lose_nothing(spark):
