@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -425,22 +426,44 @@ def _drained(spark, name, stream, mode="append"):
     return spark.read.parquet(out)
 
 
-@query
-def stream_change_kind(spark, d):
+@contextmanager
+def _rocksdb(spark):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, revisions.STATE_STORE)
     try:
-        source = revisions.revision_stream(spark, _revision_files(spark, d))
-        return _drained(spark, "kinds", revisions.change_kind_stream(source))
+        yield
     finally:
         spark.conf.set(provider, before)
 
 
+@query
+def stream_change_kind(spark, d):
+    with _rocksdb(spark):
+        source = revisions.revision_stream(spark, _revision_files(spark, d))
+        return _drained(spark, "kinds", revisions.change_kind_stream(source))
+
+
+@query
+def stream_late(spark, d):
+    """Each path's first revision arrives when the others have been seen."""
+    folder, out, checkpoint = (shared_folder(spark, f"late-{n}") for n in ("in", "out", "checkpoint"))
+    for late in (False, True):
+        arriving = corpus(spark, d, "rev_part").where((F.col("commit_id") % 3 == 1) == late)
+        arriving.write.mode("append").parquet(folder)
+        with _rocksdb(spark):
+            stream = revisions.change_kind_stream(revisions.revision_stream(spark, folder))
+            revisions.drain(stream, out, checkpoint)
+    return spark.read.parquet(out)
+
+
 @query
 def stream_density(spark, d):
     source = revisions.revision_stream(spark, _revision_files(spark, d), max_files=2)
-    return _drained(spark, "density", revisions.density_stream(source), "complete")
+    out = shared_folder(spark, "density")
+    checkpoint = shared_folder(spark, "density-checkpoint")
+    revisions.drain(revisions.density_stream(source), out, checkpoint, "update")
+    return revisions.latest(spark, out, "day", "ext")
 
 
 def _stripped_stream(spark, d, mode):

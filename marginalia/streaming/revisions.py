@@ -70,7 +70,7 @@ class ChangeKinds(StatefulProcessor):
     """Compares each revision of a path with the one before, over micro-batches.
 
     A revision older than the newest one seen for its path is reported as late and
-    leaves the state alone, whatever the watermark let through.
+    leaves the state alone.
     """
 
     def __init__(self, ttl_ms: int | None = None):
@@ -104,17 +104,14 @@ class ChangeKinds(StatefulProcessor):
         pass
 
 
-def change_kind_stream(
-    revisions: DataFrame, watermark: str = "30 days", ttl_ms: int | None = None
-) -> DataFrame:
+def change_kind_stream(revisions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(path, ext, commit_id, commit_ts, message, kind) for a stream of revisions.
 
     ``kind`` is new, code, comment_only or late. The text is reduced to a digest before
     the shuffle, so neither the shuffle nor the state holds any content. State of paths
     idle for ``ttl_ms`` is dropped. Needs the RocksDB state store (``STATE_STORE``).
     """
-    digests = code_digests(revisions.withWatermark("commit_ts", watermark))
-    return digests.groupBy("path").transformWithStateInPandas(
+    return code_digests(revisions).groupBy("path").transformWithStateInPandas(
         statefulProcessor=ChangeKinds(ttl_ms),
         outputStructType=_KINDS,
         outputMode="append",
@@ -123,7 +120,11 @@ def change_kind_stream(
 
 
 def density_stream(revisions: DataFrame, watermark: str = "30 days", width: str = "1 day") -> DataFrame:
-    """Comment density of the revisions per tumbling window of commit time and language."""
+    """Comment density of the revisions per tumbling window of commit time and language.
+
+    Windows older than the watermark leave the state. Written in update mode, so a batch puts out
+    the windows it changed and no others (see ``drain`` and ``latest``).
+    """
     counted = line_counts(revisions.withWatermark("commit_ts", watermark))
     return (
         counted.select("ext", "commit_ts", "n_comment", "n_code")
@@ -147,17 +148,26 @@ def density_stream(revisions: DataFrame, watermark: str = "30 days", width: str
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes everything that is there and writes it to ``out`` as parquet.
 
-    Append streams use the file sink, which is exactly-once. Other modes replace the
-    table with each micro-batch's full result.
+    Append streams use the file sink, which is exactly-once. In update mode each micro-batch
+    has a folder of its own below ``out``, which a batch that runs again replaces; read them with
+    ``latest``.
     """
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").start(out)
     else:
 
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def put(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-        query = writer.outputMode(mode).foreachBatch(replace).start()
+        query = writer.outputMode(mode).foreachBatch(put).start()
     query.awaitTermination()
     return query
+
+
+def latest(spark: SparkSession, out: str, *keys: str) -> DataFrame:
+    """What an update stream last said about each of its keys."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = F.max_by(F.struct(*rest), "batch").alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")

@@ -367,6 +367,8 @@ _SAFE = """(pure OR sib OR regexp_matches(trim(text), '^(//|/\\*|\\*|#|<!--|-->|
 for _key in ("explicit_deletions", "refused_deletions"):
     ORACLES[_key] = ORACLES[_key].replace("{safe}", _SAFE)
 ORACLES["stream_change_kind"] = ORACLES["change_kind"]
+ORACLES["stream_late"] = f"""WITH {_change_parts("commit_id % 3 <> 1")} SELECT * FROM changes
+UNION ALL SELECT path, ext, commit_id, commit_ts, message, 'late' FROM revs WHERE commit_id % 3 = 1"""
 ORACLES["stream_density"] = f"""WITH {_change_parts()}, counts AS (SELECT {_COUNTS} FROM ls GROUP BY path)
 SELECT date_trunc('day', commit_ts) AS day, f.ext, count(*) AS n_files, CAST(sum(n_comment) AS BIGINT) AS n_comment, CAST(sum(n_code) AS BIGINT) AS n_code,
   round(sum(n_comment) / nullif(sum(n_code), 0), 6) AS per_code
