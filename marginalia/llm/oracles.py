@@ -28,9 +28,9 @@ s AS MATERIALIZED (
     WHEN len(w) > 0 THEN [w] ELSE [] END AS s FROM w),
 t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
 common AS MATERIALIZED (
-  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
   FROM t AS a JOIN t AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * both >= 90 * (na + nb - both)),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * shared >= 90 * (na + nb - shared)),
 edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
   SELECT doc_id AS node, doc_id AS other FROM s
@@ -46,3 +46,41 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM n WINDOW same AS (PARTITION BY t)
 """
+
+
+def _level(name: str, rows: str) -> str:
+    """CTEs for one level of the reputation: the strength of its prior, and its posterior."""
+    return f"""
+{name}_in AS MATERIALIZED ({rows}),
+{name}_rho AS (
+  SELECT CASE WHEN sum(n) > count(*) THEN (sum(n * (k / n - r) * (k / n - r) / (r * (1 - r))) - count(*)) / (sum(n) - count(*)) ELSE 0.5 END AS rho
+  FROM (SELECT n::DOUBLE AS n, k::DOUBLE AS k, greatest(least(prior, 1 - 1e-6), 1e-6) AS r FROM {name}_in WHERE n > 0)),
+{name}_s AS (SELECT coalesce(1 / greatest(least(rho, 0.99), 0.001) - 1, 1.0) AS s FROM {name}_rho),
+{name}_p AS MATERIALIZED (SELECT *, k + s * prior AS a, n - k + s * (1 - prior) AS b FROM {name}_in, {name}_s)"""
+
+
+ORACLES["op5_url_filter"] = f"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+good AS (SELECT doc_id AS page_id, bool_and(quality = 1 AND toxic = 0) AS good FROM labels GROUP BY doc_id),
+h0 AS (SELECT host, count(good) AS n, coalesce(sum(good::INT), 0)::BIGINT AS k FROM p LEFT JOIN good USING (page_id) GROUP BY host),
+h1 AS (SELECT *, string_split(host, '.') AS l FROM h0),
+h2 AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') AND len(l) > 2
+  THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h1),
+h AS MATERIALIZED (SELECT host, n, k, suffix, CASE WHEN len(l) <= len(string_split(suffix, '.')) THEN host
+  ELSE array_to_string(l[-(len(string_split(suffix, '.')) + 1):], '.') END AS domain FROM h2),
+d AS MATERIALIZED (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h GROUP BY ALL),
+{_level("s", "SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, (SELECT (sum(k) + 1.0) / (sum(n) + 2.0) FROM h) AS prior FROM d GROUP BY suffix")},
+{_level("d", "SELECT d.*, a / (a + b) AS prior FROM d JOIN (SELECT suffix, a, b FROM s_p) USING (suffix)")},
+{_level("h", "SELECT h.*, a / (a + b) AS prior FROM h JOIN (SELECT domain, a, b FROM d_p) USING (domain)")},
+bound AS (SELECT host, greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0.0) AS bound FROM h_p),
+r AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM p JOIN bound USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, round(bound, 8) AS bound FROM r
+"""
