@@ -5,8 +5,8 @@ back into bytes, so decoding is a lookup per id and works for pieces that hold o
 of a character. Offsets follow from the lengths of the pieces.
 
 A text is cut only where no piece can cross: before a single space between two characters
-that are not blank. Such parts recur, so each task keeps a bounded table of parts it has
-encoded and asks the library for the others, a batch at a time. There is no shuffle; memory is
+that are not blank. Such parts recur, so each worker keeps a bounded table of parts it has
+encoded and asks the library for the others, many as one text. There is no shuffle; memory is
 bounded by the Arrow batch, the table and the longest text.
 """
 
@@ -23,10 +23,11 @@ from pyspark.sql import types as T
 from .frames import free_names
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Parts longer than this are not kept, and so many are kept at most.
-KEPT_LENGTH, KEPT_PARTS = 64, 400_000
-
-_VOCABULARIES: dict[str, tuple] = {}
+#: Parts longer than this are not kept. Two tables of so many parts are: when the younger is full it
+#: becomes the older, and parts found there move on, so frequent ones stay.
+KEPT_LENGTH, KEPT_PARTS = 48, 120_000
+#: Characters of new parts that the library gets as one text.
+RUN = 1 << 15
 
 
 def byte_characters() -> dict[str, int]:
@@ -40,61 +41,108 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def vocabulary(path: str) -> tuple:
-    """(tokenizer, bytes of each id) of a tokenizers file; loaded once per worker."""
-    if path not in _VOCABULARIES:
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, and back."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         to_byte = byte_characters()
-        pieces = [b""] * tokenizer.get_vocab_size()
-        for piece, i in tokenizer.get_vocab().items():
+        pieces = [b""] * self.tokenizer.get_vocab_size()
+        for piece, i in self.tokenizer.get_vocab().items():
             if all(c in to_byte for c in piece):
-                pieces[i] = bytes(to_byte[c] for c in piece)
-        _VOCABULARIES[path] = tokenizer, pieces
-    return _VOCABULARIES[path]
-
-
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.pieces = vocabulary(path)
+                pieces[i] = bytes(map(to_byte.__getitem__, piece))
+        # the byte table: all pieces one behind the other
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.kept: dict[str, bytes] = {}
-
-    def _encoded(self, parts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The worker process's encoder for this file.
+
+        Functions travel to workers by value, so a table of this module would last for one task only;
+        the library's module lasts as long as the process.
+        """
+        import tokenizers
+
+        loaded = tokenizers.__dict__.setdefault("_loaded_encoders", {})
+        if path not in loaded:
+            loaded[path] = Encoder(path)
+        return loaded[path]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts, each with a space before it: several are one text for the library, and are
+        told apart by their bytes."""
+        run, size = [], 0
+        for i, part in enumerate(parts):
+            run.append(" " + part)
+            size += len(part)
+            if size >= RUN or i == len(parts) - 1:
+                (ids,) = self._ids(["".join(run)])
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in run])) + 1
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    yield ids[a:b].tobytes()
+                run, size = [], 0
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Parts between the spaces that no piece can cross, the spaces left out."""
+        plain = text.replace("\n", "x").isprintable()  # then space and line feed are the only blanks
+        if plain and not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "):
+            return text.split(" ")
+        return _CUT.split(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """One entry per text; small batches of texts, so that the table stays bounded."""
-        cut = []
-        for text in texts:
-            first, *rest = _CUT.split(text)
-            cut.append([first, *[" " + part for part in rest]])
-        kept = self.kept
-        if len(kept) > KEPT_PARTS:
-            kept.clear()
-        new = list({part for parts in cut for part in parts if part not in kept})
-        found = dict(zip(new, self._encoded(new)))
+        """One entry per text; small batches of texts, so that the tables stay bounded."""
+        cut = [self._cut(text) for text in texts]
+        if len(self.kept) > KEPT_PARTS:
+            self.kept, self.older = {}, self.kept
+        kept, older, new = self.kept, self.older, set()
+        rows = []
+        for parts in cut:
+            first, *rest = parts
+            ids = list(map(kept.get, rest))
+            if None in ids:
+                for i, part in enumerate(rest):
+                    if ids[i] is None:
+                        if part in older:
+                            ids[i] = kept[part] = older[part]
+                        else:
+                            new.add(part)
+            rows.append((first, rest, ids))
+        found = dict(zip(new, self._encode_parts(list(new))))
         kept.update((part, ids) for part, ids in found.items() if len(part) <= KEPT_LENGTH)
-        return [b"".join([kept[p] if p in kept else found[p] for p in parts]) for parts in cut]
+        out = []
+        for (_, rest, ids), first in zip(rows, self._ids([first for first, _, _ in rows])):
+            if None in ids:
+                ids = [found[p] if i is None else i for p, i in zip(rest, ids)]
+            out.append(first.tobytes() + b"".join(ids))
+        return out
 
     def decode(self, ids: bytes, width: int = 4) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, f"<u{width}").tolist()))
+        ids = np.frombuffer(ids, f"<u{width}")
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ids):
+            return b""
+        return self.bytes[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
     def char_offsets(self, ids: bytes) -> np.ndarray:
         """Start of each id's piece in the text, in characters; a piece that begins inside a
         character has that character's place."""
-        pieces = [self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])[:-1].astype(int)
-        inside = (data[starts] & 0xC0) == 0x80 if len(starts) else np.zeros(0, bool)
-        return (before[starts] - inside).astype(np.int32)
+        data = np.frombuffer(self.decode(ids), np.uint8)
+        size = self.size[np.frombuffer(ids, "<u4")]
+        starts = np.cumsum(size) - size
+        begun = np.cumsum((data & 0xC0) != 0x80)  # characters up to each byte, that of the byte included
+        return (begun[starts] - 1).astype(np.int32) if len(size) else np.zeros(0, np.int32)
 
 
 def _batches(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -124,7 +172,7 @@ def encode(
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(text)):
@@ -147,7 +195,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", width: int = 4) -> Data
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for batch in batches:
             decoded = [encoder.decode(x.as_py() or b"", width) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays(
@@ -155,3 +203,29 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", width: int = 4) -> Data
             )
 
     return rows.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` without ``text`` and with ids, n_tokens and decoded, as ``encode`` and then ``decode``
+    give them, in one pass through the worker."""
+    rest = docs.drop(text)
+    others, names = rest.columns, free_names(rest, "ids", "n_tokens", "decoded")
+    kinds = [T.BinaryType(), T.LongType(), T.BinaryType()]
+    schema = T.StructType([*rest.schema.fields, *map(T.StructField, names, kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path)
+        for batch in batches:
+            at = 0
+            for texts in _batches(batch.column(text)):
+                ids = encoder.encode(texts)
+                part = batch.slice(at, len(ids)).select(others)
+                at += len(ids)
+                new = [
+                    pa.array(ids, pa.binary()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([encoder.decode(x) for x in ids], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+
+    return docs.mapInArrow(run, schema)

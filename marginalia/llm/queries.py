@@ -125,9 +125,7 @@ def op9_mixing(spark, d):
 
 @query
 def op10_byte_bpe(spark, d):
-    path = vocabulary_path()
-    rows = byte_bpe.encode(table(spark, d, "documents").select("doc_id", "text"), path).drop("text")
-    rows = byte_bpe.decode(rows, path)
+    rows = byte_bpe.round_trip(table(spark, d, "documents").select("doc_id", "text"), vocabulary_path())
     return rows.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
