@@ -59,7 +59,7 @@ class Network:
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(text, 3 x filter) of texts that lie in ``data`` one behind the other."""
         sizes = np.diff(offsets)
-        halves = np.maximum(-(-sizes // HALF), 1)
+        halves = -(-(sizes + WIDTH) // HALF)  # room for the last window, so none sees the next text
         first = np.concatenate([[0], np.cumsum(halves)])
         top = np.empty((first[-1], FILTERS), np.float32)
         step = 64  # halves at a time, which keeps the numbers in the processor's cache
@@ -68,11 +68,6 @@ class Network:
         for a, n, at in zip(offsets[:-1], sizes, first[:-1] * HALF):
             padded[at : at + n] = data[a : a + n]
             inside[at : at + n] = True
-        # a window at a text's end would look into the next text where that begins at once
-        edge = np.flatnonzero((sizes % HALF == 0) | (sizes % HALF > HALF - WIDTH))
-        tails = [(first[i] * HALF + max(sizes[i] - WIDTH + 1, 0), first[i] * HALF + sizes[i]) for i in edge]
-        for x, y in tails:
-            inside[x:y] = False
         for at in range(0, first[-1], step):
             n = min(step, first[-1] - at) * HALF
             some = self.responses(padded[at * HALF : at * HALF + n + WIDTH], n)

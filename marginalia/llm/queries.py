@@ -98,7 +98,8 @@ def op5_url_filter(spark, d):
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     outcomes = labels.select(F.col("doc_id").alias("page_id"), good.alias("good"))
     pages = table(spark, d, "pages").select("page_id", "url")
-    return url_reputation.judge(pages, outcomes, RULES).drop("url")
+    judged = url_reputation.judge(pages, outcomes, RULES).drop("url")
+    return judged.withColumn("bound", F.round("bound", 8))
 
 
 @query
