@@ -158,6 +158,10 @@ def _batches(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
     yield run
 
 
+def _narrowed(ids: list[bytes]) -> list[bytes]:
+    return [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+
+
 def encode(
     docs: DataFrame, path: str, text: str = "text", offsets: bool = False, narrow: bool = False
 ) -> DataFrame:
@@ -179,8 +183,7 @@ def encode(
                 ids = encoder.encode(texts)
                 part = batch.slice(at, len(ids))
                 at += len(ids)
-                kept = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if narrow else ids
-                new = [pa.array(kept, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                new = [pa.array(_narrowed(ids) if narrow else ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if offsets:
                     new.append(pa.array([encoder.char_offsets(x) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
@@ -205,9 +208,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", width: int = 4) -> Data
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", narrow: bool = False) -> DataFrame:
     """``docs`` without ``text`` and with ids, n_tokens and decoded, as ``encode`` and then ``decode``
-    give them, in one pass through the worker."""
+    give them, in one pass through one worker."""
     rest = docs.drop(text)
     others, names = rest.columns, free_names(rest, "ids", "n_tokens", "decoded")
     kinds = [T.BinaryType(), T.LongType(), T.BinaryType()]
@@ -222,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 part = batch.slice(at, len(ids)).select(others)
                 at += len(ids)
                 new = [
-                    pa.array(ids, pa.binary()),
+                    pa.array(_narrowed(ids) if narrow else ids, pa.binary()),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([encoder.decode(x) for x in ids], pa.binary()),
                 ]
