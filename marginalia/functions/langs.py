@@ -56,14 +56,6 @@ def langs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LANGS_SCHEMA)
 
 
-def with_language(files: DataFrame) -> DataFrame:
-    """Inner join with the language dimension: keeps accepted extensions only.
-
-    The dimension is 22 rows by definition, so the broadcast is bounded.
-    """
-    return files.join(F.broadcast(langs(files.sparkSession)), "ext")
-
-
 def family_of(ext: Column) -> Column:
     """Lexical family of an extension, as a foldable CASE (no join)."""
     ext = F.lower(F.coalesce(ext, F.lit("")))

@@ -38,6 +38,20 @@ def to_tokens(files: DataFrame) -> DataFrame:
     ).select("path", "ext", "seq", "t.kind", "t.text")
 
 
+def code_runs(files: DataFrame) -> DataFrame:
+    """(path, run_no, text): the code before, between and behind the comments and strings of a file.
+
+    Neighbouring code tokens are one run; where two comments or strings meet it is empty.
+    """
+    cut = lexing.COMMENT  # a noncharacter; where a text holds one itself, it is masked
+
+    def piece(t: Column) -> Column:
+        return F.when(t["kind"] == "code", F.translate(t["text"], cut, lexing.MASK)).otherwise(F.lit(cut))
+
+    joined = F.array_join(F.transform("tokens", piece), "")
+    return with_tokens(files).select("path", F.posexplode(F.split(joined, cut)).alias("run_no", "text"))
+
+
 def token_positions(files: DataFrame) -> DataFrame:
     """tokens plus the place where each begins and how many lines it spans.
 

@@ -12,7 +12,14 @@ from pyspark.sql import types as T
 from ..operators import changes, lines, metrics, prompts, responses, splice, strip, verify
 from ..sources import ignore
 from ..sources.corpora import corpus
-from ..sources.files import write_files
+from ..sources.files import (
+    qualified,
+    read_responses,
+    read_suggestions,
+    scan_source_tree,
+    write_files,
+    write_tree,
+)
 from ..sources.shared import shared_folder
 from ..streaming import revisions
 from . import annotate
@@ -128,6 +135,16 @@ def part_tokens(spark, d):
     return _marked_tokens(corpus(spark, d, "src_part"))
 
 
+@query
+def part_code(spark, d):
+    return lines.code_runs(corpus(spark, d, "src_part"))
+
+
+@query
+def doc_code(spark, d):
+    return lines.code_runs(corpus(spark, d, "docs_text"))
+
+
 @query
 def part_comments(spark, d):
     return lines.comments(corpus(spark, d, "src_part"))
@@ -325,6 +342,21 @@ def response_errors(spark, d):
     return responses.response_errors(corpus(spark, d, "resp_order"))
 
 
+@query
+def stored_responses(spark, d):
+    """Responses as they are stored, one JSON object a line."""
+    folder = shared_folder(spark, "responses")
+    corpus(spark, d, "resp_order").write.json(folder)
+    return responses.response_errors(read_responses(spark, folder))
+
+
+@query
+def stored_suggestions(spark, d):
+    folder = shared_folder(spark, "suggestions")
+    corpus(spark, d, "sugg_order").write.orc(folder)
+    return splice.expand_comments(read_suggestions(spark, folder, "orc"))
+
+
 @query
 def accepted_items(spark, d):
     return responses.accepted_items(corpus(spark, d, "resp_order"))
@@ -370,6 +402,14 @@ def density_bulk(spark, d):
     return metrics.density_by(corpus(spark, d, "src_order"), "ext")
 
 
+@query
+def target_bands(spark, d):
+    """Whether the files of each mode have about as many comments as the mode is to give."""
+    mode = F.when(F.length("path") % 3 == 0, "light").when(F.length("path") % 3 == 1, "default").otherwise("full")
+    found = metrics.density(corpus(spark, d, "src_part")).withColumn("mode", mode)
+    return found.select("path", "mode", metrics.in_target_band(F.col("per_code"), F.col("mode")).alias("in_band"))
+
+
 @query
 def density_by_language(spark, d):
     by_length = F.length("path") % 3
@@ -399,6 +439,19 @@ def annotate_offline(spark, d):
     return annotate.annotate_files(ignore.drop_empty(files), annotate.offline_annotator)
 
 
+@query
+def scanned_tree(spark, d):
+    """A tree of source files, written and scanned."""
+    root = shared_folder(spark, "tree")
+    uri = qualified(spark, root)
+    files = corpus(spark, d, "src_part").select(F.concat(F.lit(f"{uri}/"), "path").alias("path"), "content")
+    written = metrics.run_summary(write_tree(files)).first()
+    if written["n_error"]:
+        raise RuntimeError(f"{written['n_error']} files were not written")
+    found = scan_source_tree(spark, root)
+    return found.select(F.substr("path", F.lit(len(uri) + 2), F.length("path")).alias("path"), "ext", "content")
+
+
 @query
 def written_version(spark, d):
     """The sink: a version with every file, then one in which every third file is annotated."""

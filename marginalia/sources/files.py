@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -94,25 +93,28 @@ def write_files(files: DataFrame, path: str, previous: str | None = None, fmt: s
 RUN_LOG_SCHEMA = "path string, status string, error string"
 
 
-def write_tree(files: DataFrame, strip_prefix: str = "file:") -> DataFrame:
+def write_tree(files: DataFrame) -> DataFrame:
     """Writes every ``content`` back to its ``path`` and returns run_log(path, status, error).
 
-    For trees on storage that all executors mount. Each task writes a file of its own
-    next to the target and renames it, so a retried or speculative task is harmless and
-    readers see the old text or the new one. A file that fails is logged, not fatal.
-    Nothing is written before an action runs on the log.
+    Paths are URIs, or absolute, of a file system that all executors reach. Each task writes a
+    file of its own next to the target and moves it there, so a retried or speculative task is
+    harmless and readers see the old text or the new one. A file that fails is logged, not
+    fatal. Nothing is written before an action runs on the log.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for batch in batches:
             log = []
             for path, content in zip(batch["path"], batch["content"]):
-                target = path.removeprefix(strip_prefix)
-                draft = f"{target}.{uuid.uuid4().hex}.tmp"
                 try:
-                    with open(draft, "w", encoding="utf-8", newline="") as out:
-                        out.write(content)
-                    os.replace(draft, target)
+                    system, target = fs.FileSystem.from_uri(path)
+                    draft = f"{target}.{uuid.uuid4().hex}.tmp"
+                    system.create_dir(target.rpartition("/")[0], recursive=True)
+                    with system.open_output_stream(draft) as out:
+                        out.write(content.encode())
+                    system.move(draft, target)
                     log.append((path, "ok", None))
                 except OSError as error:
                     log.append((path, "error", str(error)))

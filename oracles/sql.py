@@ -393,6 +393,20 @@ ORACLES["written_version"] = f"""WITH {corpus("src_part", "all_files")}, files A
 SELECT path, content FROM new
 UNION ALL SELECT path, content FROM all_files WHERE path NOT IN (SELECT path FROM new)"""
 
+_CODE_RUNS = """, joined AS (SELECT path, string_agg(CASE WHEN kind = 'code' THEN t ELSE chr(64976) END, '' ORDER BY seq) AS j FROM kd GROUP BY path)
+SELECT path, unnest(r) AS text, CAST(generate_subscripts(r, 1) - 1 AS BIGINT) AS run_no FROM (SELECT path, string_split(j, chr(64976)) AS r FROM joined) AS x
+UNION ALL SELECT path, '', 0 FROM files WHERE content = ''"""
+ORACLES["part_code"] = f"WITH {corpus('src_part')}, {lexed()}{_CODE_RUNS}"
+ORACLES["doc_code"] = f"WITH {corpus('docs_text')}, {lexed()}{_CODE_RUNS}"
+ORACLES["stored_responses"] = ORACLES["response_errors"]
+ORACLES["stored_suggestions"] = ORACLES["expanded_comments"]
+ORACLES["target_bands"] = f"""WITH {corpus('src_part')}, {lexed()}, counts AS (SELECT {_COUNTS} FROM ls GROUP BY path),
+d AS (SELECT path, round(n_comment / nullif(n_code, 0), 6) AS r, CASE length(path) % 3 WHEN 0 THEN 'light' WHEN 1 THEN 'default' ELSE 'full' END AS mode FROM counts)
+SELECT path, mode, CASE mode WHEN 'light' THEN r BETWEEN 0.10 AND 0.20 WHEN 'default' THEN r BETWEEN 0.20 AND 0.35 ELSE r BETWEEN 0.60 AND 1.10 END AS in_band FROM d"""
+ORACLES["scanned_tree"] = f"""WITH {corpus('src_part')}
+SELECT path, ext, content FROM files WHERE trim(replace(content, chr(10), '')) <> ''
+  AND path NOT LIKE '%/node_modules/%' AND path NOT LIKE '%/tests/%' AND path NOT LIKE '%/dist/%'"""
+
 # What the longer queries read several times is computed once.
 for _key, _sql in ORACLES.items():
     for _cte in ("ls", "pc", "b_ls", "merged", "b_merged", "spliced", "out"):
