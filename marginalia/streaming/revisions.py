@@ -80,25 +80,29 @@ class ChangeKinds(StatefulProcessor):
         self.last = handle.getValueState("last", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch may hold revisions of a path in any order.
-        batch = pd.concat(list(rows)).sort_values(["commit_ts", "commit_id"])
-        last = self.last.get() if self.last.exists() else None
-        if last is not None:
-            last = (last[0], last[1], pd.Timestamp(last[2]), last[3])
-        kinds = []
-        for row in batch.itertuples(index=False):
-            at = (pd.Timestamp(row.commit_ts), row.commit_id)
-            if last is None:
-                kind = "new"
-            elif at < (last[2], last[3]):
-                kinds.append("late")
-                continue
-            else:
-                kind = "comment_only" if row.digest == last[0] and not last[1] else "code"
-            kinds.append(kind)
-            last = (row.digest, bool(row.is_empty), at[0], int(at[1]))
-        self.last.update((last[0], last[1], last[2].to_pydatetime(), last[3]))
-        yield batch[["path", "ext", "commit_id", "commit_ts", "message"]].assign(kind=kinds)
+        # A micro-batch may hold revisions of a path in any order. Its rows are digests, so even
+        # very many of one path are small; they are compared as columns.
+        batch = pd.concat(list(rows)).sort_values(["commit_ts", "commit_id"], ignore_index=True)
+        before = self.last.get() if self.last.exists() else (None, False, None, None)
+        kind = pd.Series("code", index=batch.index)
+        late = pd.Series(False, index=batch.index)
+        if before[2] is not None:
+            at = pd.Timestamp(before[2])
+            late = (batch.commit_ts < at) | ((batch.commit_ts == at) & (batch.commit_id < before[3]))
+        kind[late] = "late"
+        seen = batch[~late]
+        if len(seen):
+            digest = seen.digest.where(seen.digest.notna(), None)
+            empty = seen.is_empty.fillna(False).astype(bool)
+            earlier = pd.concat([pd.Series([before[0]], dtype=object), digest[:-1]]).set_axis(seen.index)
+            was_empty = pd.concat([pd.Series([bool(before[1])]), empty[:-1]]).set_axis(seen.index)
+            kind[seen.index[(digest == earlier) & ~was_empty]] = "comment_only"
+            kind[seen.index[earlier.isna()]] = "new"
+            kind[seen.index[digest.isna()]] = "deleted"
+            end = seen.iloc[-1]
+            at = pd.Timestamp(end.commit_ts).to_pydatetime()
+            self.last.update((digest.iloc[-1], bool(empty.iloc[-1]), at, int(end.commit_id)))
+        yield batch[["path", "ext", "commit_id", "commit_ts", "message"]].assign(kind=kind)
 
     def close(self) -> None:
         pass
@@ -107,7 +111,7 @@ class ChangeKinds(StatefulProcessor):
 def change_kind_stream(revisions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(path, ext, commit_id, commit_ts, message, kind) for a stream of revisions.
 
-    ``kind`` is new, code, comment_only or late. The text is reduced to a digest before
+    ``kind`` is new, code, comment_only, deleted or late. The text is reduced to a digest before
     the shuffle, so neither the shuffle nor the state holds any content. State of paths
     idle for ``ttl_ms`` is dropped. Needs the RocksDB state store (``STATE_STORE``).
     """

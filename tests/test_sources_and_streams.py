@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import metrics
 from marginalia.plans import annotate
@@ -89,3 +90,18 @@ def test_late_revisions_and_return_to_old_code(spark, tmp_path):
         revisions.drain(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     got = {r.commit_id: r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "new", 2: "code", 3: "code", 4: "comment_only", 5: "late"}
+
+
+def test_very_many_revisions_of_one_path(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", revisions.STATE_STORE)
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "'p' AS path", "'.js' AS ext", "id AS commit_id", "timestamp_seconds(id DIV 2) AS commit_ts", "'m' AS message",
+        "CASE WHEN id % 10 = 9 THEN NULL ELSE concat('a', id DIV 5, '(); // ', id) END AS content",
+    )
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = revisions.change_kind_stream(revisions.revision_stream(spark, str(tmp_path / "in")))
+    revisions.drain(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = {r.kind: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    # of ten in a row: new after a deletion, four comments, other code, three comments, a deletion
+    assert got == {"new": n // 10, "comment_only": 7 * n // 10, "code": n // 10, "deleted": n // 10}
