@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, exact_dedup, mixing, ngram_join, toxicity
-from marginalia.llm.frames import stored
+from marginalia.llm.frames import bounded_batches, stored
 from marginalia.llm.queries import OTHER_SHARES, SHARES, table, vocabulary_path
 
 #: Near copies: five-word shingles, a Jaccard similarity of 0.8 or more.
@@ -23,11 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each content stays, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one with the smallest doc_id."""
+    bounded_batches(spark)
     return ngram_join.drop_similar(docs, NEAR)
 
 
@@ -39,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 16-bit) and whether decoding them
     gives the text back."""
+    bounded_batches(spark)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     rows = byte_bpe.round_trip(docs.select("doc_id", "source", "text", digest.alias("was")), vocabulary_path(), narrow=True)
     same = F.sha2("decoded", 256) == F.col("was")

@@ -25,7 +25,7 @@ from .frames import free_names
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Parts longer than this are not kept. Two tables of so many parts are: when the younger is full it
 #: becomes the older, and parts found there move on, so frequent ones stay.
-KEPT_LENGTH, KEPT_PARTS = 48, 120_000
+KEPT_LENGTH, KEPT_PARTS = 48, 60_000
 #: Characters of new parts that the library gets as one text.
 RUN = 1 << 15
 
@@ -145,7 +145,7 @@ class Encoder:
         return (begun[starts] - 1).astype(np.int32) if len(size) else np.zeros(0, np.int32)
 
 
-def _batches(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
+def _batches(column: pa.Array, chars: int = 1 << 19) -> Iterator[list[str]]:
     """The texts of a column (null: empty) in runs of about ``chars`` characters."""
     run, size = [], 0
     for text in column:

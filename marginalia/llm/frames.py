@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
@@ -13,6 +13,17 @@ from ..sources.shared import shared_folder
 _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of an Arrow batch. By number of rows alone a batch of long texts takes many times as much, in the
+#: executor and in its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes for the session's queries."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only, whatever the locale."""
     return F.translate(text, _A_TO_Z, _A_TO_Z.lower())
