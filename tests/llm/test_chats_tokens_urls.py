@@ -276,6 +276,15 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     assert np.abs(got - want).max() < 0.3
 
 
+def test_likeness_with_the_number_of_samples_of_the_query(spark):
+    pairs = [(i, " ".join(f"t{i}_{k}" for k in range(60)), " ".join(f"t{i}_{k}" for k in range(15, 75))) for i in range(120)]
+    frame = spark.createDataFrame(pairs, "i long, a string, b string")
+    found = weighted_sampling.fingerprints(frame, ["i"], {"a": "x", "b": "y"})
+    near = found.select(weighted_sampling.likeness(F.col("x"), F.col("y")).alias("n")).collect()
+    off = np.array([r.n for r in near]) - 45 / 75
+    assert abs(off.mean()) < 0.03 and np.sqrt((off**2).mean()) < 0.09 and (np.abs(off) > 0.2).mean() < 0.03
+
+
 def test_weights_count_words(spark):
     row = spark.createDataFrame([("b a\tb  c b",)], "t string").select(weighted_sampling.term_weights(F.col("t")).alias("w")).first()
     assert sorted(x.weight for x in row.w) == [1, 1, 3]
