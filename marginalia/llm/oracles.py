@@ -84,3 +84,72 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict, round(bound, 8) AS bound FROM r
 """
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (
+  SELECT doc_id, t, n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM h),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1, n - b) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1, n - b) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS output
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+ORACLES["op12_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, max(page_id) OVER same AS top,
+    row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) = 1 AS first
+  FROM p WINDOW same AS (PARTITION BY html)),
+v AS (SELECT *, [('0x' || h[5 * g + 1:5 * g + 5])::BIGINT FOR g IN range(8)] AS v FROM s)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT first THEN top END AS refers_to
+FROM v
+"""
+
+_CODES = """
+b{r} AS MATERIALIZED (
+  SELECT vec_id, n, p, x, min(far * 64 + entry) AS best
+  FROM (SELECT a.vec_id, a.n, a.p, a.x, c.entry,
+      list_sum([(a.x[i] - c.x[i]) * (a.x[i] - c.x[i]) FOR i IN range(1, len(a.x) + 1)])::HUGEINT AS far
+    FROM parts AS a JOIN c{r} AS c USING (p))
+  GROUP BY vec_id, n, p, x)"""
+
+_MOVED = """,
+m{r} AS (
+  SELECT p, entry, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v
+  FROM (SELECT p, best % 64 AS entry, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{r}) GROUP BY p, entry, i),
+c{next} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.x, c.x) AS x
+  FROM c{r} AS c LEFT JOIN (SELECT p, entry, list(v ORDER BY i) AS x FROM m{r} GROUP BY p, entry) AS m USING (p, entry)),"""
+
+ORACLES["op11_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(x::DOUBLE * 256)::BIGINT FOR x IN embedding] AS v,
+    row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, n, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x
+  FROM kept, (SELECT unnest(range(16)) AS p)),
+c0 AS MATERIALIZED (SELECT p, n AS entry, x FROM parts WHERE n < 64),
+{_CODES.format(r=0)}{_MOVED.format(r=0, next=1)}
+{_CODES.format(r=1)}{_MOVED.format(r=1, next=2)}
+{_CODES.format(r=2)},
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, entry)) AS h FROM c2),
+coded AS (
+  SELECT n, string_agg(printf('%02x', (best % 64)::BIGINT), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error
+  FROM b2 GROUP BY n)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (n), books
+"""

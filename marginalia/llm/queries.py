@@ -13,15 +13,18 @@ from . import (
     byte_cnn,
     conversations,
     exact_dedup,
+    fill_in_middle,
     labelled,
     mixing,
     ngram_join,
     token_files,
     toxicity,
     url_reputation,
+    vector_codes,
+    warc,
     weighted_sampling,
 )
-from .frames import bounded_batches
+from .frames import bounded_batches, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +134,37 @@ def op10_byte_bpe(spark, d):
     return rows.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op11_vector_codes(spark, d):
+    return vector_codes.compress(table(spark, d, "embeddings"))
+
+
+@query
+def op12_warc(spark, d):
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, d, "pages"), folder)
+    records = stored(warc.read_archives(spark, folder).drop("payload"), "warc-records")
+    pages = warc.outermost(records).where(F.col("record_type").isin("response", "revisit"))
+    return pages.select(
+        warc.page_id_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id_of("refers_to_id").alias("refers_to"),
+    )
+
+
+@query
+def op13_fill_in_middle(spark, d):
+    rows = fill_in_middle.restore(fill_in_middle.transform(table(spark, d, "documents"), seed=1))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
