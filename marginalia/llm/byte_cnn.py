@@ -6,8 +6,8 @@ covered by overlapping chunks from first to last byte. In each chunk the filters
 mean, smallest and largest of that over the chunks, and how short the text is (a short one has little for
 a filter to find), make one probability for the document.
 
-The network is fitted on the driver on a bounded sample (``PER_CLASS`` documents a class, at most
-``CHUNKS`` chunks from each, evenly over its length). Scoring is a narrow pass over all documents.
+The network is fitted on the driver on a bounded sample of whole documents (``PER_CLASS`` a class, together at most
+``SAMPLE_BYTES``), from the very chunks that scoring pools. Scoring is a narrow pass over all documents.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import labelled, words
-from .frames import free_names
+from .frames import free_names, stored
 
 WIDTH, FILTERS = 5, 12
 #: Chunks are two halves long and begin at every half.
 HALF = 256
-PER_CLASS, CHUNKS, EPOCHS = 600, 8, 25
+PER_CLASS, EPOCHS = 600, 25
+#: Bytes of the sample's texts; documents beyond it are left out of the sample, whole.
+SAMPLE_BYTES = 64 << 20
 #: Scales, in bytes, of the inputs that tell how short a text is.
 LENGTHS = (24, 64, 256)
 
@@ -37,6 +39,47 @@ def shortness(sizes: np.ndarray) -> np.ndarray:
     return np.exp(-np.asarray(sizes, np.float32)[:, None] / np.float32(LENGTHS))
 
 
+@dataclass
+class Halves:
+    """Texts laid out in halves of chunks, each text from a half of its own on.
+
+    ``inside`` tells the places that belong to a text from padding, by its length. A text of several halves has
+    a chunk less than halves: its last half is in the chunk before. ``starts`` and ``count`` are each text's chunks.
+    """
+
+    padded: np.ndarray
+    inside: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Halves:
+        sizes = np.diff(offsets)
+        halves = -(-(sizes + WIDTH) // HALF)  # room for the last window, so none sees the next text
+        first = np.concatenate([[0], np.cumsum(halves)])
+        padded = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
+        inside = np.zeros(first[-1] * HALF, bool)
+        for a, n, at in zip(offsets[:-1], sizes, first[:-1] * HALF):
+            padded[at : at + n] = data[a : a + n]
+            inside[at : at + n] = True
+        count = np.maximum(halves - 1, 1)
+        return cls(padded, inside, first, np.concatenate([[0], np.cumsum(count)])[:-1], count)
+
+    def chunks(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, filter): the larger value of each chunk's halves, and the number of the half that has it."""
+        last = np.zeros(len(top), bool)
+        last[self.first[1:] - 1] = True
+        half = np.arange(len(top))[:, None] + np.zeros(top.shape[1], np.int64)
+        chunk = top.copy()
+        second = top[1:] > top[:-1]
+        second[last[:-1]] = False
+        chunk[:-1][second] = top[1:][second]
+        half[:-1][second] += 1
+        keep = ~(last & np.repeat(np.diff(self.first) > 1, np.diff(self.first)))
+        return chunk[keep], half[keep]
+
+
 @dataclass
 class Network:
     """``tables`` (width, byte, filter), ``shift`` (filter), ``head`` (3 x filter and lengths), ``bias``."""
@@ -56,66 +99,58 @@ class Network:
             out += more
         return out
 
-    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(text, 3 x filter) of texts that lie in ``data`` one behind the other."""
-        sizes = np.diff(offsets)
-        halves = -(-(sizes + WIDTH) // HALF)  # room for the last window, so none sees the next text
-        first = np.concatenate([[0], np.cumsum(halves)])
-        top = np.empty((first[-1], FILTERS), np.float32)
+    def tops(self, padded: np.ndarray, inside: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(half, filter): the largest response in each half before ``shift``; with ``places`` also where it is."""
+        count = len(inside) // HALF
+        top = np.empty((count, FILTERS), np.float32)
+        place = np.empty((count, FILTERS), np.int64) if places else None
         step = 64  # halves at a time, which keeps the numbers in the processor's cache
-        padded = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
-        inside = np.zeros(first[-1] * HALF, bool)
-        for a, n, at in zip(offsets[:-1], sizes, first[:-1] * HALF):
-            padded[at : at + n] = data[a : a + n]
-            inside[at : at + n] = True
-        for at in range(0, first[-1], step):
-            n = min(step, first[-1] - at) * HALF
+        for at in range(0, count, step):
+            n = min(step, count - at) * HALF
             some = self.responses(padded[at * HALF : at * HALF + n + WIDTH], n)
             some[~inside[at * HALF : at * HALF + n]] = -np.inf
-            top[at : at + n // HALF] = some.reshape(-1, HALF, FILTERS).max(axis=1)
-        top = np.maximum(top + self.shift, 0)
-        last = np.zeros(first[-1], bool)
-        last[first[1:] - 1] = True
-        chunk = top.copy()
-        chunk[:-1][~last[:-1]] = np.maximum(top[:-1], top[1:])[~last[:-1]]
-        # a text of several halves has one chunk less than halves: its last half is in the one before
-        drop = last & np.repeat(halves > 1, halves)
-        starts = (first - np.concatenate([[0], np.cumsum(drop[first[1:] - 1])]))[:-1]
-        chunk, count = chunk[~drop], np.maximum(halves - 1, 1)
-        mean = np.add.reduceat(chunk, starts) / count[:, None]
-        low, high = np.minimum.reduceat(chunk, starts), np.maximum.reduceat(chunk, starts)
-        return np.concatenate([mean, low, high, shortness(sizes)], axis=1)
+            some = some.reshape(-1, HALF, FILTERS)
+            if places:
+                place[at : at + n // HALF] = found = some.argmax(axis=1)
+                top[at : at + n // HALF] = np.take_along_axis(some, found[:, None], axis=1)[:, 0]
+            else:
+                top[at : at + n // HALF] = some.max(axis=1)
+        return top, place
+
+    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(text, 3 x filter) of texts that lie in ``data`` one behind the other."""
+        own = Halves.of(data, offsets)
+        top, _ = self.tops(own.padded, own.inside)
+        chunk, _ = own.chunks(np.maximum(top + self.shift, 0))
+        mean = np.add.reduceat(chunk, own.starts) / own.count[:, None]
+        low, high = np.minimum.reduceat(chunk, own.starts), np.maximum.reduceat(chunk, own.starts)
+        return np.concatenate([mean, low, high, shortness(np.diff(offsets))], axis=1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = self.pooled(data, offsets) @ self.head + self.bias
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
-def _chunk_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, weight, size, chunks): at most CHUNKS chunks of each text, evenly over its length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, size = [], []
-            for _, data, offsets in words.chunks(batch.column("text")):
-                size += np.diff(offsets).tolist()
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    starts = np.unique(np.linspace(0, max(b - a - 2 * HALF, 0), CHUNKS).astype(int))
-                    # the network's own chunks are two halves, and windows may look a little farther
-                    out.append([data[a + s : min(a + s + 2 * HALF, b)].tobytes().ljust(2 * HALF + WIDTH, b"\0") for s in starts])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "label", "weight")), pa.array(size, pa.int64()), pa.array(out, pa.list_(pa.binary()))],
-                names=["doc_id", "label", "weight", "size", "chunks"],
-            )
-
-    return rows.mapInArrow(run, "doc_id bigint, label int, weight double, size bigint, chunks array<binary>")
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, text: str) -> list:
+    """(doc_id, text, label, weight) of the sample, in order of doc_id; bounded in rows and in bytes."""
+    picked = stored(labelled.sample(docs, labels, label, PER_CLASS, text), "labelled-sample")
+    sizes = picked.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect()  # bounded
+    held, room = [], SAMPLE_BYTES
+    for r in sorted(sizes, key=lambda r: words.mixed(np.array([r["doc_id"]]).astype(np.uint64))[0]):
+        if r["n"] <= room:
+            room -= r["n"]
+            held.append(r["doc_id"])
+    fits = picked if len(held) == len(sizes) else picked.where(F.col("doc_id").isin(held))
+    return sorted(fits.collect(), key=lambda r: r["doc_id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", seed: int = 4) -> Network:
     """A network for P(label = 1). Without labels of both classes it gives the known share, or one half."""
-    picked = labelled.sample(docs, labels, label, PER_CLASS, text)
-    rows = _chunk_rows(picked.withColumn("label", F.col("label").cast("int"))).collect()  # bounded
-    rows.sort(key=lambda r: (r["doc_id"], r["size"]))
+    return fit_rows(_sampled(docs, labels, label, text), seed)
+
+
+def fit_rows(rows: list, seed: int = 4) -> Network:
+    """The same from rows with text, label and weight."""
     rng = np.random.default_rng(seed)
     net = Network(
         rng.normal(0, 0.05, (WIDTH, 256, FILTERS)).astype(np.float32),
@@ -130,13 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", seed
         return net
     weight = np.array([r["weight"] for r in rows], np.float32)
     weight /= weight.mean()
-    short = shortness(np.array([r["size"] for r in rows]))
-    docs_of = [np.frombuffer(b"".join(r["chunks"]), np.uint8).reshape(-1, 2 * HALF + WIDTH) for r in rows]
+    texts = [np.frombuffer((r["text"] or "").encode(), np.uint8) for r in rows]
     for f in range(FILTERS):  # each filter starts from bytes that occur
-        doc = docs_of[rng.integers(len(docs_of))]
-        at = rng.integers(0, 2 * HALF)
-        seen = doc[rng.integers(len(doc)), at : at + WIDTH]
-        net.tables[np.arange(WIDTH), seen, f] += 0.3
+        some = texts[rng.integers(len(texts))]
+        if len(some) >= WIDTH:
+            at = rng.integers(0, len(some) - WIDTH + 1)
+            net.tables[np.arange(WIDTH), some[at : at + WIDTH], f] += 0.3
     params = [net.tables, net.shift, net.head]
     bias = np.zeros(1, np.float32)
     params.append(bias)
@@ -146,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", seed
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             pick = order[at : at + 64]
-            grads = _gradients(net, bias, [docs_of[i] for i in pick], short[pick], target[pick], weight[pick])
+            grads = gradients(net, bias, [texts[i] for i in pick], target[pick], weight[pick])
             step += 1
             for p, g, (m, v) in zip(params, grads, moments):
                 m += 0.1 * (g - m)
@@ -156,32 +190,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", seed
     return net
 
 
-def _gradients(net: Network, bias: np.ndarray, docs: list, short: np.ndarray, target: np.ndarray, weight: np.ndarray) -> list:
-    """Of the weighted cross entropy over a few documents, given as chunks and shortness."""
-    count = np.array([len(d) for d in docs])
-    first = np.concatenate([[0], np.cumsum(count)])
-    data = np.concatenate(docs)
-    size = 2 * HALF
-    raw = np.concatenate([data[:, j : j + size, None] for j in range(WIDTH)], axis=2)
-    out = sum(net.tables[j][raw[:, :, j]] for j in range(WIDTH))
-    out[data[:, :size] == 0] = -1e9  # padding
-    place = out.argmax(axis=1)
-    top = np.take_along_axis(out, place[:, None], axis=1)[:, 0] + net.shift
+def gradients(net: Network, bias: np.ndarray, texts: list[np.ndarray], target: np.ndarray, weight: np.ndarray) -> list:
+    """Of the weighted cross entropy over a few whole texts, for tables, shift, head and bias."""
+    sizes = np.array([len(t) for t in texts])
+    own = Halves.of(np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)]))
+    raw, place = net.tops(own.padded, own.inside, places=True)
+    top, half = own.chunks(raw + net.shift)
     h = np.maximum(top, 0)
-    mean = np.add.reduceat(h, first[:-1]) / count[:, None]
-    low, high = np.minimum.reduceat(h, first[:-1]), np.maximum.reduceat(h, first[:-1])
-    pooled = np.concatenate([mean, low, high, short], axis=1)
-    p = 1 / (1 + np.exp(-(pooled @ net.head + bias[0])))
-    dz = (p - target) * weight / len(docs)
+    mean = np.add.reduceat(h, own.starts) / own.count[:, None]
+    low, high = np.minimum.reduceat(h, own.starts), np.maximum.reduceat(h, own.starts)
+    pooled = np.concatenate([mean, low, high, shortness(sizes)], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.head + bias[0], -30, 30)))
+    dz = (p - target) * weight / len(texts)
     du = pooled.T @ dz + 1e-4 * net.head
-    doc = np.repeat(np.arange(len(docs)), count)
+    doc = np.repeat(np.arange(len(texts)), own.count)
     a, b, c = np.split(net.head[: 3 * FILTERS], 3)
-    dh = a * (dz / count)[doc][:, None]
-    dh = dh + b * dz[doc][:, None] * (h == low[doc]) + c * dz[doc][:, None] * (h == high[doc])
+    dh = a * (dz / own.count)[doc][:, None]
+    every = np.arange(FILTERS)
+    for share, best in ((b, low), (c, high)):  # of chunks with the same value, the first counts
+        first = np.minimum.reduceat(np.where(h == best[doc], np.arange(len(h))[:, None], len(h)), own.starts)
+        dh[first, every] += share * dz[:, None]
     dh = (dh * (top > 0)).astype(np.float32)
-    at = np.arange(len(data))[:, None]
-    index = [(j * 256 + data[at, place + j].astype(np.intp)) * FILTERS + np.arange(FILTERS) for j in range(WIDTH)]
-    dt = np.bincount(np.concatenate(index).ravel(), np.tile(dh.ravel(), WIDTH), minlength=WIDTH * 256 * FILTERS)
+    used, column = np.nonzero(dh)  # most chunks of a long text change nothing
+    value, where = dh[used, column], half[used, column]
+    at = where * HALF + place[where, column]
+    index = np.concatenate([(j * 256 + own.padded[at + j].astype(np.intp)) * FILTERS + column for j in range(WIDTH)])
+    dt = np.bincount(index, np.tile(value, WIDTH), minlength=WIDTH * 256 * FILTERS)
     return [
         dt.reshape(WIDTH, 256, FILTERS).astype(np.float32),
         dh.sum(axis=0),

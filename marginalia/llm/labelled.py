@@ -19,7 +19,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text:
 
     Documents are chosen by a hash of their id, so the sample is the same in every run. ``weight``
     makes up for the classes' shares. A document counts once, with its largest label; null
-    labels and ids do not count. The chosen ids are at most twice ``per_class``, so they can be broadcast.
+    labels and ids do not count. The chosen ids are at most twice ``per_class``, so they can be broadcast. Of rows that
+    repeat a chosen id, the one with the smallest hash of its text counts.
     """
     known = labels.where((F.col(label).isin(0, 1)) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -31,4 +32,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text:
     )
     picked = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("picked_id"), "label", weight.alias("weight"))
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    return rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "label", "weight")
+    found = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return found.groupBy("doc_id", "label", "weight").agg(one.alias("one")).select("doc_id", "one.text", "label", "weight")

@@ -4,8 +4,8 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op1_chat_formatting"] = r"""
 WITH whole AS MATERIALIZED (
-  SELECT conv_id, list({'p': turn - first, 'r': role, 't': text} ORDER BY turn, role, text) AS turns
-  FROM (SELECT DISTINCT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
+  SELECT conv_id, list({'p': turn - first, 'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM (SELECT DISTINCT conv_id, turn, role, text, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
   GROUP BY conv_id),
 one AS MATERIALIZED (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM whole GROUP BY turns),
 parts AS (
@@ -14,9 +14,9 @@ parts AS (
 kept AS (SELECT * FROM one WHERE turns NOT IN (SELECT turns FROM parts)),
 turn_rows AS (
   SELECT conv_id, n_equal, unnest(range(1, len(turns) + 1)) AS i, unnest(turns) AS t FROM kept)
-SELECT conv_id, (t.p // 256)::BIGINT AS part, count(*) AS n_turns, n_equal,
+SELECT conv_id, ((i - 1) // 256)::BIGINT AS part, count(*) AS n_turns, n_equal,
   string_agg('<|im_start|>' || coalesce(t.r, 'unknown') || chr(10) || coalesce(t.t, '') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
-FROM turn_rows GROUP BY ALL
+FROM turn_rows GROUP BY conv_id, part, n_equal
 """
 
 ORACLES["op2_ngram_join"] = r"""

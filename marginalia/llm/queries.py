@@ -77,7 +77,8 @@ def op3_token_counts(spark, d):
     folder = shared_folder(spark, "token-files")
     token_files.write_token_files(F.col("ids"), docs, folder, END_OF_DOCUMENT, 2)
     counts = token_files.token_counts(spark, folder, END_OF_DOCUMENT, 2)
-    return counts.withColumn("file", F.regexp_extract("file", r"([^/]*)\z", 1))
+    # a file's name is new in each run, its number is not
+    return counts.withColumn("file", token_files.file_number(F.col("file")))
 
 
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .frames import file_system, stored
+
 #: Bytes of a block; a multiple of every width.
 BLOCK = 1 << 22
 #: Blocks whose summaries are scanned in one go; the scan has two levels.
@@ -30,6 +32,11 @@ def _texts_of(separator: int, width: int) -> str:
     return int(separator).to_bytes(width, "little").decode("latin-1")
 
 
+def file_number(file: Column) -> Column:
+    """The number of a written file: the rows of a task of the writer. Its name is another in each run."""
+    return F.regexp_extract(file, r"/part-([0-9]+)-[^/]*\z", 1).try_cast("bigint")
+
+
 def write_token_files(tokens: Column, rows: DataFrame, folder: str, separator: int, width: int) -> None:
     """Writes one flat file per task: each row's ids (BINARY) and the separator behind them.
 
@@ -58,11 +65,9 @@ def blocks(spark: SparkSession, folder: str, separator: int, width: int, block:
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for row in batch.to_pylist():
-                system, path = fs.FileSystem.from_uri(row["file"])
+                system, path = file_system(row["file"])
                 at = row["block"] * block
                 n = min(block, row["length"] - at) // width
                 with system.open_input_file(path) as source:
@@ -83,11 +88,14 @@ def blocks(spark: SparkSession, folder: str, separator: int, width: int, block:
 
 
 def _carried(found: DataFrame) -> DataFrame:
-    """Adds what came before each block of its file: documents ended, and the token at which the
-    document that is open at its start began. Two levels: inside runs of blocks, over runs."""
+    """(file, block, done, open_at): what came before each block of its file, documents ended, and the token at which
+    the document that is open at its start began. Two levels: inside runs of blocks, over runs. Only summaries are
+    scanned, not the places of separators."""
     last = F.element_at("ends", -1)
-    found = found.withColumn("run", F.floor(F.col("block") / RUN)).select(
-        "*",
+    found = found.select(
+        "file",
+        "block",
+        F.floor(F.col("block") / RUN).alias("run"),
         F.size("ends").cast("bigint").alias("n_ends"),
         F.when(F.size("ends") > 0, F.col("start") + last + 1).alias("reached"),
     )
@@ -98,9 +106,6 @@ def _carried(found: DataFrame) -> DataFrame:
     return found.join(runs, ["file", "run"]).select(
         "file",
         "block",
-        "start",
-        "n_tokens",
-        "ends",
         (F.coalesce(F.sum("n_ends").over(inside), F.lit(0)) + F.coalesce("n", F.lit(0))).alias("done"),
         F.coalesce(F.max("reached").over(inside), "r", F.lit(0)).alias("open_at"),
     )
@@ -115,10 +120,8 @@ def token_counts(
     Tokens behind the last separator of a file are a document without an end; a file that ends
     with a separator has none. A file without a whole id, and an empty folder, give no rows.
     """
-    from .frames import stored
-
     found = stored(blocks(spark, folder, separator, width, block), "token-blocks")
-    known = _carried(found)
+    known = found.join(_carried(found), ["file", "block"])
     begins = F.transform(
         F.col("ends"),
         lambda end, i: F.struct(

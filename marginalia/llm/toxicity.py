@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import labelled, words
-from .frames import free_names
+from .frames import free_names, stored
 
 #: Documents of each class that the model is fitted on.
 PER_CLASS = 2500
@@ -112,85 +112,105 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float) -> LabelMod
     return model
 
 
-def _item_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, weight, items): the distinct items of each text."""
+def _of_texts(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct items of each text."""
+    for _, data, offsets in words.chunks(texts):
+        hashes, text = items(data, offsets)
+        order = np.argsort(text, kind="stable")
+        cut = np.searchsorted(text[order], np.arange(len(offsets)))
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield np.unique(hashes[order[a:b]])
+
+
+def item_counts(picked: DataFrame) -> DataFrame:
+    """(item, hits, misses, support) of the sample's (text, label, weight): the weight of positive and of other documents
+    that have an item, and the number of positive ones. Items with less than SUPPORT are left out. Summed up in
+    each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, data, offsets in words.chunks(batch.column("text")):
-                hashes, text = items(data, offsets)
-                order = np.argsort(text, kind="stable")
-                cut = np.searchsorted(text[order], np.arange(len(offsets)))
-                out += [np.unique(hashes[order[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            own = list(_of_texts(batch.column("text")))
+            if not own:
+                continue
+            label = np.repeat(batch.column("label").to_numpy(), [len(x) for x in own])
+            weight = np.repeat(batch.column("weight").to_numpy(), [len(x) for x in own])
+            seen, at = np.unique(np.concatenate(own), return_inverse=True)
+            sums = [np.bincount(at, w, len(seen)) for w in (weight * label, weight * (1 - label), label)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "label", "weight")), pa.array(out, pa.binary())],
-                names=["doc_id", "label", "weight", "items"],
+                [pa.array(seen.view(np.int64)), *map(pa.array, sums[:2]), pa.array(sums[2].astype(np.int64))],
+                names=["item", "hits", "misses", "support"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, label int, weight double, items binary")
+    counted = picked.select("text", "label", "weight").mapInArrow(run, "item bigint, hits double, misses double, support bigint")
+    summed = counted.groupBy("item").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "support")])
+    return summed.where(F.col("support") >= SUPPORT)
 
 
-def _presence(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(items that SUPPORT positive documents have or more, and pairs of document and item number)."""
-    own = [np.frombuffer(r["items"], np.uint64) for r in rows]
-    positive = [x for x, r in zip(own, rows) if r["label"] == 1]
-    seen, n = np.unique(np.concatenate(positive), return_counts=True)
-    known = seen[n >= SUPPORT]
-    if not len(known):
-        return known, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    everything, doc = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-    at = np.minimum(np.searchsorted(known, everything), len(known) - 1)
-    hit = known[at] == everything
-    return known, doc[hit], at[hit]
+def _chosen(counts: DataFrame, positive: float, negative: float) -> tuple[np.ndarray, np.ndarray]:
+    """(voters, features): sorted hashes, at most VOTERS and FEATURES and as many more.
 
+    Voters are items that speak for the class nearly always, the widest first; features those that say most
+    about either class, and the voters.
+    """
+    lift = F.log((F.col("hits") + 0.5) / (positive + 1)) - F.log((F.col("misses") + 0.5) / (negative + 1))
+    both = F.col("hits") + F.col("misses")
+    # sums of weights may come in any order: rounding keeps the choice the same
+    counts = stored(
+        counts.select("item", F.round("hits", 6).alias("hits"), both.alias("both"), F.round(lift, 9).alias("lift")), "item-counts"
+    )
+    precise = counts.where((F.col("hits") >= 0.8 * F.col("both") - 1e-9) & (F.col("lift") > 1))
+    voters = [r["item"] for r in precise.orderBy(F.desc("hits"), "item").limit(VOTERS).collect()]
+    if not voters:
+        voters = [r["item"] for r in counts.orderBy(F.desc("lift"), "item").limit(1).collect()]
+    gain = F.round(F.abs("lift") * F.sqrt("both"), 6)
+    features = [r["item"] for r in counts.orderBy(gain.desc(), "item").limit(FEATURES).collect()]
+    return tuple(np.unique(np.array(x, np.int64).view(np.uint64)) for x in (voters, [*voters, *features]))
+
+
+def _present(picked: DataFrame, known: np.ndarray) -> list:
+    """(doc_id, label, weight, found) of the sample: which of the items of ``known`` are in a text, by place."""
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") -> Classifier:
-    """A classifier for label = 1; without labels of both classes it gives the known share."""
-    picked = labelled.sample(docs, labels, label, PER_CLASS, text).withColumn("label", F.col("label").cast("int"))
-    rows = sorted(_item_rows(picked).collect(), key=lambda r: (r["doc_id"], r["label"], r["items"]))  # bounded
-    return fit_rows(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(known, x)) for x in _of_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "label", "weight")), pa.array(own, pa.list_(pa.int32()))],
+                names=["doc_id", "label", "weight", "found"],
+            )
 
+    rows = picked.mapInArrow(run, "doc_id bigint, label int, weight double, found array<int>")
+    return sorted(rows.collect(), key=lambda r: r["doc_id"])  # bounded, in rows and in places
 
-def fit_rows(rows: list) -> Classifier:
-    """The same from rows with label, weight and items (sorted 64-bit hashes)."""
-    target = np.array([r["label"] for r in rows], np.float64)
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") -> Classifier:
+    """A classifier for label = 1; without labels of both classes it gives the known share.
+
+    What comes to the driver of the sampled texts is which of the chosen items they have, however long they are.
+    """
+    picked = labelled.sample(docs, labels, label, PER_CLASS, text).withColumn("label", F.col("label").cast("int"))
+    picked = stored(picked, "labelled-sample")
+    totals = {r["label"]: (r["n"], r["w"]) for r in picked.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    (positive_n, positive), (_, negative) = (totals.get(c, (0, 0.0)) for c in (1, 0))
+    prior = float((positive + 0.01) / (positive + negative + 1))
+    known = Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    if len(totals) < 2 or positive_n < SUPPORT:
+        return known
+    voters, features = _chosen(item_counts(picked), positive, negative)
+    return fit_presence(_present(picked, features), features, voters, prior) if len(features) else known
+
+
+def fit_presence(rows: list, features: np.ndarray, voters: np.ndarray, prior: float) -> Classifier:
+    """The same from rows with label, weight and found (places in ``features``)."""
     weight = np.array([r["weight"] for r in rows], np.float64)
-    prior = float((weight @ target + 0.01) / (weight.sum() + 1))
-    if len(set(target.tolist())) < 2:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    hashes, doc, item = _presence(rows)
-    if not len(hashes):
-        return Classifier(hashes, np.zeros(0), float(np.log(prior / (1 - prior))))
-
-    def count(w: np.ndarray) -> np.ndarray:
-        return np.bincount(item, w[doc], minlength=len(hashes))
-
-    def dense(chosen: np.ndarray) -> np.ndarray:
-        column = np.full(len(hashes), -1)
-        column[chosen] = np.arange(len(chosen))
-        out = np.zeros((len(rows), len(chosen)), np.float32)
-        keep = column[item] >= 0
-        out[doc[keep], column[item[keep]]] = 1
-        return out
-
-    hits, misses = count(weight * target), count(weight * (1 - target))
-    lift = np.log((hits + 0.5) / (weight @ target + 1)) - np.log((misses + 0.5) / (weight @ (1 - target) + 1))
-    # voters: items that speak for the class nearly always, the widest first
-    precise = np.flatnonzero((hits >= 0.8 * (hits + misses)) & (lift > 1))
-    voters = precise[np.argsort(-hits[precise], kind="stable")][:VOTERS]
-    if not len(voters):
-        voters = np.argsort(-lift, kind="stable")[:1]
-    votes = dense(voters).astype(np.float64)
+    present = np.zeros((len(rows), len(features)), np.float32)
+    for i, r in enumerate(rows):
+        present[i, r["found"]] = 1
+    votes = present[:, np.searchsorted(features, voters)].astype(np.float64)
     # one voter more for a text in which no other fires; else a silent voter abstains
     votes = np.column_stack([votes, ~votes.any(axis=1)])
     soft = label_model(votes, weight, prior).posterior(votes)
-    # features: the items that say most about either class, the voters among them
-    gain = np.abs(lift) * np.sqrt(hits + misses)
-    gain[voters] = np.inf
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    weights, bias = _logistic(dense(chosen), soft, weight)
-    return Classifier(hashes[chosen], weights, bias)
+    weights, bias = _logistic(present, soft, weight)
+    return Classifier(features, weights, bias)
 
 
 def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:

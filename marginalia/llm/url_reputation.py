@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_names, lower_ascii, spread_join
+from .frames import free_names, lower_ascii, spread_join, stored
 
 #: Second-level suffixes under which names are registered; a parameter of ``judge``.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
@@ -88,7 +88,7 @@ def reputations(
         F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("k")
     )
     hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    hosts = stored(hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
     top = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()  # two numbers
     overall = ((top["k"] or 0) + 1.0) / ((top["n"] or 0) + 2.0)
 

@@ -3,12 +3,14 @@ import hashlib
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, conversations, mixing, token_files, url_reputation, weighted_sampling
-from marginalia.llm.queries import END_OF_DOCUMENT, RULES, vocabulary_path
+from marginalia.llm.oracles import ORACLES
+from marginalia.llm.queries import END_OF_DOCUMENT, QUERIES, RULES, vocabulary_path
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
@@ -19,46 +21,64 @@ def chat(conv, texts, start=0, gap=1):
 
 
 def brute_chats(rows):
-    """{conv_id: (text, equals)} of the conversations that are no prefix of a longer one."""
+    """{conv_id: (text, equals)} of the conversations that are no prefix of a longer one.
+
+    A repeated row is one turn; a prefix may end between turns of one number."""
     by = {}
     for c, t, r, x in rows:
-        by.setdefault(c, []).append((t, r, x))
+        by.setdefault(c, set()).add((t, r, x))
     lists = {}
     for c, turns in by.items():
         first = min((t for t, _, _ in turns if t is not None), default=0)
-        place = lambda v: (-1 if v[0] is None else v[0] - first, v[1] is not None, v[1] or "", v[2] is not None, v[2] or "")
-        ordered, seen = sorted(turns, key=place), []
-        for v in ordered:
-            seen.append((place(v), turns.count(v)))
-        lists[c] = list(dict.fromkeys(seen))
+        lists[c] = sorted((-1 if t is None else t - first, r is not None, r or "", x is not None, x or "") for t, r, x in turns)
     out = {}
     for c, own in lists.items():
         same = [k for k, other in lists.items() if other == own]
-        whole_places = lambda other: len(other) > len(own) and other[: len(own)] == own and other[len(own)][0][0] != own[-1][0][0]
-        if c == min((k for k in same if k is not None), default=None) and not any(map(whole_places, lists.values())):
-            said = "".join(f"<|im_start|>{p[2] if p[1] else 'unknown'}\n{p[4]}<|im_end|>\n" for p, _ in own)
+        low = min((k for k in same if k is not None), default=None)
+        if c == low and not any(len(other) > len(own) and other[: len(own)] == own for other in lists.values()):
+            said = "".join(f"<|im_start|>{p[2] if p[1] else 'unknown'}\n{p[4]}<|im_end|>\n" for p in own)
             out[c] = (said, len(same))
     return out
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_snapshots_collapse(spark, block):
+def odd_log():
+    """Snapshots, repeated rows, turns of one number, gaps, nulls in every column, a crowded null id."""
     rows = chat(1, "ab") + chat(2, "abcd") + chat(3, "abcd") + chat(4, "abX") + chat(5, "a") + chat(6, "b")
     rows += chat(7, "abcdefghij", start=5) + chat(8, "abc", gap=2) + chat(9, "abc", start=3, gap=2) + chat(10, [None, ""])
     rows += [(11, 0, None, "q"), (11, 0, None, "q"), (11, 1, "user", "r"), (12, 0, None, "q"), (13, None, "user", "z"), (13, 0, "user", "a")]
     rows += [(14, 0, "user", "t1"), (14, 0, "user", "t2"), (14, 1, "user", "u"), (15, 0, "user", "t1"), (None, 0, "user", "alone")]
     rows += chat(20, [f"turn {i}" for i in range(9)]) + chat(21, [f"turn {i}" for i in range(8)])
+    # a row logged twice in a snapshot, and a snapshot that ends between two turns of one number
+    rows += [*chat(30, ["hi", "yo"]), (30, 1, "assistant", "yo"), *chat(31, ["hi", "yo", "bye"])]
+    rows += [(32, 0, "user", "q"), (32, 1, "user", "a"), (32, 1, "user", "b"), (33, 0, "user", "q"), (33, 1, "user", "a")]
+    rows += [(None, i % 3, "user", f"nobody's {i}") for i in range(700)] + [(40, None, None, f"none {i}") for i in range(300)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_snapshots_collapse(spark, block):
+    rows = odd_log()
     got = conversations.format_chats(spark.createDataFrame(rows, TURNS).repartition(3), block).collect()
     texts, equal = {}, {}
     for r in sorted(got, key=lambda r: (str(r.conv_id), r.part)):
         texts[r.conv_id] = texts.get(r.conv_id, "") + r.text
         equal[r.conv_id] = r.n_equal
-    want = brute_chats([r for r in rows if r[0] is not None])
-    assert {c: (t, equal[c]) for c, t in texts.items() if c is not None} == want
-    assert texts[None] == "<|im_start|>user\nalone<|im_end|>\n"
+        assert r.n_turns <= block
+    assert {c: (t, equal[c]) for c, t in texts.items()} == brute_chats(rows)
+    assert 30 not in texts and 33 not in texts and 31 in texts and 32 in texts
     if block == 2:
         assert sum(1 for r in got if r.conv_id == 20) == 5
-    assert conversations.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_the_registered_sql_agrees_on_an_odd_log(spark, tmp_path):
+    log = spark.createDataFrame(odd_log(), TURNS)
+    log.withColumn("slice", F.lit("a clashing name")).withColumn("n", F.lit(0)).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = ["conv_id", "part", "n_turns", "n_equal", "text"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES['op1_chat_formatting']})").fetchall()
+    got = QUERIES["op1_chat_formatting"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) > 10
 
 
 # -- byte-level BPE ---------------------------------------------------------------------

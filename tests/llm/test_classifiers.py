@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -132,3 +134,77 @@ def test_word_hashes_see_words_and_not_their_place():
     assert seen[1] == seen[2] == [] and seen[3] == [cd] and seen[4] == [ab] and seen[6][1] == ab
     assert seen[5][0] == seen[5][1] and len({ab, cd, seen[5][0], seen[6][0]}) == 4
     assert sum(1 for _ in words.chunks(texts.slice(3, 2))) == 1
+
+
+def test_gradients_of_whole_texts_match_differences():
+    rng = np.random.default_rng(11)
+    net = byte_cnn.Network(
+        rng.normal(0, 0.3, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)), rng.normal(0, 0.1, byte_cnn.FILTERS), rng.normal(0, 0.5, 39), 0.0
+    )
+    # zero bytes are bytes like others; every chunk of a long text counts
+    texts = [(rng.integers(0, 256, n) * (rng.random(n) < 0.8)).astype(np.uint8) for n in (0, 4, 300, 2000)]
+    target, weight = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1, 1])
+    bias = np.zeros(1)
+
+    def loss():
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        net.bias = bias[0]
+        p = net.scores(np.concatenate(texts), offsets)
+        return -(weight * np.log(np.where(target == 1, p, 1 - p))).sum() / len(texts) + 0.5e-4 * (net.head**2).sum()
+
+    # the numbers of the pooling are single precision, so steps are not tiny
+    grads = byte_cnn.gradients(net, bias, texts, target, weight)
+    for param, grad in zip((net.tables, net.shift, net.head, bias), grads):
+        for at in map(tuple, np.argwhere(np.abs(grad) > 0.02)[:25]):
+            keep, step = param[at], 5e-4
+            param[at] = keep + step
+            up = loss()
+            param[at] = keep - step
+            down = loss()
+            param[at] = keep
+            assert abs((up - down) / (2 * step) - grad[at]) < 0.1 * abs(grad[at]) + 5e-3
+
+
+def plain_items(text):
+    """The distinct words and beginnings of words of a text, each hashed by itself."""
+    out = set()
+    for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        for kind, part in enumerate([word, *(word[:n] if len(word) > n else None for n in toxicity.STEMS)]):
+            if part is not None:
+                data = np.frombuffer(part, np.uint8)
+                h, _ = words.word_hashes(data, np.array([0, len(data)]), inside=toxicity._WORD)
+                out.add(int(words.mixed(h + np.uint64(2 * kind + 1))[0]))
+    return out
+
+
+def test_toxicity_matches_a_plain_loop(spark, labelled_docs, monkeypatch):
+    """What is chosen, counted and scored, document by document and word by word."""
+    monkeypatch.setattr(toxicity, "FEATURES", 60)
+    monkeypatch.setattr(toxicity, "VOTERS", 20)
+    docs, labels, truth = labelled_docs
+    own = {r.doc_id: plain_items(r.text) for r in docs.select("doc_id", "text").collect()}
+    picked = labelled.sample(docs, labels, "toxic", toxicity.PER_CLASS).withColumn("label", F.col("label").cast("int"))
+    known = picked.collect()
+    assert len(known) == sum(1 for i, _, _ in truth if zlib.crc32(str(i).encode()) % 5)
+    counts = {}
+    for r in known:
+        for item in own[r.doc_id]:
+            c = counts.setdefault(item, [0, 0, 0])
+            c[0 if r.label else 1] += r.weight
+            c[2] += r.label
+    got = {r.item % (1 << 64): [round(r.hits, 6), round(r.misses, 6), r.support] for r in toxicity.item_counts(picked).collect()}
+    assert got == {i: [round(x, 6) for x in c] for i, c in counts.items() if c[2] >= toxicity.SUPPORT}
+    model = toxicity.fit(docs, labels, "toxic")
+    weight = dict(zip(model.hashes.tolist(), model.weights))
+    assert 60 <= len(weight) <= 80
+    for r in toxicity.score(docs, model).collect():
+        z = model.bias + sum(weight.get(i, 0.0) for i in own[r.doc_id])
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_a_repeated_document_counts_once_in_the_sample(spark, docs_of):
+    docs = docs_of([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None), (3, None), (4, "d")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (3, 0, 1), (4, 1, 0)], LABELS)
+    rows = labelled.sample(docs, labels, "toxic", 10).collect()
+    want = {i: t for i, t in ((1, 1), (2, 0), (3, 1), (4, 0)) if zlib.crc32(str(i).encode()) % 5}
+    assert len(rows) == len(want) and {r.doc_id: r.label for r in rows} == want

@@ -17,7 +17,7 @@ from .test_chats_tokens_urls import reference_ids
 from .test_copies_and_joins import brute_copies
 
 SF_DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "labels", "conversations")
+TABLES = ("documents", "pages", "labels", "conversations", "embeddings")
 
 
 def texts(frame):
