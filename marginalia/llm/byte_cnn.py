@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 from . import labelled, words
 from .frames import free_names, stored
 
-WIDTH, FILTERS = 5, 12
+WIDTH, FILTERS = 5, 16
 #: Chunks are two halves long and begin at every half.
 HALF = 256
-PER_CLASS, EPOCHS = 600, 25
+PER_CLASS, EPOCHS = 1500, 25
 #: Bytes of the sample's texts; documents beyond it are left out of the sample, whole.
 SAMPLE_BYTES = 64 << 20
 #: Scales, in bytes, of the inputs that tell how short a text is.

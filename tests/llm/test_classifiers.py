@@ -109,7 +109,7 @@ def test_a_voter_that_repeats_another_counts_once():
 
 def test_pooling_matches_a_plain_loop():
     rng = np.random.default_rng(3)
-    net = byte_cnn.Network(rng.normal(0, 1, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)).astype(np.float32), rng.normal(0, 1, byte_cnn.FILTERS).astype(np.float32), np.zeros(39, np.float32), 0.0)
+    net = byte_cnn.Network(rng.normal(0, 1, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)).astype(np.float32), rng.normal(0, 1, byte_cnn.FILTERS).astype(np.float32), np.zeros(3 * byte_cnn.FILTERS + 3, np.float32), 0.0)
     texts = [rng.integers(1, 256, n).astype(np.uint8) for n in (1, 3, 255, 256, 257, 511, 512, 513, 5000)]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = net.pooled(np.concatenate(texts), offsets)
@@ -121,7 +121,7 @@ def test_pooling_matches_a_plain_loop():
         starts = range(0, max(n - byte_cnn.HALF, 1), byte_cnn.HALF)
         chunks = np.array([np.maximum(plain[s : s + 2 * byte_cnn.HALF].max(axis=0) + net.shift, 0) for s in starts])
         want = np.concatenate([chunks.mean(axis=0), chunks.min(axis=0), chunks.max(axis=0)])
-        assert np.abs(row[:36] - want).max() < 1e-3
+        assert np.abs(row[: 3 * byte_cnn.FILTERS] - want).max() < 1e-3
 
 
 def test_word_hashes_see_words_and_not_their_place():
@@ -139,7 +139,7 @@ def test_word_hashes_see_words_and_not_their_place():
 def test_gradients_of_whole_texts_match_differences():
     rng = np.random.default_rng(11)
     net = byte_cnn.Network(
-        rng.normal(0, 0.3, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)), rng.normal(0, 0.1, byte_cnn.FILTERS), rng.normal(0, 0.5, 39), 0.0
+        rng.normal(0, 0.3, (byte_cnn.WIDTH, 256, byte_cnn.FILTERS)), rng.normal(0, 0.1, byte_cnn.FILTERS), rng.normal(0, 0.5, 3 * byte_cnn.FILTERS + 3), 0.0
     )
     # zero bytes are bytes like others; every chunk of a long text counts
     texts = [(rng.integers(0, 256, n) * (rng.random(n) < 0.8)).astype(np.uint8) for n in (0, 4, 300, 2000)]
