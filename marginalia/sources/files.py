@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.langs import EXTENSIONS
 from .ignore import accepted_files, drop_empty, drop_ignored, ignore_patterns
+from .shared import file_system
 
 SUGGESTIONS_SCHEMA = "path string, idx bigint, line bigint, comment string"
 RESPONSES_SCHEMA = "path string, provider string, body string"
@@ -27,21 +29,57 @@ def _any_case(ext: str) -> str:
 ACCEPTED_GLOB = "*{" + ",".join(_any_case(ext) for ext in EXTENSIONS) + "}"
 
 
-def _as_text(files: DataFrame) -> DataFrame:
-    """Bytes to text; broken UTF-8 becomes U+FFFD instead of an error."""
-    return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
-
-
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """files(path, ext, content): all accepted files below ``root``, as whole texts."""
-    raw = (
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, ext, length): all accepted files below ``root``. No file is opened."""
+    listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", ACCEPTED_GLOB)
         .load(root)
-        .select("path", "content")
+        .select("path", "length")
     )
-    return _as_text(accepted_files(raw)).select("path", "ext", "content")
+    return accepted_files(listed).select("path", "ext", "length")
+
+
+#: Bytes of contents that a task holds before it passes them on.
+_READ_BYTES = 4 << 20
+
+
+def with_contents(listed: DataFrame) -> DataFrame:
+    """files(path, ext, content) of listed files: each task reads the files of its own rows, whole.
+
+    The listing deals files over its tasks by their sizes, so nothing has to move. Broken UTF-8
+    becomes U+FFFD instead of an error. A file that cannot be read fails the job, as a scan does.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(rows: list[tuple]) -> pa.RecordBatch:
+            path, ext, content = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(path, pa.string()), pa.array(ext, pa.string()), pa.array(content, pa.binary())],
+                names=["path", "ext", "content"],
+            )
+
+        for batch in batches:
+            rows, held = [], 0
+            for path, ext in zip(batch.column("path").to_pylist(), batch.column("ext").to_pylist()):
+                system, name = file_system(path)
+                with system.open_input_stream(name) as source:
+                    rows.append((path, ext, source.read()))
+                held += len(rows[-1][2])
+                if held > _READ_BYTES:
+                    yield some(rows)
+                    rows, held = [], 0
+            if rows:
+                yield some(rows)
+
+    files = listed.select("path", "ext").mapInArrow(read, "path string, ext string, content binary")
+    return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+
+
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """files(path, ext, content): all accepted files below ``root``, as whole texts."""
+    return with_contents(list_files(spark, root))
 
 
 def scan_source_tree(
@@ -49,11 +87,12 @@ def scan_source_tree(
 ) -> DataFrame:
     """What a run over ``root`` looks at: accepted, not ignored, not empty files.
 
-    ``ignore_file`` is a text file with one pattern per line, added to the defaults.
+    ``ignore_file`` is a text file with one pattern per line, added to the defaults. Paths are
+    listed and filtered first; only what is left is opened, and no content is shuffled.
     """
     user = None if ignore_file is None else spark.read.text(ignore_file)
-    files = scan_files(spark, root)
-    return drop_empty(drop_ignored(files, ignore_patterns(spark, user), qualified(spark, root)))
+    wanted = drop_ignored(list_files(spark, root), ignore_patterns(spark, user), qualified(spark, root))
+    return drop_empty(with_contents(wanted))
 
 
 def qualified(spark: SparkSession, path: str) -> str:

@@ -1,7 +1,9 @@
-"""Where intermediate tables go."""
+"""Where intermediate tables go, and how tasks open files that Spark has listed."""
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -22,3 +24,29 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="marginalia-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+# Names by which Spark knows stores that Arrow opens under another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+@functools.lru_cache(64)
+def _store(scheme: str, authority: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{authority}/")
+
+
+def file_system(uri: str):
+    """(file system, path) of a file by the name that Spark gives it: a URI whose path is not encoded, or an
+    absolute path. A store is opened once per worker process."""
+    from pyarrow import fs
+
+    found = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", uri, re.S)
+    if found is None or found[1].lower() == "file":
+        path = uri if found is None else found[3]
+        if not path.startswith("/"):
+            raise ValueError(f"no absolute path: {uri!r}")
+        return fs.LocalFileSystem(), path
+    system, base = _store(found[1].lower(), found[2] or "")
+    return system, base.rstrip("/") + found[3]

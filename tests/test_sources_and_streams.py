@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,34 @@ def test_very_many_revisions_of_one_path(spark, tmp_path):
     got = {r.kind: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("kind").agg(F.count("*").alias("n")).collect()}
     # of ten in a row: new after a deletion, four comments, other code, three comments, a deletion
     assert got == {"new": n // 10, "comment_only": 7 * n // 10, "code": n // 10, "deleted": n // 10}
+
+
+def test_only_what_is_looked_at_is_opened(spark, tree):
+    """Paths are filtered before any file is opened, and no content is shuffled."""
+    (tree / "a" / "dist").mkdir()
+    (tree / "a" / "dist" / "gone.js").symlink_to(tree / "a" / "x.js")
+    (tree / "a" / "with blank #%20.js").write_text("kept")
+    found = io.scan_source_tree(spark, str(tree / "a"), str(tree / "ignore.txt"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan[plan.index("ReadSchema") :].split("\n")[0] and "Exchange hash" not in plan
+    for path in (tree / "a").rglob("*.*"):
+        os.utime(path, (0, path.stat().st_mtime))  # reading sets the time of access
+    names = {r.path.rsplit("/", 1)[1]: r.content for r in found.collect()}
+    assert names == {"x.js": "x // c\n", "B.PY": "# c\nok\ufffd\n", "with blank #%20.js": "kept"}
+    opened = {path.name for path in (tree / "a").rglob("*.*") if path.stat().st_atime > 0}
+    assert opened <= {*names, "blank.go", "gone.js"}  # the last one is a link to x.js
+
+
+@pytest.mark.parametrize("max_in_row", [10_000, 2])
+def test_ignore_rule_in_the_row_and_by_joins(spark, files_of, max_in_row):
+    paths = ["r/dist/a.js", "r/src/a.min.js", "r/a.js", "r/x/a.js", "/abs/out/a.js", "q/y\\/a.js", "é*/a.js", "", None, "dist"]
+    files = files_of([(p, ".js", "x") for p in paths])
+    for lines, kept in [
+        (["dist/", "out\\/", "*.min.js", "x"], ["r/a.js", "q/y\\/a.js", "é*/a.js", "", None]),
+        (["y\\", "y\\/", "*", "zz"], [None]),
+        (["/", "\\/", "é*", "dist"], ["r/src/a.min.js", "r/a.js", "r/x/a.js", "/abs/out/a.js", "q/y\\/a.js", "", None]),
+        ([], paths),
+    ]:
+        patterns = spark.createDataFrame([(x,) for x in lines], "pattern string")
+        got = [r.path for r in ignore.drop_ignored(files, patterns, max_in_row=max_in_row).collect()]
+        assert sorted(got, key=str) == sorted(kept, key=str), lines
