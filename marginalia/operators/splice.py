@@ -175,16 +175,22 @@ def merged_array(content: Column, marked: Column, blocks: Column) -> Column:
     )
 
 
-def _with_blocks(files: DataFrame, suggestions: DataFrame, tag: str) -> DataFrame:
+def _with_blocks(files: DataFrame, suggestions: DataFrame, tag: str, how: str = "left") -> DataFrame:
     # Lines past the end are dropped before anything is gathered (however many suggestions name
     # them) and, as stripping may shorten a file, again in merged_array.
     inside = line_requests(files, suggestions, 1)
-    return files.join(insertion_blocks(inside, tag), "path", "left")
+    return files.join(insertion_blocks(inside, tag), "path", how)
 
 
-def splice_merged(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
-    """Files with ``merged`` ARRAY<STRUCT<orig_line, text>>, the lines of the new text."""
-    lexed = with_marked(_with_blocks(files, suggestions, tag))
+def splice_merged(
+    files: DataFrame, suggestions: DataFrame, tag: str = TAG, only_asked: bool = False
+) -> DataFrame:
+    """Files with ``merged`` ARRAY<STRUCT<orig_line, text>>, the lines of the new text.
+
+    With ``only_asked``, only those that a suggestion names.
+    """
+    blocks = _with_blocks(files, suggestions, tag, "inner" if only_asked else "left")
+    lexed = with_marked(blocks)
     merged = merged_array(F.col("content"), F.col(MARKED), F.col("blocks"))
     return lexed.withColumn("merged", merged).drop(MARKED, "blocks")
 

@@ -114,7 +114,8 @@ def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
 
 def payload_audit(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
     """(path, out_line, text): inserted lines that are not comment in the file's language."""
-    merged = settled(splice_merged(files, suggestions, tag), "merged")
+    # a file that no suggestion names has no inserted line
+    merged = settled(splice_merged(files, suggestions, tag, only_asked=True), "merged")
     merged = merged.withColumn("__new", rebuilt(F.col("merged"), F.col("content")))
     lexed = with_marked(merged.select("path", "ext", "merged", "__new"), "__new")
     lines = F.arrays_zip(

@@ -439,6 +439,58 @@ def annotate_offline(spark, d):
     return annotate.annotate_files(ignore.drop_empty(files), annotate.offline_annotator)
 
 
+def _part_number(prompt: str) -> int:
+    """k of the file part_<k> that a prompt is about."""
+    return int(prompt.split("/part_", 1)[-1].split("part_", 1)[-1].split(".", 1)[0])
+
+
+@query
+def annotate_resumed(spark, d):
+    """Two runs over one ledger: the service fails for every third file in the first, and in the second for all
+    that it has answered before."""
+    files = ignore.drop_empty(corpus(spark, d, "src_part").select("path", "ext", "content"))
+    ledger, retry = shared_folder(spark, "ledger"), annotate.Retry(2, 1)
+
+    def failing(wrong):
+        def annotator(texts):
+            if any(wrong(_part_number(p)) for p in texts):
+                raise annotate.Refused(503, "unavailable")
+            return annotate.offline_annotator(texts)
+
+        return annotator
+
+    first = annotate.annotate_files(files, failing(lambda k: k % 3 == 0), retry=retry, ledger=ledger)
+    if first.where("err = 'request_failed'").isEmpty():
+        raise RuntimeError("no request failed")
+    return annotate.annotate_files(files, failing(lambda k: k % 3 != 0), retry=retry, ledger=ledger)
+
+
+@query
+def request_log(spark, d):
+    """What becomes of requests to a service that is unavailable, overloaded or refuses, by the number of the file."""
+    files = ignore.drop_empty(corpus(spark, d, "src_part").select("path", "ext", "content"))
+
+    def make():
+        seen: dict[str, int] = {}  # in each worker: how often a prompt has been asked here
+
+        def annotator(texts):
+            (text,) = texts if len(texts) == 1 else (None,)
+            if text is None:
+                raise annotate.Refused(400, "one at a time")
+            n = seen[text] = seen.get(text, 0) + 1
+            k = _part_number(text)
+            if k % 5 == 0:
+                raise annotate.Refused(400, "bad request")
+            if n <= k % 4:  # as often as that it cannot answer
+                raise annotate.Refused(429 if k % 2 else 503, "later")
+            return annotate.offline_annotator(texts)
+
+        return annotator
+
+    asked = annotate.ask(prompts.build_prompts(files), make(), retry=annotate.Retry(first_delay_ms=1))
+    return responses.request_outcomes(annotate.attempt_log(asked)).withColumnRenamed("request_id", "path")
+
+
 @query
 def scanned_tree(spark, d):
     """A tree of source files, written and scanned."""

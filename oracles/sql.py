@@ -348,9 +348,11 @@ SELECT path, out_line, orig_line, previous FROM p WHERE orig_line <= previous"""
 SELECT o.path FROM out AS o JOIN b_out AS b ON b.path = o.path WHERE o.content <> b.content""",
     "lost_code": f"""WITH {corpus('src_part')}, {lexed()}, {stripped('prune')}
 SELECT path, line_no, text FROM st WHERE kept IS NULL AND (trim(code) <> '' OR sis)""",
-    "payload_audit": f"""WITH {_splice_parts()}, {lexed()}, {_merged()}, {lexed('b_', 'spliced')}
+    # The lines are used several times over; only files into which something is inserted have to be lexed again.
+    "payload_audit": f"""WITH {_splice_parts()}, {lexed()}, {_merged()}, changed AS (
+  SELECT * FROM spliced WHERE path IN (SELECT path FROM ins)), {lexed('b_', 'changed')}
 SELECT m.path, m.out_line, m.text FROM merged AS m JOIN b_ls AS b ON b.path = m.path AND b.line_no = m.out_line
-WHERE m.orig_line IS NULL AND NOT b.pure""",
+WHERE m.orig_line IS NULL AND NOT b.pure""".replace("\nls AS (", "\nls AS MATERIALIZED (").replace("\nmerged AS (", "\nmerged AS MATERIALIZED (").replace("\nins AS (", "\nins AS MATERIALIZED ("),
     "quarantine": f"""WITH {_splice_parts()}, {lexed()}, {_merged()}, {lexed('b_', 'spliced')},
 bad AS (SELECT m.path FROM merged AS m JOIN b_ls AS b ON b.path = m.path AND b.line_no = m.out_line WHERE m.orig_line IS NULL AND NOT b.pure)
 SELECT path, path IN (SELECT path FROM bad) AS bad FROM files""",
@@ -387,6 +389,16 @@ _ANNOTATED = f"""SELECT path, ext, {_TOK} || ' ' || CAST(len(string_split(conten
 FROM out WHERE trim(replace(content, chr(10), '')) <> ''"""
 ORACLES["annotate_offline"] = f"WITH {corpus('src_part')}, {lexed()}, {stripped('clean')}, {rebuilt()} {_ANNOTATED}"
 
+ORACLES["annotate_resumed"] = ORACLES["annotate_offline"]
+ORACLES["request_log"] = f"""WITH {corpus('src_part')}, r AS (
+  SELECT path, k, CASE WHEN k % 5 = 0 THEN 1 ELSE least(k % 4 + 1, 3) END AS used, k % 5 = 0 AS bad, k % 5 <> 0 AND k % 4 = 3 AS failed
+  FROM files WHERE trim(replace(content, chr(10), '')) <> '')
+SELECT path, CAST(used AS BIGINT) AS attempts_used, CASE WHEN bad THEN 'returned' WHEN failed THEN 'failed' ELSE 'done' END AS outcome,
+  CAST(CASE WHEN bad THEN 400 WHEN NOT failed THEN 200 WHEN k % 2 = 1 THEN 429 ELSE 503 END AS BIGINT) AS status,
+  CASE WHEN bad THEN 'bad request' WHEN failed THEN 'later' END AS error,
+  CAST(CASE used WHEN 1 THEN 0 WHEN 2 THEN 1000 ELSE 3000 END AS BIGINT) AS waited_ms, CAST(0 AS BIGINT) AS n_extra
+FROM r"""
+
 # The sink holds every file: annotated ones (every third that is not empty), and the others as they were.
 ORACLES["written_version"] = f"""WITH {corpus("src_part", "all_files")}, files AS (SELECT * FROM all_files WHERE k % 3 = 0),
 {lexed()}, {stripped('clean')}, {rebuilt()}, new AS ({_ANNOTATED})

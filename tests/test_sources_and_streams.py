@@ -137,3 +137,86 @@ def test_ignore_rule_in_the_row_and_by_joins(spark, files_of, max_in_row):
         patterns = spark.createDataFrame([(x,) for x in lines], "pattern string")
         got = [r.path for r in ignore.drop_ignored(files, patterns, max_in_row=max_in_row).collect()]
         assert sorted(got, key=str) == sorted(kept, key=str), lines
+
+
+def test_requests_are_tried_again_and_fail_by_themselves(spark):
+    calls = spark.sparkContext.accumulator(0)
+    seen = {}
+
+    def annotator(texts):
+        calls.add(len(texts))
+        if len(texts) > 1:
+            raise ValueError("too many")  # any error of a batch: each prompt is asked by itself
+        (text,) = texts
+        seen[text] = seen.get(text, 0) + 1
+        if text == "refused":
+            raise annotate.Refused(400, "no")
+        if text.startswith("busy") and seen[text] < int(text[-1]):
+            raise annotate.Refused(429)
+        if text == "silent":
+            return [None]
+        if text == "broken":
+            raise OSError("connection lost")
+        return [f"answer to {text}"]
+
+    texts = ["fine", "refused", "busy2", "busy3", "busy4", "silent", "broken", None]
+    rows = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "path string, prompt string").coalesce(1)
+    got = {r.path: r for r in annotate.ask(rows, annotator, retry=annotate.Retry(3, 1)).collect()}
+    told = {t: (got[f"p{i}"].body, [a.status for a in got[f"p{i}"].attempts], got[f"p{i}"].error) for i, t in enumerate(texts)}
+    assert told["fine"] == ("answer to fine", [200], None) and told[None][0] == "answer to "
+    assert told["refused"] == (None, [400], "no")
+    assert told["busy2"][:2] == ("answer to busy2", [429, 200]) and told["busy3"][:2] == ("answer to busy3", [429, 429, 200])
+    assert told["busy4"] == (None, [429] * 3, "Refused")
+    assert told["silent"] == (None, [None] * 3, "no answer") and told["broken"] == (None, [None] * 3, "connection lost")
+
+
+def test_a_second_run_asks_only_what_has_no_answer(spark, files_of, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def failing(names):
+        def annotator(texts):
+            if any(f"source file {name}." in t for t in texts for name in names):
+                raise annotate.Refused(500, "down")
+            asked.add(len(texts))
+            return annotate.offline_annotator(texts)
+
+        return annotator
+
+    cases = [(f"d/f{i}.js", ".js", f"a({i});") for i in range(30)] + [("other/f1.js", ".js", "a(1);"), ("third/f1.js", ".js", "a(1);")]
+    files, retry, ledger = files_of(cases).repartition(4), annotate.Retry(2, 1), str(tmp_path / "ledger")
+    down = [f"f{i}.js" for i in range(0, 30, 4)]
+    plan = annotate.annotate_files(files, failing(down), retry=retry, ledger=ledger)
+    first = {r.path: r for r in plan.collect()}
+    assert {p for p, r in first.items() if r.err == "request_failed"} == {f"d/{n}" for n in down}
+    assert asked.value == 22  # equal prompts once, and an action on the result asks nothing
+    plan.count()
+    second = annotate.annotate_files(files, failing([]), retry=retry, ledger=ledger)
+    assert asked.value == 30 and second.where("err IS NOT NULL").count() == 0
+    plain = annotate.annotate_files(files, annotate.offline_annotator)
+    assert sorted(map(tuple, second.collect())) == sorted(map(tuple, plain.collect()))
+    third = annotate.annotate_files(files, failing([n for _, n in []] + ["f1.js"]), retry=retry, ledger=ledger)
+    assert third.where("err IS NOT NULL").count() == 0 and asked.value == 30
+
+
+def test_answers_outlive_a_run_that_breaks_off(spark, tmp_path, monkeypatch):
+    """Waves of prompts are put down one by one; the next run asks for the rest."""
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(50)], "path string, prompt string")
+    ledger, real, waves = str(tmp_path / "ledger"), annotate.ask, []
+
+    def breaking(*args):
+        if len(waves) == 2:
+            raise RuntimeError("driver lost")
+        waves.append(1)
+        return real(*args)
+
+    upper = lambda texts: [t.upper() for t in texts]
+    monkeypatch.setattr(annotate, "ask", breaking)
+    with pytest.raises(RuntimeError):
+        annotate.ask_once(prompts, upper, ledger, wave=7)
+    monkeypatch.setattr(annotate, "ask", real)
+    kept = annotate.ledger_answers(spark, ledger).count()
+    assert 0 < kept < 50
+    out = annotate.ask_once(prompts, upper, ledger, wave=7)
+    assert {r.path: r.body for r in out.collect()} == {str(i): f"P{i}" for i in range(50)}
+    assert annotate.read_ledger(spark, ledger).count() == 50
+    assert annotate.ask_once(prompts.limit(0), upper, str(tmp_path / "none")).count() == 0
