@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -531,35 +530,49 @@ def _drained(spark, name, stream, mode="append"):
     return spark.read.parquet(out)
 
 
-@contextmanager
-def _rocksdb(spark):
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, revisions.STATE_STORE)
-    try:
-        yield
-    finally:
-        spark.conf.set(provider, before)
+def _told(spark, name, *waves, **how):
+    """Kinds of revisions that arrive in waves, each a table."""
+    folder, out, work = (shared_folder(spark, f"{name}-{n}") for n in ("in", "out", "work"))
+    for wave in waves:
+        wave.write.mode("append").parquet(folder)
+        revisions.drain_change_kinds(revisions.revision_stream(spark, folder), out, work, **how)
+    return revisions.read_change_kinds(spark, out)
 
 
 @query
 def stream_change_kind(spark, d):
-    with _rocksdb(spark):
-        source = revisions.revision_stream(spark, _revision_files(spark, d))
-        return _drained(spark, "kinds", revisions.change_kind_stream(source))
+    """The history in two waves, cut in the middle of the revisions of some paths."""
+    arriving = corpus(spark, d, "rev_part")
+    return _told(spark, "kinds", arriving.where("commit_id <= 76"), arriving.where("commit_id > 76"))
 
 
 @query
 def stream_late(spark, d):
     """Each path's first revision arrives when the others have been seen."""
-    folder, out, checkpoint = (shared_folder(spark, f"late-{n}") for n in ("in", "out", "checkpoint"))
-    for late in (False, True):
-        arriving = corpus(spark, d, "rev_part").where((F.col("commit_id") % 3 == 1) == late)
-        arriving.write.mode("append").parquet(folder)
-        with _rocksdb(spark):
-            stream = revisions.change_kind_stream(revisions.revision_stream(spark, folder))
-            revisions.drain(stream, out, checkpoint)
-    return spark.read.parquet(out)
+    late = F.col("commit_id") % 3 == 1
+    arriving = corpus(spark, d, "rev_part")
+    return _told(spark, "late", arriving.where(~late), arriving.where(late))
+
+
+def _idle(spark, d):
+    """Three waves: two revisions of each path; a third, for every other path 60 days later; then first
+    revisions of that time again, for paths that went on and for others."""
+    rows = corpus(spark, d, "rev_part")
+    n, k = F.col("commit_id") % 3, F.length("path") % 2
+    later = F.when((n == 0) & (k == 0), F.col("commit_ts") + F.expr("interval 60 days")).otherwise(F.col("commit_ts"))
+    again = rows.where(n == 1).withColumn("commit_id", F.col("commit_id") + 1000)
+    return rows.where(n != 0), rows.where(n == 0).withColumn("commit_ts", later), again
+
+
+@query
+def stream_idle(spark, d):
+    """A path that nobody has touched for 30 days is new when it comes back."""
+    return _told(spark, "idle", *_idle(spark, d), ttl="30 days", delay="10 days")
+
+
+@query
+def stream_late_counts(spark, d):
+    return revisions.late_counts(_told(spark, "counts", *_idle(spark, d), ttl="30 days", delay="10 days"))
 
 
 @query

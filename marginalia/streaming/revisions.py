@@ -1,12 +1,14 @@
 """The commit loop as a stream of revisions.
 
 Stripping and density are row-local, so the batch operators run on streams as they are.
-Telling comment-only changes apart takes state: the digest of the last code per path.
+Telling comment-only changes apart takes state: the digest of the last code per path. A micro-batch is compared with
+itself as a table; only the last revision of each path meets the state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import TAG
-from ..operators.changes import code_digests
+from ..operators.changes import code_digests, with_previous
 from ..operators.metrics import line_counts, ratio
 from ..operators.strip import clean, prune
 from ..sources.files import REVISIONS_SCHEMA
+from ..sources.shared import exists
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,8 +29,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def revision_stream(
     spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = 1000
 ) -> DataFrame:
-    """revisions as they arrive as files in ``path``, at most ``max_files`` per micro-batch
-    (which bounds the revisions of one path that a stateful task holds at a time)."""
+    """revisions as they arrive as files in ``path``, at most ``max_files`` per micro-batch."""
     reader = spark.readStream.format(fmt).schema(REVISIONS_SCHEMA)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -60,67 +62,163 @@ def strip_stream(stream: DataFrame, mode: str = "strict", tag: str = TAG) -> Dat
     return prune(stream, policy="strict" if mode == "strict" else "compat")
 
 
-_STATE = "digest string, is_empty boolean, commit_ts timestamp, commit_id bigint"
-_KINDS = (
-    "path string, ext string, commit_id bigint, commit_ts timestamp, message string, kind string"
-)
+_LAST = "commit_ts timestamp, commit_id bigint, digest string, is_empty boolean"
+_EDGES = f"batch bigint, path string, {_LAST}"
+_BEFORE = "batch bigint, path string, seen struct<commit_ts:timestamp,commit_id:bigint,digest:string,is_empty:boolean>"
 
 
-class ChangeKinds(StatefulProcessor):
-    """Compares each revision of a path with the one before, over micro-batches.
+class LastSeen(StatefulProcessor):
+    """Remembers the newest revision of each path, and puts out the one that was the newest before.
 
-    A revision older than the newest one seen for its path is reported as late and
-    leaves the state alone.
+    A path comes with one row of a micro-batch, its last revision there. With ``ttl_ms`` a path
+    leaves the state when the watermark has passed its newest revision by that much.
     """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _STATE, self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", _LAST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # A micro-batch may hold revisions of a path in any order. Its rows are digests, so even
-        # very many of one path are small; they are compared as columns.
-        batch = pd.concat(list(rows)).sort_values(["commit_ts", "commit_id"], ignore_index=True)
-        before = self.last.get() if self.last.exists() else (None, False, None, None)
-        kind = pd.Series("code", index=batch.index)
-        late = pd.Series(False, index=batch.index)
-        if before[2] is not None:
-            at = pd.Timestamp(before[2])
-            late = (batch.commit_ts < at) | ((batch.commit_ts == at) & (batch.commit_id < before[3]))
-        kind[late] = "late"
-        seen = batch[~late]
-        if len(seen):
-            digest = seen.digest.where(seen.digest.notna(), None)
-            empty = seen.is_empty.fillna(False).astype(bool)
-            earlier = pd.concat([pd.Series([before[0]], dtype=object), digest[:-1]]).set_axis(seen.index)
-            was_empty = pd.concat([pd.Series([bool(before[1])]), empty[:-1]]).set_axis(seen.index)
-            kind[seen.index[(digest == earlier) & ~was_empty]] = "comment_only"
-            kind[seen.index[earlier.isna()]] = "new"
-            kind[seen.index[digest.isna()]] = "deleted"
-            end = seen.iloc[-1]
-            at = pd.Timestamp(end.commit_ts).to_pydatetime()
-            self.last.update((digest.iloc[-1], bool(empty.iloc[-1]), at, int(end.commit_id)))
-        yield batch[["path", "ext", "commit_id", "commit_ts", "message"]].assign(kind=kind)
+        for some in rows:
+            for r in some.sort_values("batch").itertuples(index=False):
+                before = self.last.get() if self.last.exists() else None
+                at = pd.Timestamp(r.commit_ts).to_pydatetime()
+                now = (at, int(r.commit_id), None if pd.isna(r.digest) else r.digest, bool(r.is_empty))
+                if before is None or (pd.Timestamp(before[0]), before[1]) <= (pd.Timestamp(at), now[1]):
+                    self.last.update(now)
+                    if self.ttl_ms is not None:
+                        for timer in list(self.handle.listTimers()):
+                            self.handle.deleteTimer(timer)
+                        self.handle.registerTimer(int(pd.Timestamp(at, tz="UTC").timestamp() * 1000) + self.ttl_ms)
+                seen = None if before is None else {"commit_ts": before[0], "commit_id": before[1], "digest": before[2], "is_empty": before[3]}
+                yield pd.DataFrame({"batch": [r.batch], "path": [key[0]], "seen": [seen]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def change_kind_stream(revisions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(path, ext, commit_id, commit_ts, message, kind) for a stream of revisions.
-
-    ``kind`` is new, code, comment_only, deleted or late. The text is reduced to a digest before
-    the shuffle, so neither the shuffle nor the state holds any content. State of paths
-    idle for ``ttl_ms`` is dropped. Needs the RocksDB state store (``STATE_STORE``).
-    """
-    return code_digests(revisions).groupBy("path").transformWithStateInPandas(
-        statefulProcessor=ChangeKinds(ttl_ms),
-        outputStructType=_KINDS,
+def _newest(edges: DataFrame, ttl_ms: int | None, delay: str) -> DataFrame:
+    """(batch, path, seen) for a stream of the last revisions of micro-batches."""
+    if ttl_ms is not None:
+        edges = edges.withWatermark("commit_ts", delay)
+    return edges.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=LastSeen(ttl_ms),
+        outputStructType=_BEFORE,
         outputMode="append",
-        timeMode="processingTime" if ttl_ms else "none",
+        timeMode="none" if ttl_ms is None else "eventTime",
+    )
+
+
+def _in_order(batch: DataFrame) -> DataFrame:
+    """Digests of a micro-batch, each with the revision of its path before it there. A revision that is delivered
+    twice in a micro-batch counts once. Lags run in buckets of time, so a path that holds most of the batch is spread."""
+    here = code_digests(batch)
+    once = here.dropDuplicates(["path", "commit_ts", "commit_id", "digest"])
+    return with_previous(once, ["commit_ts", "commit_id", "digest", "is_empty"], bucket_seconds=3600)
+
+
+def _kinds(rows: DataFrame, before: DataFrame, ttl_ms: int | None) -> DataFrame:
+    """The rows of a micro-batch with their kinds; ``before`` has one row per path (none: all of it was too late)."""
+    salts = 16
+    salt = F.pmod(F.xxhash64("commit_ts", "commit_id"), F.lit(salts)).cast("int")
+    told = before.select("path", "seen", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    known = rows.withColumn("salt", salt).join(told.withColumn("told", F.lit(True)), ["path", "salt"], "left")
+
+    place = lambda s: F.struct(s["commit_ts"], s["commit_id"])
+    own = F.struct("commit_ts", "commit_id")
+    seen, told = F.col("seen"), F.col("told").isNotNull()
+    late = ~told | (seen.isNotNull() & (own < place(seen)))
+    prev = F.struct(*[F.col(f"prev_{c}").alias(c) for c in ("commit_ts", "commit_id", "digest", "is_empty")])
+    # the one before is that of the batch, unless that is late itself; then it is the newest seen before
+    in_batch = prev["commit_ts"].isNotNull() & (seen.isNull() | (place(prev) >= place(seen)))
+    was = F.when(in_batch, prev).otherwise(seen)
+    if ttl_ms is not None:
+        age = F.unix_millis("commit_ts") - F.unix_millis(was["commit_ts"])
+        was = F.when(age <= ttl_ms, was)
+    kind = (
+        F.when(late, "late")
+        .when(F.col("digest").isNull(), "deleted")
+        .when(F.col("was.digest").isNull(), "new")
+        .when((F.col("digest") == F.col("was.digest")) & ~F.col("was.is_empty"), "comment_only")
+        .otherwise("code")
     )
+    judged = known.withColumn("was", was)
+    return judged.select("path", "ext", "commit_id", "commit_ts", "message", kind.alias("kind"))
+
+
+def drain_change_kinds(
+    stream: DataFrame, out: str, work: str, ttl: str | None = None, delay: str = "0 seconds"
+) -> StreamingQuery:
+    """Tells the kinds of all revisions that are there, and writes them to ``out`` as parquet, a folder per micro-batch.
+
+    (path, ext, commit_id, commit_ts, message, kind): ``kind`` is new, code, comment_only, deleted, or late for a
+    revision older than the newest one that an earlier micro-batch had of its path. A micro-batch is compared
+    with itself first, spread over tasks; only the last revision of each path meets the state, and what it finds
+    there goes back to the batch's rows in a salted join. The state (RocksDB, see ``STATE_STORE``) holds a digest
+    and a place per path.
+
+    With ``ttl`` (such as ``30 days``) a path whose newest revision is older than that by the time of commits is new again; it
+    leaves the state when the watermark, ``delay`` behind the newest revision of all, has passed. Revisions
+    of paths that are behind the watermark altogether are late; ``late_counts`` counts them.
+
+    ``work`` holds the checkpoints and the rows between the two steps. A micro-batch that runs again finds what it
+    has put down already, so each revision is told once.
+    """
+    spark = stream.sparkSession
+    ttl_ms = None if ttl is None else spark.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + interval '{ttl}') AS ms").first()["ms"]
+    edges, before = f"{work}/edges", f"{work}/before"
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows_at, edges_at = f"{work}/rows/batch={number}", f"{edges}/batch-{number}"
+        if not exists(spark, f"{rows_at}/_SUCCESS"):
+            _in_order(batch).write.mode("overwrite").parquet(rows_at)
+        rows = spark.read.parquet(rows_at)
+        if rows.isEmpty():
+            return
+        if not exists(spark, f"{edges_at}/_SUCCESS"):
+            last = F.max(F.struct("commit_ts", "commit_id", "digest", "is_empty")).alias("last")
+            ends = rows.groupBy("path").agg(last).select(F.lit(number).cast("bigint").alias("batch"), "path", "last.*")
+            ends.write.mode("overwrite").parquet(edges_at)
+        arriving = spark.readStream.schema(_EDGES).parquet(f"{edges}/*")
+        with _state_store(spark):
+            drain(_newest(arriving, ttl_ms, delay), before, f"{work}/state")
+        known = spark.read.schema(_BEFORE).parquet(before).where(F.col("batch") == number)
+        _kinds(rows, known, ttl_ms).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{work}/batches").foreachBatch(put).start()
+    query.awaitTermination()
+    return query
+
+
+def read_change_kinds(spark: SparkSession, out: str) -> DataFrame:
+    """(path, ext, commit_id, commit_ts, message, kind) that ``drain_change_kinds`` has written."""
+    schema = "path string, ext string, commit_id bigint, commit_ts timestamp, message string, kind string"
+    return spark.read.schema(schema).parquet(out).drop("batch")
+
+
+def late_counts(kinds: DataFrame) -> DataFrame:
+    """(day, n_revisions, n_late): how many revisions of each day of commits came too late."""
+    day = F.date_trunc("day", "commit_ts").alias("day")
+    return kinds.groupBy(day).agg(F.count("*").alias("n_revisions"), F.count_if(F.col("kind") == "late").alias("n_late"))
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """State in RocksDB for the streams that start inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def density_stream(revisions: DataFrame, watermark: str = "30 days", width: str = "1 day") -> DataFrame:

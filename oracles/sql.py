@@ -371,6 +371,23 @@ for _key in ("explicit_deletions", "refused_deletions"):
 ORACLES["stream_change_kind"] = ORACLES["change_kind"]
 ORACLES["stream_late"] = f"""WITH {_change_parts("commit_id % 3 <> 1")} SELECT * FROM changes
 UNION ALL SELECT path, ext, commit_id, commit_ts, message, 'late' FROM revs WHERE commit_id % 3 = 1"""
+# Three waves: two revisions, a third (every other path 60 days later), and the first ones again. The watermark is
+# 10 days behind the newest revision, so in the last wave paths whose newest is 60 days later are late, and the others are
+# older than their own third revision.
+_IDLE = f"""{corpus("rev_part", "revs0")},
+revs AS (SELECT path, ext, commit_id, CASE WHEN commit_id % 3 = 0 AND length(path) % 2 = 0 THEN commit_ts + INTERVAL 60 DAY ELSE commit_ts END AS commit_ts, message, content FROM revs0),
+files AS (SELECT path || '@' || CAST(commit_id AS STRING) AS path, path AS real, lower(ext) AS ext, commit_id, commit_ts, message, content FROM revs),
+{lexed()}, {stripped('prune')}, {rebuilt()},
+kinds AS (SELECT f.real AS path, f.ext, f.commit_id, f.commit_ts, f.message, o.content AS code, f.content AS whole,
+  lag(o.content) OVER w AS prev_code, lag(f.content) OVER w AS prev_whole, lag(f.commit_ts) OVER w AS prev_ts
+  FROM files AS f LEFT JOIN out AS o ON o.path = f.path WINDOW w AS (PARTITION BY f.real ORDER BY commit_ts, commit_id)),
+told AS (SELECT path, ext, commit_id, commit_ts, message,
+    CASE WHEN prev_code IS NULL OR commit_ts - prev_ts > INTERVAL 30 DAY THEN 'new' WHEN code = prev_code AND prev_whole <> '' THEN 'comment_only' ELSE 'code' END AS kind
+  FROM kinds
+  UNION ALL SELECT path, ext, commit_id + 1000, commit_ts, message, 'late' FROM revs WHERE commit_id % 3 = 1)"""
+ORACLES["stream_idle"] = f"WITH {_IDLE} SELECT * FROM told"
+ORACLES["stream_late_counts"] = f"""WITH {_IDLE}
+SELECT date_trunc('day', commit_ts) AS day, count(*) AS n_revisions, count(*) FILTER (WHERE kind = 'late') AS n_late FROM told GROUP BY 1"""
 ORACLES["stream_density"] = f"""WITH {_change_parts()}, counts AS (SELECT {_COUNTS} FROM ls GROUP BY path)
 SELECT date_trunc('day', commit_ts) AS day, f.ext, count(*) AS n_files, CAST(sum(n_comment) AS BIGINT) AS n_comment, CAST(sum(n_code) AS BIGINT) AS n_code,
   round(sum(n_comment) / nullif(sum(n_code), 0), 6) AS per_code

@@ -79,33 +79,73 @@ def test_every_file_is_asked_about_once_and_faults_stay_out(spark, files_of):
     assert annotate.accepted(out).count() == 20
 
 
-def test_late_revisions_and_return_to_old_code(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", revisions.STATE_STORE)
+def told(spark, tmp_path, waves, **how):
+    """{commit_id: kind} of waves of (commit_id, hours, text or None[, path])."""
     day = dt.datetime(2024, 1, 1)
+    for wave in waves:
+        rows = [(*(p or ["p"]), ".js", c, day + dt.timedelta(hours=h), "m", t) for c, h, t, *p in wave]
+        spark.createDataFrame(rows, io.REVISIONS_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = revisions.revision_stream(spark, str(tmp_path / "in"))
+        revisions.drain_change_kinds(stream, str(tmp_path / "out"), str(tmp_path / "work"), **how)
+    rows = revisions.read_change_kinds(spark, str(tmp_path / "out")).collect()
+    assert len({r.commit_id for r in rows}) == len(rows)
+    return {r.commit_id: r.kind for r in rows}
+
+
+def test_late_revisions_and_return_to_old_code(spark, tmp_path):
     batches = [[(1, 1, "a();"), (2, 2, "b();")], [(3, 3, "a();"), (4, 4, "a(); // c")], [(5, 2, "z();")]]
-    for i, batch in enumerate(batches):
-        rows = [("p", ".js", c, day + dt.timedelta(hours=h), "m", t) for c, h, t in batch]
-        df = spark.createDataFrame(rows, io.REVISIONS_SCHEMA).coalesce(1)
-        df.write.mode("append").parquet(str(tmp_path / "in"))
-        stream = revisions.change_kind_stream(revisions.revision_stream(spark, str(tmp_path / "in")))
-        revisions.drain(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    got = {r.commit_id: r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: "new", 2: "code", 3: "code", 4: "comment_only", 5: "late"}
-
-
-def test_very_many_revisions_of_one_path(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", revisions.STATE_STORE)
+    assert told(spark, tmp_path, batches) == {1: "new", 2: "code", 3: "code", 4: "comment_only", 5: "late"}
+
+
+def test_a_batch_that_is_late_in_part(spark, tmp_path):
+    """The one before the first revision in time is the newest seen, not a late one of the same batch."""
+    batches = [
+        [(1, 5, "a();"), (1, 5, "a();"), (2, 6, "b();"), (20, 1, "q();", "q")],
+        [(3, 1, "c();"), (4, 7, "b(); // same"), (5, 2, "c();"), (6, 8, None), (7, 9, ""), (8, 10, "")],
+        [(9, 10, "x();"), (21, 1, "q(); // more", "q"), (22, 1, "r();", "r")],
+    ]
+    want = {1: "new", 2: "code", 20: "new", 3: "late", 5: "late", 4: "comment_only", 6: "deleted", 7: "new", 8: "code"}
+    assert told(spark, tmp_path, batches) == want | {9: "code", 21: "comment_only", 22: "new"}
+
+
+def test_idle_paths_leave_the_state_and_come_back_as_new(spark, tmp_path):
+    day = 24
+    batches = [
+        [(1, 0, "a();"), (2, 1, "a(); // c"), (10, 0, "b();", "q")],
+        [(3, 31 * day + 2, "a();"), (11, 29 * day, "b(); // c", "q")],  # p was idle for longer than 30 days, q not
+        [(4, 80 * day, "a();"), (5, 81 * day, "a(); // d")],
+        [(12, 82 * day, "b();", "q"), (13, 5 * day, "z();", "z")],  # q is gone by now; z is far behind all others
+        [(6, 82 * day, "a();"), (14, 83 * day, "b(); // e", "q")],
+    ]
+    got = told(spark, tmp_path, batches, ttl="30 days", delay="1 day")
+    want = {1: "new", 2: "comment_only", 10: "new", 3: "new", 11: "comment_only", 4: "new", 5: "comment_only"}
+    assert got == want | {12: "new", 13: "late", 6: "comment_only", 14: "comment_only"}
+    late = revisions.late_counts(revisions.read_change_kinds(spark, str(tmp_path / "out"))).where("n_late > 0").collect()
+    assert [(r.day, r.n_revisions, r.n_late) for r in late] == [(dt.datetime(2024, 1, 6), 1, 1)]
+
+
+def test_a_hot_path_is_spread_over_tasks(spark, tmp_path):
+    """One path holds nearly all revisions of a micro-batch; one row of it meets the state."""
     n = 100_000
     rows = spark.range(n).selectExpr(
-        "'p' AS path", "'.js' AS ext", "id AS commit_id", "timestamp_seconds(id DIV 2) AS commit_ts", "'m' AS message",
+        "CASE WHEN id % 50 = 49 THEN concat('q', id) ELSE 'p' END AS path", "'.js' AS ext", "id AS commit_id",
+        "timestamp_seconds(id * 30) AS commit_ts", "'m' AS message",
         "CASE WHEN id % 10 = 9 THEN NULL ELSE concat('a', id DIV 5, '(); // ', id) END AS content",
     )
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = revisions.change_kind_stream(revisions.revision_stream(spark, str(tmp_path / "in")))
-    revisions.drain(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    got = {r.kind: r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    # of ten in a row: new after a deletion, four comments, other code, three comments, a deletion
-    assert got == {"new": n // 10, "comment_only": 7 * n // 10, "code": n // 10, "deleted": n // 10}
+    stream = revisions.revision_stream(spark, str(tmp_path / "in"))
+    revisions.drain_change_kinds(stream, str(tmp_path / "out"), str(tmp_path / "work"))
+    hot = revisions.read_change_kinds(spark, str(tmp_path / "out")).where("path = 'p'")
+    got = {r.kind: r.n for r in hot.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    # of ten in a row: new after a deletion, four comments, other code, three comments, a deletion, which is
+    # missing in every fifth ten: then the next, if there is one, is other code
+    tens, missing = n // 10, n // 50
+    assert got == {"new": tens - missing + 1, "comment_only": 7 * tens, "code": tens + missing - 1, "deleted": tens - missing}
+    edges = spark.read.parquet(str(tmp_path / "work" / "edges" / "*"))
+    assert edges.where("path = 'p'").count() == 1 and edges.count() == n // 50 + 1
+    # the lag runs in groups of an hour of commits: 120 rows at most
+    plan = revisions._in_order(spark.read.parquet(str(tmp_path / "in")))._jdf.queryExecution().executedPlan().toString()
+    assert "__slot" in plan and "__group" in plan
 
 
 def test_only_what_is_looked_at_is_opened(spark, tree):
