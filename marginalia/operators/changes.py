@@ -5,7 +5,7 @@ revisions(path, ext, commit_id, commit_ts, message, content).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.langs import EXTENSIONS
@@ -24,20 +24,31 @@ def skip_own_commits(revisions: DataFrame, subject: str = OWN_SUBJECT) -> DataFr
 def changed_files(revisions: DataFrame, commit_id: int | None = None) -> DataFrame:
     """Files touched by a commit (default: every commit) with ``prev_content`` beside them.
 
-    What is lagged over the history is the number of the commit before; the texts of the chosen
-    rows then meet by path and commit, so no more text is shuffled than is returned.
+    A revision that is delivered more than once counts once. For every commit, texts are lagged over
+    the history in buckets of time, in one reading of it. For one commit, each task keeps of a path no more than
+    the revision of that commit and the newest one before, so that little is shuffled.
     """
-    rows = revisions.select("path", "commit_id", "commit_ts")
-    lagged = with_previous(rows, ["commit_id"])
     if commit_id is not None:
-        lagged = lagged.where(F.col("commit_id") == commit_id)
-        revisions_now = revisions.where(F.col("commit_id") == commit_id)
-    else:
-        revisions_now = revisions
-    before = lagged.where("prev_commit_id IS NOT NULL").select("path", "commit_id", "prev_commit_id")
-    texts = revisions.select("path", F.col("commit_id").alias("prev_commit_id"), F.col("content").alias("prev_content"))
-    known = before.join(texts, ["path", "prev_commit_id"]).select("path", "commit_id", "prev_content")
-    return revisions_now.join(known, ["path", "commit_id"], "left").select(*revisions.columns, "prev_content")
+        return _changed_in(revisions, commit_id)
+    lagged = with_previous(revisions, ["commit_id", "content"])
+    return lagged.where(~_delivered_again()).drop("prev_commit_id")
+
+
+def _changed_in(revisions: DataFrame, commit_id: int) -> DataFrame:
+    at = revisions.where(F.col("commit_id") == commit_id).agg(F.max("commit_ts").alias("at")).first()["at"]
+    place, commit = F.struct("commit_ts", "commit_id"), F.struct(F.lit(at).alias("commit_ts"), F.lit(commit_id).alias("commit_id"))
+    now = F.struct(*[F.col(c) for c in revisions.columns])
+    before = F.struct("commit_ts", "commit_id", "content")
+    found = revisions.groupBy("path").agg(
+        F.max(F.when(F.col("commit_id") == commit_id, now)).alias("now"),
+        F.max(F.when(place < commit, before)).alias("before"),
+    )
+    return found.where("now IS NOT NULL").select("now.*", F.col("before.content").alias("prev_content"))
+
+
+def _delivered_again() -> Column:
+    """Of rows of the same commit, which stand one behind the other, all but the first."""
+    return F.coalesce(F.col("prev_commit_id") == F.col("commit_id"), F.lit(False))
 
 
 def with_previous(
@@ -64,9 +75,9 @@ def change_kind(revisions: DataFrame, force: bool = False) -> DataFrame:
 
     ``kind``: new, code, deleted (no content), or comment_only when the text without comments is
     unchanged. A missing, deleted or empty predecessor never makes a change comment-only.
-    ``skipped`` is false for everything under ``force``.
+    ``skipped`` is false for everything under ``force``. A revision that is delivered more than once counts once.
     """
-    digests = with_previous(code_digests(revisions), ["digest", "is_empty"])
+    digests = with_previous(code_digests(revisions), ["commit_id", "digest", "is_empty"]).where(~_delivered_again())
     same = (F.col("digest") == F.col("prev_digest")) & ~F.col("prev_is_empty")
     kind = (
         F.when(F.col("digest").isNull(), "deleted")

@@ -50,22 +50,42 @@ def valid_suggestions(suggestions: DataFrame, files: DataFrame) -> DataFrame:
     return line_requests(files, suggestions, 1)
 
 
+def _string_edges(marked: Column) -> Column:
+    """ARRAY<INT>: where lines begin to begin inside a string and where they stop to, as 0-based line numbers in turn."""
+    inside = F.transform(F.split(marked, "\n"), starts_in_string)
+
+    def edges(flags: Column) -> Column:
+        none = F.array(F.lit(False))
+        turns = F.zip_with(F.concat(none, flags), F.concat(flags, none), lambda before, here: before != here)
+        return F.filter(F.transform(turns, lambda turn, i: F.when(turn, i.cast("int"))), lambda i: i.isNotNull())
+
+    return let(inside, edges)
+
+
+def judged_suggestions(suggestions: DataFrame, files: DataFrame) -> DataFrame:
+    """Suggestions for lines 1 .. last line + 1 of an existing file, with ``in_string``: whether that line begins
+    inside a string. What a file sends to them is the number of its lines and where strings over several
+    lines are, a few numbers."""
+    shapes = with_marked(files).select(
+        F.col("path").alias("__path"),
+        F.size(split_lines(F.col("content"))).alias("__n"),
+        _string_edges(F.col(MARKED)).alias("__edges"),
+    )
+    met = suggestions.join(shapes, F.col("path") == F.col("__path")).where(F.col("line").between(1, F.col("__n") + 1))
+    passed = F.size(F.filter("__edges", lambda e: e < F.col("line")))
+    return met.select(*suggestions.columns, (passed % 2 == 1).alias("in_string"))
+
+
 def refused_suggestions(suggestions: DataFrame, files: DataFrame) -> DataFrame:
     """Suggestions whose target line begins inside a string."""
-    inside = (
-        with_marked(files)
-        .select("path", F.posexplode(F.split(F.col(MARKED), "\n")).alias("pos", "m"))
-        .where(starts_in_string(F.col("m")))
-        .select("path", (F.col("pos") + 1).alias("line"))
-    )
-    return suggestions.join(inside, ["path", "line"], "left_semi")
+    return judged_suggestions(suggestions, files).where("in_string").drop("in_string")
 
 
 def insertable(suggestions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(suggestions that will be inserted, suggestions refused for string safety)."""
-    valid = valid_suggestions(suggestions, files)
-    refused = refused_suggestions(valid, files)
-    return valid.join(refused.select("path", "idx", "line"), ["path", "idx", "line"], "left_anti"), refused
+    """(suggestions that will be inserted, suggestions refused for string safety). To have both, store
+    ``judged_suggestions``."""
+    judged = judged_suggestions(suggestions, files)
+    return judged.where("NOT in_string").drop("in_string"), judged.where("in_string").drop("in_string")
 
 
 def expand_comments(suggestions: DataFrame, tag: str = TAG) -> DataFrame:

@@ -15,9 +15,11 @@ from ..sources.files import (
     qualified,
     read_responses,
     read_suggestions,
+    read_version,
     scan_source_tree,
     write_files,
     write_tree,
+    write_version,
 )
 from ..sources.shared import shared_folder
 from ..streaming import revisions
@@ -515,6 +517,33 @@ def written_version(spark, d):
     return spark.read.parquet(second).select("path", "content")
 
 
+@query
+def current_version(spark, d):
+    """The same by versions of one table; a reader of the first keeps it."""
+    table = shared_folder(spark, "table")
+    files = corpus(spark, d, "src_part").select("path", "ext", "content", "k")
+    write_version(files, table)
+    changed = read_version(spark, table).join(files.where("k % 3 = 0").select("path"), "path", "left_semi")
+    annotated = annotate.annotate_files(ignore.drop_empty(changed), annotate.offline_annotator)
+    write_version(annotate.accepted(annotated), table)
+    return read_version(spark, table).select("path", "content")
+
+
+@query
+def tree_log(spark, d):
+    """What becomes of files that are written to a tree: good ones, and those without text, in no known store, or
+    in the place of a folder."""
+    root = qualified(spark, shared_folder(spark, "tree"))
+    k = F.col("k")
+    path = F.when(k % 7 == 1, F.concat(F.lit("nowhere://x/"), "path")).when(k % 7 == 2, F.lit("src")).otherwise(
+        F.concat(F.lit(root + "/"), "path")
+    )
+    content = F.when(k % 7 != 3, F.col("content"))
+    files = corpus(spark, d, "src_part").select("path", path.alias("at"), content.alias("content"))
+    log = write_tree(files.select(F.col("at").alias("path"), "content"))
+    return log.groupBy(F.regexp_replace("path", r"\A.*/", "").alias("name"), "status").agg(F.count("*").alias("n"))
+
+
 # -- streams ----------------------------------------------------------------------------
 def _revision_files(spark, d):
     """The revisions as a folder of files in commit order, for a stream to pick up."""

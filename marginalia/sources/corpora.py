@@ -226,13 +226,16 @@ FROM (SELECT *, {_part_source()} AS body, {_part_source("' (edited)'")} AS edite
 """
 
 
-# What a commit touches as it is listed: the last revision may be a deletion, and a path may have an
-# extension in capitals, with which ``ext`` does not tell the language.
+# What a commit touches as it is listed: the last revision may be a deletion, a path may have an
+# extension in capitals, with which ``ext`` does not tell the language, and some second revisions are delivered twice.
 def _listed() -> str:
     return f"""
 SELECT CASE WHEN p % 6 = 0 THEN upper(path) ELSE path END AS path, CASE WHEN p % 6 = 0 THEN upper(ext) ELSE ext END AS ext,
   commit_id, commit_ts, message, CASE WHEN p % 5 = 0 AND n = 3 THEN NULL ELSE content END AS content
-FROM ({"UNION ALL".join(_revision(n, f", k AS p, {n} AS n") for n in (1, 2, 3))}) AS r
+FROM (SELECT *, CASE WHEN n = 2 AND p % 4 = 1 THEN 2 ELSE 1 END AS times
+  FROM ({"UNION ALL".join(_revision(n, f", k AS p, {n} AS n") for n in (1, 2, 3))}) AS q) AS r
+CROSS JOIN (SELECT 1 AS delivery UNION ALL SELECT 2 AS delivery) AS d
+WHERE delivery <= times
 """
 
 

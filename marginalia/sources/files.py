@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.langs import EXTENSIONS
 from .ignore import accepted_files, drop_empty, drop_ignored, ignore_patterns
-from .shared import file_system
+from .shared import exists, file_system
 
 SUGGESTIONS_SCHEMA = "path string, idx bigint, line bigint, comment string"
 RESPONSES_SCHEMA = "path string, provider string, body string"
@@ -129,6 +129,60 @@ def write_files(files: DataFrame, path: str, previous: str | None = None, fmt: s
     files.write.format(fmt).partitionBy("ext").mode("error").save(path)
 
 
+def write_version(files: DataFrame, table: str, fmt: str = "parquet") -> int:
+    """Makes the next version of the table of files in folder ``table`` current, and returns its number: ``files``, and the
+    files of the current version that are not among them.
+
+    The version is written to a folder of its own. Then its number is taken by creating a file of that name, which
+    holds the folder's; that is one step in any file system, so readers see a whole version, the old or
+    the new one, and a job that fails or is beaten to the number by another leaves the table as it was.
+    """
+    spark = files.sparkSession
+    number, current = _current(spark, table) or (0, None)
+    folder = f"data-{uuid.uuid4().hex}"
+    write_files(files, f"{table}/{folder}", current, fmt)
+    _create(spark, f"{table}/_versions/{number + 1:012d}", folder)
+    return number + 1
+
+
+def read_version(spark: SparkSession, table: str, number: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """files(path, ext, content) of a version of the table, by default the current one. A reader keeps its version while
+    others are written."""
+    found = _current(spark, table, number)
+    if found is None:
+        raise FileNotFoundError(f"no version{'' if number is None else f' {number}'} in {table}")
+    return spark.read.format(fmt).load(found[1]).select("path", "ext", "content")
+
+
+def _versions(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, table: str, number: int | None = None) -> tuple[int, str] | None:
+    """(number, folder) of the newest version, or of the one asked for."""
+    if not exists(spark, f"{table}/_versions"):
+        return None
+    path, system = _versions(spark, f"{table}/_versions")
+    numbers = [int(name) for name in (s.getPath().getName() for s in system.listStatus(path)) if name.isdigit()]
+    if number is None:
+        number = max(numbers, default=None)
+    if number not in numbers:
+        return None
+    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(path, f"{number:012d}"))
+    try:
+        return number, f"{table}/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def _create(spark: SparkSession, name: str, text: str) -> None:
+    path, system = _versions(spark, name)
+    stream = system.create(path, False)  # fails if it is there
+    stream.writeUTF(text)
+    stream.close()
+
+
 RUN_LOG_SCHEMA = "path string, status string, error string"
 
 
@@ -138,25 +192,35 @@ def write_tree(files: DataFrame) -> DataFrame:
     Paths are URIs, or absolute, of a file system that all executors reach. Each task writes a
     file of its own next to the target and moves it there, so a retried or speculative task is
     harmless and readers see the old text or the new one. A file that fails is logged, not
-    fatal. Nothing is written before an action runs on the log.
+    fatal, whatever is wrong with it: a NULL content or path, a path in no known store, a folder in its
+    place. Nothing is written before an action runs on the log.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
+    def put(path: str | None, content: str | None) -> None:
+        if path is None or content is None:
+            raise ValueError("no path" if path is None else "no content")
+        system, target = file_system(path)
+        draft = f"{target}.{uuid.uuid4().hex}.tmp"
+        system.create_dir(target.rpartition("/")[0], recursive=True)
+        try:
+            with system.open_output_stream(draft) as out:
+                out.write(content.encode())
+            system.move(draft, target)
+        except BaseException:
+            with suppress(Exception):
+                system.delete_file(draft)
+            raise
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             log = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    system, target = fs.FileSystem.from_uri(path)
-                    draft = f"{target}.{uuid.uuid4().hex}.tmp"
-                    system.create_dir(target.rpartition("/")[0], recursive=True)
-                    with system.open_output_stream(draft) as out:
-                        out.write(content.encode())
-                    system.move(draft, target)
+                    put(path, content)
                     log.append((path, "ok", None))
-                except OSError as error:
-                    log.append((path, "error", str(error)))
-            yield pd.DataFrame(log, columns=["path", "status", "error"])
+                except Exception as error:
+                    log.append((path, "error", str(error) or type(error).__name__))
+            columns = zip(*log) if log else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "status", "error"])
 
-    return files.select("path", "content").mapInPandas(write, RUN_LOG_SCHEMA)
+    return files.select("path", "content").mapInArrow(write, RUN_LOG_SCHEMA)

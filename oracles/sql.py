@@ -213,7 +213,7 @@ _OWN = "'docs: auto-generated comments'"
 
 def _change_parts(where: str = "true", source: str = "rev_part") -> str:
     # One row per revision, so the revision number joins the path while lexing.
-    return f"""{corpus(source, 'revs')},
+    return f"""{corpus(source, 'deliveries')}, revs AS (SELECT DISTINCT * FROM deliveries),
 files AS (SELECT path || '@' || CAST(commit_id AS STRING) AS path, path AS real, lower(ext) AS ext, commit_id, commit_ts, message, content FROM revs WHERE {where}),
 {lexed()}, {stripped('prune')}, {rebuilt()},
 kinds AS (SELECT f.real AS path, f.ext, f.commit_id, f.commit_ts, f.message, o.content AS code, f.content AS whole,
@@ -320,7 +320,7 @@ WHERE s.line BETWEEN 1 AND n + 1 AND NOT coalesce(sis, false)""",
 el AS (SELECT path, unnest(els) AS e, generate_subscripts(els, 1) - 1 AS idx FROM els),
 bad AS (SELECT path FROM el WHERE NOT coalesce(CAST(e ->> '$.line' AS BIGINT) > 0 AND (e ->> '$.action') = 'delete', false))
 SELECT path, CAST(idx AS BIGINT) AS idx, CAST(e ->> '$.line' AS BIGINT) AS line FROM el WHERE path NOT IN (SELECT path FROM bad)""",
-    "changed_files": f"""WITH {corpus('rev_listed')}
+    "changed_files": f"""WITH {corpus('rev_listed', 'deliveries')}, files AS (SELECT DISTINCT * FROM deliveries)
 SELECT path, commit_id, sha256(content) AS content, sha256(lag(content) OVER (PARTITION BY path ORDER BY commit_ts, commit_id)) AS prev_content FROM files""",
     "change_kind": f"WITH {_change_parts()} SELECT * FROM changes",
     "to_annotate": f"""WITH {_change_parts(_COMMIT_OK, 'rev_listed')}
@@ -425,6 +425,10 @@ UNION ALL SELECT path, content FROM all_files WHERE path NOT IN (SELECT path FRO
 _CODE_RUNS = """, joined AS (SELECT path, string_agg(CASE WHEN kind = 'code' THEN t ELSE chr(64976) END, '' ORDER BY seq) AS j FROM kd GROUP BY path)
 SELECT path, unnest(r) AS text, CAST(generate_subscripts(r, 1) - 1 AS BIGINT) AS run_no FROM (SELECT path, string_split(j, chr(64976)) AS r FROM joined) AS x
 UNION ALL SELECT path, '', 0 FROM files WHERE content = ''"""
+ORACLES["current_version"] = ORACLES["written_version"]
+ORACLES["tree_log"] = f"""WITH {corpus('src_part')}
+SELECT CASE WHEN k % 7 = 2 THEN 'src' ELSE string_split(path, '/')[-1] END AS name,
+  CASE WHEN k % 7 IN (1, 2, 3) THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM files GROUP BY ALL"""
 ORACLES["part_code"] = f"WITH {corpus('src_part')}, {lexed()}{_CODE_RUNS}"
 ORACLES["doc_code"] = f"WITH {corpus('docs_text')}, {lexed()}{_CODE_RUNS}"
 ORACLES["stored_responses"] = ORACLES["response_errors"]

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from marginalia.plans.registry import QUERIES
 from marginalia.operators import changes, metrics, responses
 
 
@@ -112,12 +113,29 @@ def test_commit_selection(spark):
         ("a/B.PY", "x", 1, day, "m", "a()"), ("a/b.js", ".js", 1, day, "m", "a()"), ("a/b.js", ".js", 2, day + dt.timedelta(days=3), "m", None),
         ("a/b.js", ".js", 3, day + dt.timedelta(days=9), "m", "a()"), ("a/B.PY", "x", 3, day + dt.timedelta(days=9), "m", "a() # c"),
     ]
-    df = spark.createDataFrame(rows, "path string, ext string, commit_id bigint, commit_ts timestamp, message string, content string")
-    kinds = {(r.path, r.commit_id): r.kind for r in changes.to_annotate(df).collect()}
-    assert kinds == {("a/B.PY", 1): "new", ("a/b.js", 1): "new", ("a/b.js", 3): "new"}
+    rows += [rows[0], rows[3], rows[3], rows[4]]  # delivered again
+    df = spark.createDataFrame(rows, "path string, ext string, commit_id bigint, commit_ts timestamp, message string, content string").repartition(3)
+    found = [((r.path, r.commit_id), r.kind) for r in changes.to_annotate(df).collect()]
+    kinds = dict(found)
+    assert len(found) == len(kinds) and kinds == {("a/B.PY", 1): "new", ("a/b.js", 1): "new", ("a/b.js", 3): "new"}
     for commit in (None, 3):
         got = changes.changed_files(df, commit).collect()
+        assert len(got) == (2 if commit else 5)
         want = {("a/b.js", 3): None, ("a/B.PY", 3): "a()"}
         if commit is None:
             want |= {("a/B.PY", 1): None, ("a/b.js", 1): None, ("a/b.js", 2): "a()"}
         assert {(r.path, r.commit_id): r.prev_content for r in got} == want
+
+
+def scans_and_exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    return plan.count("FileScan parquet"), plan.count("Exchange hashpartitioning"), plan
+
+
+def test_tables_are_read_once(spark):
+    """The history is a union of three selections of one table, suggestions of two."""
+    scans, _, _ = scans_and_exchanges(QUERIES["changed_files"](spark, "/root/testdata/sf0.001"))
+    assert scans == 3
+    scans, _, plan = scans_and_exchanges(QUERIES["insertable_suggestions"](spark, "/root/testdata/sf0.001"))
+    assert scans == 3

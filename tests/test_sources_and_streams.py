@@ -260,3 +260,37 @@ def test_answers_outlive_a_run_that_breaks_off(spark, tmp_path, monkeypatch):
     assert {r.path: r.body for r in out.collect()} == {str(i): f"P{i}" for i in range(50)}
     assert annotate.read_ledger(spark, ledger).count() == 50
     assert annotate.ask_once(prompts.limit(0), upper, str(tmp_path / "none")).count() == 0
+
+
+def test_a_file_that_cannot_be_written_is_logged(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    rows = [(f"{tmp_path}/a/ok.js", "x"), (f"file:{tmp_path}/ü 1.js", "é"), (f"{tmp_path}/none.js", None), (None, "x")]
+    rows += [("nowhere://bucket/a.js", "x"), ("s3x:relative", "x"), ("a/relative.js", "x"), (f"{tmp_path}/folder", "x")]
+    log = {r.path: r for r in io.write_tree(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert len(log) == len(rows)
+    assert {p for p, r in log.items() if r.status == "ok"} == {rows[0][0], rows[1][0]}
+    assert all(r.error for r in log.values() if r.status == "error")
+    assert (tmp_path / "a/ok.js").read_text() == "x" and (tmp_path / "ü 1.js").read_text() == "é"
+    assert not list(tmp_path.rglob("*.tmp"))
+
+
+def test_versions_are_whole(spark, files_of, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        io.read_version(spark, table)
+    whole = lambda v=None: {r.path: r.content for r in io.read_version(spark, table, v).collect()}
+    assert io.write_version(files_of([("a.js", ".js", "1"), ("b.py", ".py", "1"), ("n.js", ".js", None)]), table) == 1
+    reader = io.read_version(spark, table)
+    assert io.write_version(files_of([("b.py", ".py", "2"), ("c.js", ".js", "2")]), table) == 2
+    assert whole() == {"a.js": "1", "b.py": "2", "c.js": "2", "n.js": None}
+    assert {r.path for r in reader.collect()} == {"a.js", "b.py", "n.js"} and whole(1) == {"a.js": "1", "b.py": "1", "n.js": None}
+    # a writer that fails, or comes second, leaves the table as it is
+    boom = F.raise_error(F.lit("boom"))
+    with pytest.raises(Exception, match="boom"):
+        io.write_version(files_of([("d.js", ".js", "3")]).withColumn("content", boom.cast("string")), table)
+    now = io._current(spark, table)
+    monkeypatch.setattr(io, "_current", lambda *_: (1, f"{table}/{now[1].rpartition('/')[2]}"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        io.write_version(files_of([("e.js", ".js", "3")]), table)
+    monkeypatch.undo()
+    assert whole() == {"a.js": "1", "b.py": "2", "c.js": "2", "n.js": None}
