@@ -2,10 +2,13 @@
 
 1. In each Arrow batch, before any shuffle, rows of equal content become one local group, so a
    group of copies reaches the shuffle at most once per batch.
-2. Local groups are partitioned by a hash of their content. A task fills an open-addressing table
+2. The most frequent hashes of local groups are counted. Their groups are partitioned by hash and salt first, and what is
+   equal there becomes one group, so that of a content that a third of all batches hold as many groups are
+   left as the root of their number.
+3. Groups are partitioned by a hash of their content. A task fills an open-addressing table
    with its partition's contents; if they do not fit, all go to spill files by the next bits of the
    hash, and each file is treated the same way, until its contents fit.
-3. The local groups learn their group's verdict by a key of their own, so the members of a
+4. The local groups learn their group's verdict by a key of their own, so the members of a
    very large group stay spread over tasks.
 
 Equality is always that of complete contents; the hash only says where to look. Spill files lie in
@@ -15,6 +18,7 @@ the shared folder, in a folder per task attempt, and are removed when the task i
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -25,13 +29,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import shared_folder
-from .frames import stored
+from .frames import file_system, stored
 
 #: Bytes of distinct contents that a task's table holds before its partition is split.
 MEMORY = 64 << 20
 #: Spill files of one split: so many bits of the hash are used up by each.
 FAN_BITS = 4
 
+#: Hashes that more local groups than this have are hot, the ``HOT_HASHES`` most frequent of them: any other has at most
+#: one group in so many.
+HOT_GROUPS, HOT_HASHES = 64, 1000
+
+_MERGED = "g bigint, root bigint, first boolean, h bigint, content binary, n bigint, min_id bigint"
 _VERDICT = "g bigint, winner boolean, keep_id bigint, group_size bigint, text_sha256 string"
 
 
@@ -147,7 +156,7 @@ def _verdicts(rows: Iterator[list[tuple]], depth: int, spill: str, memory: int)
     size, low, best = ([x] * len(table.contents) for x in (0, None, None))
     for g, i, n, min_id in seen:
         size[i] += n
-        rank = (min_id is None, min_id or 0, g)
+        rank = _rank(min_id, g)
         if best[i] is None or rank < best[i]:
             best[i] = rank
         low[i] = _least(low[i], min_id)
@@ -164,10 +173,8 @@ class _Spill:
     )
 
     def __init__(self, folder: str, depth: int):
-        from pyarrow import fs
-
         self.shift = 64 - FAN_BITS * (depth + 1)
-        self.system, base = fs.FileSystem.from_uri(folder)
+        self.system, base = file_system(folder)
         self.base = f"{base}/{uuid.uuid4().hex}"
         self.system.create_dir(self.base, recursive=True)
         names = [f"{self.base}/{i:02d}.arrow" for i in range(1 << FAN_BITS)]
@@ -204,10 +211,51 @@ def _tuples(batches, step: int = 1000) -> Iterator[list[tuple]]:
             yield list(zip(g[at : at + step], h[at : at + step], own, n[at : at + step], low[at : at + step]))
 
 
+def _hot(groups: DataFrame) -> dict[int, int]:
+    """{hash: salts} of the hashes with the most local groups; bounded. What is not in it is only slower."""
+    counts = groups.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GROUPS)
+    top = counts.orderBy(F.desc("n"), "h").limit(HOT_HASHES).collect()
+    return {r["h"]: math.isqrt(r["n"] - 1) + 1 for r in top}
+
+
+def _rank(min_id: int | None, g: int) -> tuple:
+    return min_id is None, min_id or 0, g
+
+
+def _merged(contents: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(g, root, first, h, content, n, min_id), stored: the groups of hot hashes, merged by hash and salt where they are
+    equal. ``first`` marks the group with the smallest row of those with one ``root``; only that row has the
+    content, and the count and smallest id of them all."""
+    frame = contents.sparkSession.createDataFrame(list(hot.items()), "hot_h bigint, salts int")
+    rows = contents.join(F.broadcast(frame), F.col("h") == F.col("hot_h"))  # HOT_HASHES rows at most
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = ContentTable(), []
+        for some in _tuples(batches):
+            seen += [(g, table.number(h, content), n, low) for g, h, content, n, low in some]
+        total, best, low = ([x] * len(table.contents) for x in (0, None, None))
+        for g, i, n, min_id in seen:
+            total[i] += n
+            low[i] = _least(low[i], min_id)
+            best[i] = min(filter(None, (best[i], _rank(min_id, g))))
+        for at in range(0, len(seen), 10_000):
+            out = []
+            for g, i, _, _ in seen[at : at + 10_000]:
+                root = best[i][2]
+                mine = (table.hashes[i], table.contents[i], total[i], low[i]) if g == root else (table.hashes[i], None, None, None)
+                out.append((g, root, g == root, *mine))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MERGED.split(", ")])
+
+    dealt = salted.repartition("h", "salt").select("g", "h", "content", "n", "min_id")
+    return stored(dealt.mapInArrow(run, _MERGED), "merged-groups")
+
+
 def group_verdicts(groups: DataFrame, text: str = "text", memory: int = MEMORY) -> DataFrame:
     """(g, winner, keep_id, group_size, text_sha256) of stored local groups."""
     spill = shared_folder(groups.sparkSession, "grace-spill")
-    spill = spill if "://" in spill or spill.startswith("file:") else f"file://{spill}"
     contents = groups.select("g", "h", normalised(F.col(f"row.{text}")).alias("content"), "n", "min_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +266,17 @@ def group_verdicts(groups: DataFrame, text: str = "text", memory: int = MEMORY)
                 columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return contents.repartition("h").mapInArrow(run, _VERDICT)
+    hot = _hot(groups)
+    if not hot:
+        return contents.repartition("h").mapInArrow(run, _VERDICT)
+    merged = _merged(contents, hot)
+    cold = contents.where(~F.col("h").isin(list(hot)))
+    roots = merged.where("first").select("g", "h", F.col("content").cast("string").alias("content"), "n", "min_id")
+    verdicts = stored(cold.unionByName(roots).repartition("h").mapInArrow(run, _VERDICT), "verdicts")
+    members = merged.where("NOT first").select("g", "root")
+    told = verdicts.withColumnRenamed("g", "root").join(members, "root")
+    others = told.select("g", F.lit(False).alias("winner"), "keep_id", "group_size", "text_sha256")
+    return verdicts.unionByName(others)
 
 
 def copies(docs: DataFrame, text: str = "text", memory: int = MEMORY) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import file_system, shared_folder  # noqa: F401
 
 _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -73,14 +73,3 @@ def spread_join(
     for k in keys:
         on = on & left[k].eqNullSafe(right[renamed[k]])
     return left.join(right, on, "left").drop(right[salt]).drop(salt, *renamed.values())
-
-
-def file_system(uri: str):
-    """(file system, path) of a file as Spark names it, for reading or writing it in a task by byte ranges."""
-    from pyarrow import fs
-
-    scheme, colon, rest = uri.partition(":")
-    if not rest.startswith("/") or not colon:
-        return fs.LocalFileSystem(), uri
-    # Spark's names for one and the same store
-    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)

@@ -17,9 +17,11 @@ Two nodes that match share an entry, and most documents have rare tokens enough,
 line that thousands of them share brings none of them together.
 
 Entries with few nodes give pairs. Entries with many would give the square of their number; their
-nodes are put into crowds instead (connected by common entries), crowds are dealt into blocks, and a
-pair of blocks is compared by one matrix product that returns a spanning set of its links. All candidates
-are verified on complete sets, and no candidate is dropped.
+nodes are put into crowds instead (connected by common entries), and crowds are dealt into blocks. First each block is
+compared with itself and with a few pivots of its crowd, by one matrix product that returns a spanning set of its
+links: rows in proportion to the crowd. Near copies are linked by then. What is still apart is dealt into blocks by label and nearest pivot, and only
+such blocks meet as can hold similar sets: Jaccard distance is a metric, so two sets whose distances to any pivot differ by
+more than 1 - t are not similar. All candidates are verified on complete sets, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -47,6 +49,12 @@ BLOCK_SETS, BLOCK_TOKENS = 128, 1 << 20
 #: shared passage is too small a part to bring frequent tokens into it.
 COMBINED = 18
 SALTS = 16
+#: About so many members of a crowd are its pivots, and never more than the second number.
+PIVOTS, MOST_PIVOTS = 12, 24
+#: Tokens that more than one node in so many has, the most frequent ones, are counted apart.
+HEAVY_SHARE, HEAVY_TOKENS = 200, 4096
+#: Stands for the number of nodes of these tokens: they come last in the order of tokens.
+_HEAVY = 1 << 40
 
 
 class Similarity:
@@ -118,6 +126,25 @@ def sketches(docs: DataFrame, like: Similarity, text: str = "text") -> DataFrame
     )
 
 
+def _heavy(found: DataFrame) -> list[int]:
+    """Tokens that a large share of all nodes has in the extended prefix; bounded. Each batch counts its own and
+    puts out those that are frequent there, so no task sees all rows of one token. That such a token is here or not
+    changes its place in the order of tokens only, which is the same for all nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("prefix").flatten().to_numpy(zero_copy_only=False)
+            seen, n = np.unique(flat, return_counts=True)
+            some = n >= max(2, batch.num_rows // (2 * HEAVY_SHARE))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(seen[some], pa.int64()), "n": pa.array(n[some], pa.int64())})
+
+    prefixes = found.where("prefix IS NOT NULL").select("prefix")
+    limit = max(FREQUENT * PAIRED, prefixes.count() // HEAVY_SHARE)
+    counts = prefixes.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") > limit).orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS)
+    return [r["token"] for r in top.collect()]
+
+
 def _floor_div(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("bigint")
 
@@ -126,9 +153,14 @@ def index(found: DataFrame, like: Similarity) -> DataFrame:
     """(entry, band, node): what each node is indexed under, once for its band of lengths and once
     for the next, so that nodes of neighbouring bands meet."""
     rows = found.where("prefix IS NOT NULL").select("node", "n", "band", F.explode("prefix").alias("token"))
+    heavy = _heavy(found)
+    light = rows.where(~F.col("token").isin(heavy)) if heavy else rows
     # dealt by token once: dropping repeats and counting need no further shuffle
-    rows = rows.repartition("token").dropDuplicates(["token", "node", "n", "band"])
-    shared = rows.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
+    light = light.repartition("token").dropDuplicates(["token", "node", "n", "band"])
+    shared = light.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
+    if heavy:
+        often = rows.where(F.col("token").isin(heavy)).distinct()
+        shared = shared.unionByName(often.withColumn("df", F.lit(_HEAVY)))
     nodes = shared.groupBy("node", "n", "band").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")  # at most the node's prefix
     )
@@ -185,12 +217,11 @@ def _links_of_pairs(pairs: DataFrame, sets: DataFrame, like: Similarity) -> Data
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _spanning(tokens: list[np.ndarray], nodes: list[int], like: Similarity) -> list[tuple[int, int]]:
-    """Links that connect what all similar pairs of these sets connect."""
-    sizes = np.array([len(t) for t in tokens])
+def _similarity(tokens: list[np.ndarray]) -> np.ndarray:
+    """(set, set): how many tokens they share, by matrix products over runs of tokens."""
     known, where = np.unique(np.concatenate(tokens), return_inverse=True)
     both = np.zeros((len(tokens), len(tokens)), np.float32)
-    row = np.repeat(np.arange(len(tokens)), sizes)
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     step = 1 << 14  # columns of the dense incidence matrix at a time
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(0, len(known) + step, step))
@@ -198,8 +229,13 @@ def _spanning(tokens: list[np.ndarray], nodes: list[int], like: Similarity) -> l
         dense = np.zeros((len(tokens), step), np.float32)
         dense[row[order[x:y]], where[order[x:y]] - i * step] = 1
         both += dense @ dense.T
-    similar = like.linked(both.round().astype(np.int64), sizes[:, None], sizes[None, :])
-    root, out = list(range(len(tokens))), []
+    return both.round().astype(np.int64)
+
+
+def _spanning(both: np.ndarray, sizes: np.ndarray, nodes: list[int], like: Similarity) -> list[tuple[int, int]]:
+    """Links that connect what all similar pairs of these sets connect."""
+    similar = like.linked(both, sizes[:, None], sizes[None, :])
+    root, out = list(range(len(nodes))), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -213,45 +249,121 @@ def _spanning(tokens: list[np.ndarray], nodes: list[int], like: Similarity) -> l
     return out
 
 
-def _links_of_crowds(crowds: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Links inside crowds (node, crowd): every two blocks of neighbouring bands are compared."""
-    members = crowds.join(sets.select("node", "n", "band"), "node")
-    sizes = members.groupBy("crowd", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS))
-    sizes = sizes.select("crowd", "band", blocks.cast("int").alias("blocks"))
-    near = lambda gap, name: sizes.select("crowd", (F.col("band") + gap).alias("band"), F.col("blocks").alias(name))
-    plan = sizes.join(near(1, "below"), ["crowd", "band"], "left").join(near(-1, "above"), ["crowd", "band"], "left")
-    placed = members.join(plan, ["crowd", "band"]).withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+def _token_arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_buffer(), np.uint64) for t in column]
+
+
+def _blocks(sets: Column, tokens: Column) -> Column:
+    return F.greatest(F.ceil(sets / BLOCK_SETS), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
+def _met_pivots(placed: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b, node, gaps), stored: links of each block of a crowd with itself and its crowd's pivots, and the distance of each
+    member of a crowd of several blocks to the pivots, in order of their nodes."""
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = placed.select("crowd", "node", "pivot", "blocks", F.explode(F.when(F.col("pivot"), every).otherwise(own)).alias("block"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, tokens = table.column("node").to_pylist(), _token_arrays(table.column("tokens"))
+        sizes, both = np.array([len(t) for t in tokens]), _similarity(tokens)
+        links = _spanning(both, sizes, nodes, like)
+        a, b = zip(*links) if links else ((), ())
+        located, gaps = [], []
+        if table.column("blocks")[0].as_py() > 1:
+            pivot = np.array(table.column("pivot").to_pylist())
+            at = sorted(np.flatnonzero(pivot).tolist(), key=nodes.__getitem__)[:MOST_PIVOTS]
+            apart = 1 - both[:, at] / np.maximum(sizes[:, None] + sizes[at][None, :] - both[:, at], 1)
+            block = table.column("block")[0].as_py()
+            rows = [i for i in range(len(nodes)) if not pivot[i] or block == 0]  # a pivot is in all blocks
+            located, gaps = [nodes[i] for i in rows], [apart[i].astype(np.float32).tolist() for i in rows]
+        none = pa.nulls(len(located), pa.int64())
+        return pa.concat_tables(
+            [
+                pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "node": pa.nulls(len(a), pa.int64()), "gaps": pa.nulls(len(a), pa.list_(pa.float32()))}),
+                pa.table({"a": none, "b": none, "node": pa.array(located, pa.int64()), "gaps": pa.array(gaps, pa.list_(pa.float32()))}),
+            ]
+        )
+
+    # a block and the pivots meet in a group, and their number and tokens are bounded
+    met = (
+        sent.join(sets.select("node", "tokens"), "node")
+        .select("crowd", "block", "blocks", "node", "pivot", "tokens")
+        .groupBy("crowd", "block")
+        .applyInArrow(compare, "a bigint, b bigint, node bigint, gaps array<float>")
     )
-    place = lambda band, block: F.struct(band.alias("band"), block.alias("block"))
-    mine = place(F.col("band"), F.col("own"))
-
-    def others(gap: int, count: Column) -> Column:
-        every = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(every, lambda i: place(F.col("band") + gap, i))
-
-    partners = F.concat(others(0, F.col("blocks")), others(-1, F.col("below")), others(1, F.col("above")))
-    # Blocks x <= y meet at (x, y). The pair (x, x) is left out where x meets another block anyway.
-    alone = (F.col("blocks") == 1) & F.col("below").isNull() & F.col("above").isNull()
-    partners = F.filter(partners, lambda p: alone | (p != mine))
-    sent = placed.select("node", "crowd", mine.alias("mine"), F.explode(partners).alias("other")).select(
-        "node", "crowd", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
+    return stored(met, "ngram-pivots")
+
+
+def _blocks_apart(located: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """(block, node) of members that may have links to others with another label, and the pairs (x, y) of blocks to compare.
+
+    ``located`` has crowd, node, n, band, label and gaps. Members of a label that fills blocks have blocks of their own; the
+    others are dealt by their nearest pivot. Two blocks are compared unless all in them has one label, their
+    bands are not neighbours, or their distances to some pivot differ too much.
+    """
+    labels = located.groupBy("crowd", "label").agg(F.count("*").alias("held"))
+    crowds = labels.groupBy("crowd").agg(F.count("*").alias("labels"), F.max(F.struct("held", "label")).alias("top"))
+    crowds = crowds.where("labels > 1").select("crowd", F.col("top.label").alias("top"))
+    labels = stored(labels.join(crowds, "crowd"), "ngram-labels-held")  # crowds that are one by now are done
+    rows = located.join(labels, ["crowd", "label"])
+    near = F.array_position("gaps", F.array_min("gaps").cast("float")).cast("int")
+    home = F.when(F.col("held") >= BLOCK_SETS, F.col("label"))
+    cell = ["crowd", "band", "home", "near"]
+    rows = rows.withColumn("near", near).withColumn("home", home)
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    cells = cells.select(*cell, _blocks(F.col("sets"), F.col("tokens")).alias("blocks"))
+    rows = spread_join(rows, cells, cell, SALTS, F.col("node"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = stored(rows.withColumn("block", F.struct(*cell, chunk.alias("chunk"))), "ngram-blocks")
+    ends = [F.struct(F.min(F.get("gaps", F.lit(i))).alias("lo"), F.max(F.get("gaps", F.lit(i))).alias("hi")) for i in range(MOST_PIVOTS)]
+    outline = rows.groupBy("block", "top").agg(F.array(*ends).alias("ends"))
+    outline = stored(outline.select("block", "block.crowd", "block.band", "block.home", "top", "ends"), "ngram-outlines")
+    x = outline.where("home IS NULL OR home != top").select(*[F.col(c).alias(f"x_{c}") for c in outline.columns])
+    y = outline.withColumn("minor", F.expr("home IS NULL OR home != top"))
+    reach = 1 - like.num / like.den + 1e-5
+    apart = F.exists(
+        F.zip_with("x_ends", "ends", lambda a, b: (a["lo"] - b["hi"] > reach) | (b["lo"] - a["hi"] > reach)),
+        lambda far: F.coalesce(far, F.lit(False)),
     )
+    pairs = x.join(y, (F.col("x_crowd") == F.col("crowd")) & (F.abs(F.col("x_band") - F.col("band")) <= 1))
+    # of two minor blocks the smaller one comes first; a block of one label has no links in itself that count
+    once = ~F.col("minor") | (F.col("x_block") <= F.col("block"))
+    same = F.coalesce(F.col("x_home") == F.col("home"), F.lit(False))
+    pairs = pairs.where(once & ~same & ~apart).select(F.col("x_block").alias("x"), F.col("block").alias("y"))
+    return rows.select("block", "node"), stored(pairs, "ngram-block-pairs")
+
+
+def _links_of_crowds(crowds: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """(a, b): links inside crowds (node, crowd) that connect all similar sets of a crowd."""
+    members = crowds.join(sets.select("node", "n", "band"), "node")
+    sizes = members.groupBy("crowd").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    sizes = sizes.select("crowd", "sets", _blocks(F.col("sets"), F.col("tokens")).alias("blocks"))
+    picked = F.pmod(F.xxhash64(F.lit(7), "node"), F.ceil(F.col("sets") / PIVOTS)) == 0
+    placed = spread_join(members, sizes, ["crowd"], SALTS, F.col("node"))
+    placed = stored(placed.withColumn("pivot", (F.col("blocks") > 1) & picked), "ngram-crowds")
+    met = _met_pivots(placed, sets, like)
+    found = met.where("node IS NULL").select("a", "b")
+    big = placed.where("blocks > 1")
+    if big.isEmpty():
+        return found
+    labels = components(found.join(big.select(F.col("node").alias("a")), "a", "left_semi"))
+    gaps = met.where("node IS NOT NULL").select("node", "gaps")
+    located = big.join(gaps, "node").join(labels, "node", "left")
+    located = located.select("crowd", "node", "n", "band", F.coalesce("component", "node").alias("label"), "gaps")
+    blocks, pairs = _blocks_apart(located, like)
 
     def compare(table: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
-        links = _spanning(tokens, table.column("node").to_pylist(), like)
+        tokens = _token_arrays(table.column("tokens"))
+        sizes = np.array([len(t) for t in tokens])
+        links = _spanning(_similarity(tokens), sizes, table.column("node").to_pylist(), like)
         a, b = zip(*links) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # at most two blocks meet in a group, and their number and tokens are bounded
-    return (
-        sent.join(sets.select("node", "tokens"), "node")
-        .select("crowd", "x", "y", "node", "tokens")
-        .groupBy("crowd", "x", "y")
-        .applyInArrow(compare, "a bigint, b bigint")
-    )
+    either = F.explode(F.array_distinct(F.array("x", "y"))).alias("block")
+    sent = pairs.select("x", "y", either).join(blocks, "block").join(sets.select("node", "tokens"), "node")
+    later = sent.select("x", "y", "node", "tokens").groupBy("x", "y").applyInArrow(compare, "a bigint, b bigint")
+    return found.unionByName(later)
 
 
 def links(docs: DataFrame, found: DataFrame, like: Similarity, text: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import exact_dedup, ngram_join
 from marginalia.llm.components import components
@@ -42,6 +44,34 @@ def test_exact_copies_match_brute_force(spark, docs_of, prose, memory):
     assert sorted(map(tuple, got), key=order) == sorted(brute_copies(rows), key=order)
 
 
+@pytest.mark.parametrize("memory", [64 << 20, 2000])
+def test_one_content_in_every_batch(spark, docs_of, prose, monkeypatch, memory):
+    """Hot contents are merged by salt before they meet, and what meets is a small part of their groups."""
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 8)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = [(None if i % 7 == 0 else i // 2, ["hot text", "second  hot", "second hot", prose(i, 20)][i * 7919 % 4]) for i in range(3000)]
+        docs = docs_of(rows).repartition(5)
+        groups = exact_dedup.stored(exact_dedup.local_groups(docs.select("doc_id", "text")), "groups")
+        hot = exact_dedup._hot(groups)
+        per_h = {r.h: r["count"] for r in groups.groupBy("h").count().collect()}
+        assert len(hot) == 2 and all(per_h[h] > 400 and 20 <= salts <= 30 for h, salts in hot.items())
+        contents = groups.select("g", "h", exact_dedup.normalised(exact_dedup.F.col("row.text")).alias("content"), "n", "min_id")
+        roots = exact_dedup._merged(contents, hot).where("first").groupBy("h").count().collect()
+        assert all(r["count"] <= hot[r.h] for r in roots) and len(roots) == 2
+        got = exact_dedup.copies(docs, memory=memory).collect()
+        kept = exact_dedup.drop_copies(docs, memory=memory).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = brute_copies(rows)
+    digest = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2], r[4])
+    assert sorted(map(digest, got)) == sorted(map(digest, want))
+    # of rows that repeat the kept id one is kept, whichever
+    assert sorted(r.text_sha256 + str(r.doc_id) for r in got if r.kept) == sorted(r[4] + str(r[0]) for r in want if r[3])
+    assert kept == sum(r.kept for r in got) == len({r[4] for r in want})
+
+
 def test_exact_copies_keep_one_whole_row_each(spark):
     rows = [(3, "t", "c", "x"), (1, "t ", "a", "y"), (1, "t ", "b", "y"), (9, None, "d", "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, content string, h string")
@@ -84,7 +114,7 @@ def near_rows(prose):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_classes_match_brute_force(spark, docs_of, prose, monkeypatch, like, small):
     if small:  # small limits send the same rows through combinations, crowds and blocks
-        for name, value in (("FREQUENT", 3), ("PAIRED", 2), ("BLOCK_SETS", 16)):
+        for name, value in (("FREQUENT", 3), ("PAIRED", 2), ("BLOCK_SETS", 16), ("PIVOTS", 4), ("HEAVY_SHARE", 20)):
             monkeypatch.setattr(ngram_join, name, value)
     rows = near_rows(prose)
     got = ngram_join.classes(docs_of(rows).repartition(3), Similarity(*like)).collect()
@@ -106,6 +136,65 @@ def test_ngram_rows_that_repeat_or_lack_an_id(spark, docs_of, prose):
     assert ngram_join.drop_similar(clash, Similarity(3, 90, 100)).columns == clash.columns
 
 
+def test_a_large_crowd_is_compared_in_proportion_to_its_size(spark, monkeypatch):
+    """20,000 sets under common entries: a class of most of them, smaller classes, and sets that are alone."""
+    n, size, rng = 20_000, 60, np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, (8, size), dtype=np.uint64)
+    kind = np.where(np.arange(n) < n - 600, 0, np.arange(n) % 8)
+    rows = []
+    for i in range(n):
+        tokens = base[kind[i]].copy()
+        edits = 2 if i < n - 40 else 30  # the last are far from all others
+        tokens[rng.choice(size, edits, replace=False)] = rng.integers(0, 1 << 62, edits, dtype=np.uint64)
+        rows.append((i, size, 1, np.sort(tokens).tobytes()))
+    sets = exact_dedup.stored(spark.createDataFrame(rows, "node bigint, n bigint, band int, tokens binary"), "sets")
+    like, real, seen = Similarity(3, 90, 100), ngram_join._blocks_apart, {}
+    # sets of a class share 56 of 60 tokens or more: 100 * 56 / 64 is less than 90, so neighbours may be linked by way of others only
+    crowds = sets.select("node", F.lit(0).cast("bigint").alias("crowd"))
+
+    def watched(located, like):
+        blocks, pairs = real(located, like)
+        met = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(blocks, "block")
+        seen.update(later=met.count(), labels=located.select("label").distinct().count())
+        return blocks, pairs
+
+    monkeypatch.setattr(ngram_join, "_blocks_apart", watched)
+    links = [tuple(r) for r in ngram_join._links_of_crowds(crowds, sets, like).collect()]
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    own = [frozenset(np.frombuffer(t, np.uint64).tolist()) for *_, t in rows]
+    where = {}
+    for i, tokens in enumerate(own):
+        for t in tokens:
+            where.setdefault(t, []).append(i)
+    want = list(range(n))
+
+    def top(i):
+        while want[i] != i:
+            want[i] = i = want[want[i]]
+        return i
+
+    # brute force by class: all pairs of the small ones, and each of the large one with 3,000 others
+    for k in range(8):
+        members = [i for i in range(n) if kind[i] == k]
+        for at, i in enumerate(members):
+            for j in members[:at] if len(members) < 1000 else rng.choice(members, 30):
+                if like.linked(len(own[i] & own[j]), size, size):
+                    want[top(i)] = top(int(j))
+    for i in range(n):
+        assert find(i) == find(top(i))
+    assert all(like.linked(len(own[a] & own[b]), size, size) for a, b in links)
+    assert seen["later"] <= 4 * n  # each member to each block of the crowd would be 157 * n
+    assert len(links) < 6 * n
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (90, 91), (91, 90)]
