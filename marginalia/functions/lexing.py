@@ -12,8 +12,8 @@ Two views of a file are offered, both as plain column expressions:
 
 Everything stays inside the row of the file, so neither view shuffles. Block
 comments of the nesting languages are matched up to ``NEST_LIMIT`` levels; a file
-with more openings than that is recognised by ``too_deep`` and lexed by the exact
-fallback in ``operators.deep_nesting``.
+with more openings than that is recognised by ``too_deep`` and lexed by
+``operators.deep_nesting``, which knows no limit.
 """
 
 from __future__ import annotations

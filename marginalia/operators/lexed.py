@@ -1,8 +1,8 @@
 """Lexing a table of files: the columns every other operator starts from.
 
-Files whose block comments may nest deeper than the patterns reach are lexed by a column
-function of their own, whose argument is NULL for every other file. So there is one plan for
-all files, each is read once, and only such texts leave the JVM.
+Files whose block comments may nest deeper than the patterns reach are lexed by an expression
+of their own, which is not evaluated for any other file. So there is one plan for
+all files, each is read once, and no text leaves the JVM.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexing
 from ..functions.langs import family_of
-from .deep_nesting import nested_lexer
+from .deep_nesting import nested_tokens
 
 _TOKENS = "__tokens"
 MARKED = "__marked"
@@ -21,8 +21,7 @@ MARKED = "__marked"
 def _lex(files: DataFrame, content: str, output: str, by_pattern, by_tokens, tail: str = "") -> DataFrame:
     files = settled(files, content)
     text, family = F.col(content), family_of(F.col("ext"))
-    deep = F.when(lexing.too_deep(text, family), text)
-    tokens = nested_lexer(tail)(deep, F.when(deep.isNotNull(), family))
+    tokens = F.when(lexing.too_deep(text, family), nested_tokens(text, family, tail))
     exact = F.when(F.col(_TOKENS).isNotNull(), by_tokens(F.col(_TOKENS), family))
     return (
         files.withColumn(_TOKENS, tokens)

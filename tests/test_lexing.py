@@ -134,3 +134,81 @@ def test_very_many_comments_in_one_file(spark):
     files = spark.createDataFrame([("a.js", ".js", text)], "path string, ext string, content string")
     last = lines.comments(files).orderBy(F.desc("seq")).first()
     assert (last.seq, last.line_no, last.col, last.text) == (n - 1, n, len(f"x{n - 1}(); "), f"// {n - 1}")
+
+
+# -- comments nested to any depth ---------------------------------------------------------
+# What can begin outside a comment, for the two nesting families.
+_STARTS = {
+    "swift": re.compile(
+        r"""(?sx) (?P<line> //[^\n]*+ ) | (?P<open> /\* )
+        | (?P<string> "(?:\\[^\n]|[^"\\\n])*+(?:"|\\?(?=\n|\Z))
+                    | '(?:\\[^\n]|[^'\\\n])*+(?:'|\\?(?=\n|\Z))
+                    | `(?:\\.|[^`\\])*+(?:`|\\?\Z) )
+        | (?P<code> (?: [^/\\"'`] | /(?![/*]) | \\[\\"'`]? )++ )"""
+    ),
+    "rust": re.compile(
+        r"""(?sx) (?P<line> //[^\n]*+ ) | (?P<open> /\* )
+        | (?P<string> "(?:\\.|[^"\\])*+(?:"|\\?\Z)
+                    | '(?:\\.|[^'\\])*+(?:'|\\?\Z)
+                    | `(?:\\.|[^`\\])*+(?:`|\\?\Z) )
+        | (?P<code> (?: [^/\\"'`] | /(?![/*]) | \\[\\"'`]? )++ )"""
+    ),
+}
+_EDGE = re.compile(r"/\*|\*/")
+
+
+def nested_tokens(text: str, family: str) -> list[str]:
+    """Tokens of one text, match by match; block comments nest to any depth."""
+    out, at = [], 0
+    while at < len(text):
+        match = _STARTS[family].match(text, at)
+        end = match.end()
+        if match.lastgroup == "open":
+            depth = 1
+            while depth:
+                edge = _EDGE.search(text, end)
+                if edge is None:
+                    end = len(text)
+                    break
+                depth += 1 if edge.group() == "/*" else -1
+                end = edge.end()
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def deep_texts():
+    rng = random.Random(5)
+    pieces = ["/*"] * 12 + ["*/"] * 10 + ["/", "*", '"', "'", "`", "\\", "//", "\n", "a b ", " x", "*/*", "/*/", "\ufdd0\ufdd1", "\r\n"]
+    for kind in range(150):
+        if kind % 3 == 0:
+            yield "".join(rng.choice(pieces) for _ in range(rng.randrange(400)))
+        elif kind % 3 == 1:
+            text = ""
+            for _ in range(rng.randrange(1, 4)):
+                d = rng.choice([3, 47, 48, 49, 50, 60, 120])
+                text += rng.choice(['x = "/* no";\n', "'a' ", "`t\n/*` ", "// /* l\n", "y ", ""]) + "/* i " * d
+                text += rng.choice(['"', "'q", "", "//"]) + " */" * rng.choice([d, d, d, d - 1]) + rng.choice([" z()", " // c\n", '"s"'])
+            yield text
+        else:
+            yield "/*" * rng.randrange(200) + "*/" * rng.randrange(200) + ' a "/*" */ b'
+
+
+def test_nested_comments_of_any_depth(spark):
+    from marginalia.operators.deep_nesting import nested_tokens as in_the_plan
+
+    rows = spark.createDataFrame([(t, f) for t in deep_texts() for f in ("swift", "rust")], "t string, f string").repartition(4)
+    for tail in ("", "\n"):
+        for r in rows.select("t", "f", in_the_plan(F.col("t"), F.col("f"), tail).alias("got")).collect():
+            assert r.got == nested_tokens(r.t.replace("\r\n", "\n") + tail, r.f), (r.f, r.t)
+
+
+def test_no_text_leaves_the_jvm(spark, files_of):
+    from marginalia.operators import lines, metrics, strip
+
+    files = files_of([("a.rs", ".rs", "x /* " + "/* " * 90 + "*/ " * 90 + "*/ y // z"), ("b.js", ".js", "a // b")])
+    for out in (strip.prune(files), strip.prune(files, policy="strict"), strip.clean(files), lines.comments(files), metrics.density(files)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    got = {r.path: r.content for r in strip.prune(files, policy="strict").collect()}
+    assert got == {"a.rs": "x  y", "b.js": "a"}
