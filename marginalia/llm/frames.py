@@ -50,6 +50,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Tasks over which small rows that stand for much work are dealt, at most.
+MOST_TASKS = 1 << 16
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, few bytes each that stand for much to read, over as many tasks as there are rows (at most ``MOST_TASKS``).
+
+    The number is stated because the engine merges partitions by their bytes where it is not, and would
+    leave all reading to a few tasks.
+    """
+    return rows.repartition(min(max(rows.count(), 1), MOST_TASKS))
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that hangs on ``seed`` and the keys alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") * F.lit(2.0**-53)

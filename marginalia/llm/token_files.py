@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import file_system, stored
+from .frames import dealt, file_system, stored
 
 #: Bytes of a block; a multiple of every width.
 BLOCK = 1 << 22
@@ -84,7 +84,7 @@ def blocks(spark: SparkSession, folder: str, separator: int, width: int, block:
                 )
 
     # a block is megabytes to read and a row to send, so blocks are dealt evenly over tasks
-    return cut.repartition("file", "block").mapInArrow(scan, _BLOCKS)
+    return dealt(cut).mapInArrow(scan, _BLOCKS)
 
 
 def _carried(found: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import file_system, spread_join, stored
+from .frames import dealt, file_system, spread_join, stored
 
 #: Bytes of members that are written as one row of the text writer, and of a range of the reader.
 PIECE, RANGE = 1 << 22, 1 << 24
@@ -315,7 +315,7 @@ def read_archives(spark: SparkSession, folder: str, size: int = RANGE) -> DataFr
                 if rows:
                     yield some(rows)
 
-    return ranges.repartition("file", "range").mapInArrow(run, _RECORDS)
+    return dealt(ranges).mapInArrow(run, _RECORDS)
 
 
 def outermost(records: DataFrame, size: int = RANGE) -> DataFrame:
