@@ -609,8 +609,8 @@ def stream_density(spark, d):
     source = revisions.revision_stream(spark, _revision_files(spark, d), max_files=2)
     out = shared_folder(spark, "density")
     checkpoint = shared_folder(spark, "density-checkpoint")
-    revisions.drain(revisions.density_stream(source), out, checkpoint, "update")
-    return revisions.latest(spark, out, "day", "ext")
+    revisions.drain_merged(revisions.density_stream(source), out, checkpoint, "day", "ext")
+    return revisions.merged(spark, out)
 
 
 def _stripped_stream(spark, d, mode):

@@ -32,6 +32,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of Spark's file systems, if it is there."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers behind ``prefix`` in the names of what is in a folder; none if there is no folder."""
+    if not exists(spark, folder):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    names = [status.getPath().getName() for status in listed]
+    return [int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+
+
 # Names by which Spark knows stores that Arrow opens under another one.
 _SCHEMES = {"s3a": "s3", "s3n": "s3"}
 

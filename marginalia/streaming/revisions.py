@@ -21,7 +21,7 @@ from ..operators.changes import code_digests, with_previous
 from ..operators.metrics import line_counts, ratio
 from ..operators.strip import clean, prune
 from ..sources.files import REVISIONS_SCHEMA
-from ..sources.shared import exists
+from ..sources.shared import exists, numbered, remove
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -225,7 +225,7 @@ def density_stream(revisions: DataFrame, watermark: str = "30 days", width: str
     """Comment density of the revisions per tumbling window of commit time and language.
 
     Windows older than the watermark leave the state. Written in update mode, so a batch puts out
-    the windows it changed and no others (see ``drain`` and ``latest``).
+    the windows it changed and no others (see ``drain_merged`` and ``merged``).
     """
     counted = line_counts(revisions.withWatermark("commit_ts", watermark))
     return (
@@ -269,7 +269,42 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
 
 def latest(spark: SparkSession, out: str, *keys: str) -> DataFrame:
     """What an update stream last said about each of its keys."""
-    rows = spark.read.parquet(out)
+    return _newest_of(spark.read.parquet(out), keys)
+
+
+def _newest_of(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*rest), "batch").alias("newest")
     return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*")
+
+
+def drain_merged(stream: DataFrame, out: str, checkpoint: str, *keys: str) -> StreamingQuery:
+    """Processes everything that is there in update mode and keeps one table of what was last said about each of ``keys`` in ``out``.
+
+    A micro-batch merges its rows into the table of the one before and writes the result as a table of its own, which
+    ``merged`` reads once it is whole. A batch that runs again starts from the same table. Older tables are
+    removed, so ``out`` holds two at most, however many micro-batches there have been; a reader has until the
+    end of the next but one. A batch rewrites the table, which is meant for rows by window and not by file.
+    """
+    spark = stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(1))
+        if number > 0:
+            before = spark.read.schema(batch.schema).parquet(f"{out}/batch={number - 1}")
+            rows = rows.unionByName(before.withColumn("batch", F.lit(0)))
+        _newest_of(rows, keys).select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        remove(spark, f"{out}/batch={number - 2}")
+
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    query = writer.outputMode("update").foreachBatch(put).start()
+    query.awaitTermination()
+    return query
+
+
+def merged(spark: SparkSession, out: str) -> DataFrame:
+    """The newest whole table that ``drain_merged`` has written."""
+    whole = [n for n in numbered(spark, out, "batch=") if exists(spark, f"{out}/batch={n}/_SUCCESS")]
+    if not whole:
+        raise FileNotFoundError(f"no table in {out}")
+    return spark.read.parquet(f"{out}/batch={max(whole)}")

@@ -294,3 +294,27 @@ def test_versions_are_whole(spark, files_of, tmp_path, monkeypatch):
         io.write_version(files_of([("e.js", ".js", "3")]), table)
     monkeypatch.undo()
     assert whole() == {"a.js": "1", "b.py": "2", "c.js": "2", "n.js": None}
+
+
+def test_merged_table_does_not_grow_with_micro_batches(spark, tmp_path):
+    schema = "path string, ext string, commit_id bigint, commit_ts timestamp, message string, content string"
+    day = dt.datetime(2024, 5, 1, 12)
+    arriving, out, work = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "work")
+    with pytest.raises(FileNotFoundError):
+        revisions.merged(spark, out)
+    rows, sizes = [], []
+    for i in range(7):
+        new = [(f"f{i}.js", ".js", i, day, "m", "a(); // b\n"), (f"f{i}.py", ".py", i, day + dt.timedelta(days=i % 3), "m", "# c\nd()")]
+        rows += new
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(arriving)
+        stream = revisions.revision_stream(spark, arriving, max_files=1)
+        revisions.drain_merged(revisions.density_stream(stream), out, work, "day", "ext")
+        got = {(str(r.day), r.ext): (r.n_files, r.n_comment, r.n_code) for r in revisions.merged(spark, out).collect()}
+        batch = revisions.density_stream(spark.createDataFrame(rows, schema)).collect()
+        assert got == {(str(r.day), r.ext): (r.n_files, r.n_comment, r.n_code) for r in batch}
+        sizes.append(len(list((tmp_path / "out").iterdir())))
+    assert max(sizes) <= 2
+    # what a writer left unfinished is not read
+    last = max(int(p.name.rpartition("=")[2]) for p in (tmp_path / "out").iterdir())
+    (tmp_path / f"out/batch={last + 1}").mkdir()
+    assert {(str(r.day), r.ext) for r in revisions.merged(spark, out).collect()} == set(got)
