@@ -1,10 +1,14 @@
 """Registered queries against DuckDB or brute force on the smallest data set, and the pipeline."""
 
+import hashlib
 import math
+import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -20,6 +24,10 @@ SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "labels", "conversations", "embeddings")
 
 
+def sha256(data):
+    return hashlib.sha256(data).hexdigest()
+
+
 def texts(frame):
     return {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
 
@@ -44,6 +52,64 @@ def test_token_counts_and_ids_of_all_documents(spark):
     assert sorted(r.n_tokens for r in counts) == sorted(map(len, ids.values()))
     encoded = QUERIES["op10_byte_bpe"](spark, SF_DIR).collect()
     assert {r.doc_id: r.n_tokens for r in encoded} == {i: len(x) for i, x in ids.items()}
+    assert {r.doc_id: r.ids_sha256 for r in encoded} == {i: sha256(np.array(x, "<u4").tobytes()) for i, x in ids.items()}
+    assert {r.doc_id: r.decoded_sha256 for r in encoded} == {i: sha256((t or "").encode()) for i, t in docs.items()}
+
+
+def test_each_document_has_the_copies_that_its_draws_say(spark):
+    docs = table(spark, SF_DIR, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()
+    sizes = Counter()
+    for r in docs:
+        sizes[r.source if r.source in SHARES else None] += r.n
+    share = {g: SHARES.get(g, OTHER_SHARES) for g, n in sizes.items() if n}
+    want = {}
+    for r in docs:
+        group = r.source if r.source in SHARES else None
+        rate = share[group] / sum(share.values()) * sum(sizes.values()) / sizes[group]
+        parts, copies = max(math.ceil(rate / 16), 1), 0
+        for part in range(1, parts + 1):
+            h = 42
+            for key in (struct.pack("<i", 9), struct.pack("<i", part), struct.pack("<q", r.doc_id)):
+                h = xxhash.xxh64_intdigest(key, h)
+            u, k, p = (h >> 11) * 2.0**-53, 0, math.exp(-rate / parts)
+            below = p
+            while below <= u:
+                k += 1
+                p *= rate / parts / k
+                below += p
+            copies += k
+        if copies:
+            want[r.doc_id] = list(range(1, copies + 1))
+    got = {}
+    for r in QUERIES["op9_mixing"](spark, SF_DIR).select("doc_id", "copy").collect():
+        got.setdefault(r.doc_id, []).append(r.copy)
+    assert {i: sorted(c) for i, c in got.items()} == want
+
+
+def test_fingerprints_of_all_documents(spark):
+    docs = sorted((i, t or "") for i, t in texts(table(spark, SF_DIR, "documents")).items())
+    rows = {r.doc_id: r for r in QUERIES["op7_fingerprints"](spark, SF_DIR).collect()}
+    assert list(sorted(rows)) == [i for i, _ in docs]
+
+    def agree(a, b):
+        cut = lambda x: [x[k : k + 8] for k in range(0, len(x), 8)]
+        return np.mean([x == y for x, y in zip(cut(a), cut(b))])
+
+    def likeness(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return sum((a & b).values()) / max(sum((a | b).values()), 1)
+
+    off = []
+    for at, (i, text) in enumerate(docs):
+        following, behind = docs[(at + 1) % len(docs)]
+        take = len(text) // 4
+        edited, r = text[: len(text) - take] + behind[:take], rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), sha256(edited.encode()))
+        assert r.near_edited == pytest.approx(agree(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(agree(r.fingerprint, rows[following].fingerprint))
+        if text.split():
+            off += [r.near_edited - likeness(text, edited), r.near_next - likeness(text, behind)]
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.08
 
 
 @pytest.mark.parametrize("name", ["op4_quality", "op8_toxicity"])
