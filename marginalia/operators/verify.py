@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing
 from ..functions.text import TAG, is_blank
 from .lexed import MARKED, settled, with_gaps, with_marked
 from .lines import is_pure_comment, line_array, starts_in_string
+from .reduction import key_bitmaps, possibly_in, with_possibly_in
 from .splice import rebuilt, splice, splice_merged
 from .strip import clean, stripped_array
 from .windows import lag_in_buckets
 
 
-def verify_lines(before: DataFrame, out_lines: DataFrame, mode: str = "splice", tag: str = TAG) -> DataFrame:
-    """violations(path, out_line, orig_line, text, source): surviving lines that changed.
-
-    With mode prune or clean a line may also equal its source with the comment cut. Keyed
-    by (path, line), so no single file makes a large group.
-    """
+def _source_lines(before: DataFrame, mode: str, tag: str) -> DataFrame:
+    """(path, orig_line, source, cut): lines of the originals, and what stripping makes of each."""
     text = F.col("content")
     if mode == "splice":
         source = F.transform(F.split(text, r"\r?\n"), lambda t: F.struct(t.alias("source"), t.alias("cut")))
@@ -31,16 +28,44 @@ def verify_lines(before: DataFrame, out_lines: DataFrame, mode: str = "splice",
             F.split(text, r"\r?\n"), cut, lambda t, c: F.struct(t.alias("source"), c.alias("cut"))
         )
         lines = lexed.select("path", F.posexplode(source).alias("pos", "s"))
-    lines = lines.select("path", (F.col("pos") + 1).alias("orig_line"), "s.source", "s.cut")
-    survivors = out_lines.where(F.col("orig_line").isNotNull())
-    unchanged = F.coalesce(
-        (F.col("text") == F.col("source")) | (F.col("text") == F.coalesce("cut", "source")), F.lit(False)
-    )
-    return (
-        survivors.join(lines, ["path", "orig_line"], "left")
-        .where(~unchanged)
-        .select("path", "out_line", "orig_line", "text", "source")
-    )
+    return lines.select("path", (F.col("pos") + 1).alias("orig_line"), "s.source", "s.cut")
+
+
+def _unlike(survivors: DataFrame, lines: DataFrame, text: str, source: str, cut: str) -> DataFrame:
+    """Survivors, beside their original lines, that equal neither these nor what stripping makes of them."""
+    unchanged = (F.col(text) == F.col(source)) | (F.col(text) == F.coalesce(cut, source))
+    return survivors.join(lines, ["path", "orig_line"], "left").where(~F.coalesce(unchanged, F.lit(False)))
+
+
+def verify_lines(before: DataFrame, out_lines: DataFrame, mode: str = "splice", tag: str = TAG) -> DataFrame:
+    """violations(path, out_line, orig_line, text, source): surviving lines that changed.
+
+    With mode prune or clean a line may also equal its source with the comment cut. Keyed
+    by (path, line), so no single file makes a large group. 64-bit digests of lines are compared
+    first. Then the texts of lines that are not alike are compared, and no others are shuffled; of files that have
+    none, which is what a run should give, nothing is read a second time.
+    """
+
+    def digest(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.xxhash64(name)).alias(name)
+
+    survivors = out_lines.where(F.col("orig_line").isNotNull()).select("path", "out_line", "orig_line", "text")
+    unlike = _unlike(
+        survivors.select("path", "orig_line", digest("text")),
+        _source_lines(before, mode, tag).select("path", "orig_line", digest("source"), digest("cut")),
+        "text", "source", "cut",
+    ).withColumn("orig_line", F.col("orig_line").cast("bigint"))
+    # one table of bitmaps for files and lines, so that it is made once
+    line = ["path", "orig_line"]
+    bitmaps = key_bitmaps(unlike, ["path"], line)
+
+    def reduced(lines: DataFrame) -> DataFrame:
+        return possibly_in(lines.withColumn("orig_line", F.col("orig_line").cast("bigint")), bitmaps, line)
+
+    named = possibly_in(before, bitmaps, ["path"])
+    found = _unlike(reduced(survivors), reduced(_source_lines(named, mode, tag)), "text", "source", "cut")
+    orig_line = F.col("orig_line").cast(out_lines.schema["orig_line"].dataType).alias("orig_line")
+    return found.select("path", "out_line", orig_line, "text", "source")
 
 
 def verify_order(out_lines: DataFrame, chunk: int = 4096) -> DataFrame:
@@ -57,9 +82,15 @@ def verify_order(out_lines: DataFrame, chunk: int = 4096) -> DataFrame:
 
 
 def flag_violations(files: DataFrame, violations: DataFrame, flag: str = "bad") -> DataFrame:
-    """Files with a column that says whether any violation names them; one pass over both."""
-    bad = violations.select("path").distinct().withColumn(flag, F.lit(True))
-    return files.join(bad, "path", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    """Files with a column that says whether any violation names them.
+
+    Files that none names stay where they are; only the others are joined.
+    """
+    bad = violations.select("path").distinct()
+    told = with_possibly_in(files, key_bitmaps(bad, ["path"]), ["path"], flag)
+    named = told.where(flag).join(bad.withColumn("__named", F.lit(True)), "path", "left")
+    named = named.withColumn(flag, F.coalesce("__named", F.lit(False)))
+    return told.where(~F.col(flag)).unionByName(named.select(*told.columns))
 
 
 def quarantine(files: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,19 +143,42 @@ def lost_code(files: DataFrame, tag: str | None = None) -> DataFrame:
     )
 
 
-def payload_audit(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
-    """(path, out_line, text): inserted lines that are not comment in the file's language."""
-    # a file that no suggestion names has no inserted line
-    merged = settled(splice_merged(files, suggestions, tag, only_asked=True), "merged")
+def _audited(files: DataFrame, suggestions: DataFrame, tag: str, only_asked: bool) -> DataFrame:
+    """Files with ``found`` ARRAY<STRUCT<out_line, text>>: inserted lines that are not comment in the file's language."""
+    merged = settled(splice_merged(files, suggestions, tag, only_asked), "merged")
+    # a file without inserted lines has no wrong ones and is not lexed again
+    inserted = F.exists("merged", lambda x: x["orig_line"].isNull())
     merged = merged.withColumn("__new", rebuilt(F.col("merged"), F.col("content")))
-    lexed = with_marked(merged.select("path", "ext", "merged", "__new"), "__new")
+    lexed = with_marked(merged, "__new", when=inserted)
     lines = F.arrays_zip(
         F.col("merged").alias("out"), line_array(F.col("__new"), F.col(MARKED)).alias("line")
     )
-    out, line = F.col("z.out"), F.col("z.line")
-    return (
-        lexed.select("path", F.posexplode(lines).alias("pos", "z"))
-        .where(out.isNotNull() & out["orig_line"].isNull())
-        .where(~is_pure_comment(line["text"], line["m"]))
-        .select("path", (F.col("pos") + 1).alias("out_line"), out["text"].alias("text"))
+    numbered = F.transform(
+        lines,
+        lambda z, i: F.struct(
+            (i + 1).alias("out_line"), z["out"].alias("out"), z["line"].alias("line")
+        ),
     )
+
+    def wrong(n: Column) -> Column:
+        new = n["out"].isNotNull() & n["out"]["orig_line"].isNull()
+        return new & ~is_pure_comment(n["line"]["text"], n["line"]["m"])
+
+    found = F.transform(
+        F.filter(numbered, wrong), lambda n: F.struct(n["out_line"].alias("out_line"), n["out"]["text"].alias("text"))
+    )
+    return lexed.withColumn("found", F.when(inserted, found)).drop(MARKED, "__new", "merged")
+
+
+def payload_audit(files: DataFrame, suggestions: DataFrame, tag: str = TAG) -> DataFrame:
+    """(path, out_line, text): inserted lines that are not comment in the file's language."""
+    # a file that no suggestion names has no inserted line
+    audited = _audited(files, suggestions, tag, only_asked=True)
+    return audited.select("path", F.explode("found").alias("f")).select("path", "f.out_line", "f.text")
+
+
+def audit_flags(files: DataFrame, suggestions: DataFrame, tag: str = TAG, flag: str = "bad") -> DataFrame:
+    """Files with a column that says whether ``payload_audit`` would name them. It is found in the file's row, so
+    nothing but the suggestions is joined."""
+    audited = _audited(files, suggestions, tag, only_asked=False)
+    return audited.withColumn(flag, F.coalesce(F.size("found"), F.lit(0)) > 0).drop("found")

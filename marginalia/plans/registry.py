@@ -315,6 +315,13 @@ def payload_audit(spark, d):
 
 @query
 def quarantine(spark, d):
+    """Which files a run may not write, found in their rows."""
+    return verify.audit_flags(*_orders(spark, d)).select("path", "bad")
+
+
+@query
+def quarantine_join(spark, d):
+    """The same from the table of violations."""
     files, suggestions = _orders(spark, d)
     return verify.flag_violations(files, verify.payload_audit(files, suggestions)).select("path", "bad")
 

@@ -368,6 +368,7 @@ SELECT path, CAST(seq AS BIGINT) AS seq, text FROM x""",
 _SAFE = """(pure OR sib OR regexp_matches(trim(text), '^(//|/\\*|\\*|#|<!--|-->|--)') OR trim(text) LIKE '%*/')"""
 for _key in ("explicit_deletions", "refused_deletions"):
     ORACLES[_key] = ORACLES[_key].replace("{safe}", _SAFE)
+ORACLES["quarantine_join"] = ORACLES["quarantine"]
 ORACLES["stream_change_kind"] = ORACLES["change_kind"]
 ORACLES["stream_late"] = f"""WITH {_change_parts("commit_id % 3 <> 1")} SELECT * FROM changes
 UNION ALL SELECT path, ext, commit_id, commit_ts, message, 'late' FROM revs WHERE commit_id % 3 = 1"""
