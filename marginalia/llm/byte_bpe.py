@@ -158,6 +158,13 @@ def _batches(column: pa.Array, chars: int = 1 << 19) -> Iterator[list[str]]:
     yield run
 
 
+def _fits(encoder: Encoder, narrow: bool) -> Encoder:
+    """The encoder, if its ids can be put down in 16 bits where that is asked for."""
+    if narrow and len(encoder.size) > 1 << 16:
+        raise ValueError(f"ids up to {len(encoder.size) - 1} do not fit into 16 bits")
+    return encoder
+
+
 def _narrowed(ids: list[bytes]) -> list[bytes]:
     return [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
 
@@ -168,6 +175,7 @@ def encode(
     """Adds ``ids`` BINARY (little-endian unsigned 32-bit, ``narrow``: 16-bit) and ``n_tokens`` BIGINT
     and, if asked, ``offsets`` ARRAY<INT>: the character at which each id's piece begins.
 
+    A vocabulary with ids beyond 16 bits is refused where ``narrow`` is asked for.
     A null or empty text has no ids. Strings of special tokens are ordinary text. Rows stay as
     they are, repeated ones too; taken names get underscores behind them.
     """
@@ -176,7 +184,7 @@ def encode(
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = _fits(Encoder.of(path), narrow)
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(text)):
@@ -217,7 +225,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", narrow: bool = Fa
     schema = T.StructType([*rest.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = _fits(Encoder.of(path), narrow)
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(text)):

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import re
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -111,6 +112,15 @@ def test_ids_are_those_of_the_ranks_and_decode_back(spark, docs_of, prose, monke
     assert byte_bpe.encode(docs.limit(0), vocabulary_path()).count() == 0
 
 
+def test_ids_beyond_16_bits_are_not_narrowed():
+    encoder = SimpleNamespace(size=np.zeros((1 << 16) + 1))
+    with pytest.raises(ValueError, match="65536"):
+        byte_bpe._fits(encoder, narrow=True)
+    assert byte_bpe._fits(encoder, narrow=False) is encoder
+    encoder.size = encoder.size[1:]
+    assert byte_bpe._fits(encoder, narrow=True) is encoder
+
+
 def test_split_characters(spark):
     encoder = byte_bpe.Encoder(vocabulary_path())
     ids = encoder.encode(["🙂 日"])[0]
