@@ -297,9 +297,9 @@ FROM (SELECT *, CASE k % 4 WHEN 0 THEN '.java' WHEN 1 THEN '.php' WHEN 2 THEN '.
 
 # Prose read as if it were source, so quotes and slashes come as they come in text.
 DOCS_TEXT = """
-SELECT 'doc_' || CAST(doc_id AS STRING) || ext AS path, ext, text AS content
+SELECT 'doc_' || CAST(doc_id AS STRING) || ext AS path, ext, coalesce(text, '') AS content
 FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rb' WHEN 2 THEN '.php' ELSE '.scss' END AS ext
-  FROM documents WHERE text IS NOT NULL) AS a
+  FROM documents) AS a
 """
 
 # Answers of a clean run: deletions, and what is no deletion.

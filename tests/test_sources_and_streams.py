@@ -8,6 +8,7 @@ from marginalia.operators import metrics
 from marginalia.plans import annotate
 from marginalia.sources import files as io
 from marginalia.sources import ignore
+from marginalia.sources.corpora import corpus
 from marginalia.streaming import revisions
 
 
@@ -318,3 +319,10 @@ def test_merged_table_does_not_grow_with_micro_batches(spark, tmp_path):
     last = max(int(p.name.rpartition("=")[2]) for p in (tmp_path / "out").iterdir())
     (tmp_path / f"out/batch={last + 1}").mkdir()
     assert {(str(r.day), r.ext) for r in revisions.merged(spark, out).collect()} == set(got)
+
+
+def test_prose_without_text_is_an_empty_file(spark, tmp_path):
+    rows = [(4, None), (5, ""), (6, "// a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus(spark, str(tmp_path), "docs_text").collect()
+    assert sorted((r.path, r.content) for r in found) == [("doc_4.py", ""), ("doc_5.rb", ""), ("doc_6.php", "// a")]
