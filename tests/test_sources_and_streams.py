@@ -149,6 +149,22 @@ def test_a_hot_path_is_spread_over_tasks(spark, tmp_path):
     assert "__slot" in plan and "__group" in plan
 
 
+def test_what_is_known_of_paths_is_not_broadcast(spark):
+    """There may be as many paths as rows, and compressed files tell little of their size."""
+    rows = spark.createDataFrame(
+        [("p", ".js", 1, dt.datetime(2024, 1, 1), "m", "d", False)],
+        "path string, ext string, commit_id bigint, commit_ts timestamp, message string, digest string, is_empty boolean",
+    )
+    known = spark.createDataFrame([("p", None, None, True)], revisions._NEWEST)
+    plan = revisions._kinds(revisions._in_order(rows), known, None)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_files_made_of_a_small_table_are_spread_over_tasks(spark):
+    """20,000 rows of one small file are files that two tasks lex."""
+    assert corpus(spark, "/root/testdata/sf0.1", "src_part").rdd.getNumPartitions() == 2
+
+
 def test_only_what_is_looked_at_is_opened(spark, tree):
     """Paths are filtered before any file is opened, and no content is shuffled."""
     (tree / "a" / "dist").mkdir()
