@@ -2,7 +2,7 @@
 
 import random
 
-from marginalia.operators import strip, verify
+from marginalia.operators import reduction, strip, verify
 from marginalia.operators.reduction import key_bitmaps, possibly_in, with_possibly_in
 
 FILES = "path string, ext string, content string"
@@ -100,3 +100,15 @@ def test_reduction_loses_no_partner(spark):
     none = key_bitmaps(rows.limit(0), ["p", "n"])
     assert possibly_in(rows, none, ["p", "n"]).count() == 0
     assert with_possibly_in(rows, none, ["p", "n"], "may").where("may").count() == 0
+
+
+def test_lines_that_come_through_the_bitmaps_by_chance(spark, monkeypatch):
+    """With one small bitmap many lines of good files are taken for violations at first, and their files are not."""
+    monkeypatch.setattr(reduction, "BITMAPS", 1)
+    n = 3000
+    files = spark.range(2 * n).selectExpr("concat('f', id) AS path", "'.js' AS ext", "repeat('a\\n', 10) AS content")
+    lines = files.selectExpr("path", "posexplode(split(content, '\\n')) AS (pos, text)")
+    bad = "pos = 3 AND int(substr(path, 2)) % 2 = 0"
+    out = lines.selectExpr("path", "pos + 1 AS out_line", "pos + 1 AS orig_line", f"CASE WHEN {bad} THEN 'b' ELSE text END AS text")
+    found = verify.verify_lines(files, out).collect()
+    assert len(found) == n and {(r.orig_line, r.text, r.source) for r in found} == {(4, "b", "a")}
