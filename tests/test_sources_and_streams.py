@@ -342,3 +342,14 @@ def test_prose_without_text_is_an_empty_file(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = corpus(spark, str(tmp_path), "docs_text").collect()
     assert sorted((r.path, r.content) for r in found) == [("doc_4.py", ""), ("doc_5.rb", ""), ("doc_6.php", "// a")]
+
+
+def test_rows_of_a_micro_batch_are_dealt_over_tasks(spark, tmp_path):
+    rows = corpus(spark, "/root/testdata/sf0.001", "rev_part").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = revisions.revision_stream(spark, str(tmp_path / "in"), max_files=2, tasks=3)
+    seen = []
+    stripped = revisions.strip_stream(stream, "prune").writeStream.trigger(availableNow=True)
+    count = lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count()))
+    stripped.option("checkpointLocation", str(tmp_path / "work")).foreachBatch(count).start().awaitTermination()
+    assert seen == [(3, rows.count())]
