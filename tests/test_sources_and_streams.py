@@ -353,3 +353,23 @@ def test_rows_of_a_micro_batch_are_dealt_over_tasks(spark, tmp_path):
     count = lambda batch, _: seen.append((batch.rdd.getNumPartitions(), batch.count()))
     stripped.option("checkpointLocation", str(tmp_path / "work")).foreachBatch(count).start().awaitTermination()
     assert seen == [(3, rows.count())]
+
+
+def test_a_tree_of_many_small_files_is_listed_by_tasks_and_read_by_few(spark, tmp_path):
+    for i in range(600):
+        at = tmp_path / "a" / f"f{i % 7}" / ("deep/er" if i % 5 == 0 else "")
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"x{i}.py").write_text(f"a{i}")
+    for name in (".git/x.py", "_old/x.py", "f0/_x.py", "f0/.x.py", "f0/x.txt", "_k=v/y.PY", "f0/_metadata.py", "f 1/é%20.py"):
+        at = tmp_path / "a" / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text("b")
+    (tmp_path / "a" / "empty").mkdir()
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", io.ACCEPTED_GLOB)
+    listed = io.list_files(spark, str(tmp_path / "a"))
+    told = sorted((r["path"], r["length"]) for r in listed.collect())
+    assert told == sorted((r["path"], r["length"]) for r in reader.load(str(tmp_path / "a")).select("path", "length").collect())
+    assert len(told) == 602
+    assert io.with_contents(listed).rdd.getNumPartitions() == 1  # 32 files a task before
+    one = io.list_files(spark, str(tmp_path / "a" / "f1" / "x1.py")).collect()
+    assert [(r["path"], r["ext"]) for r in one] == [(f"file:{tmp_path}/a/f1/x1.py", ".py")]
