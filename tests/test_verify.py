@@ -2,7 +2,7 @@
 
 import random
 
-from marginalia.operators import reduction, strip, verify
+from marginalia.operators import reduction, splice, strip, verify
 from marginalia.operators.reduction import key_bitmaps, possibly_in, with_possibly_in
 
 FILES = "path string, ext string, content string"
@@ -86,6 +86,16 @@ def test_flags_of_files_in_the_row_and_by_join(spark):
     assert [r.path for r in bad.collect()] == ["bad"] and good.count() == 3
 
 
+def test_no_filter_repeats_the_audit_or_the_merge(spark):
+    files = spark.createDataFrame([("a", ".py", "x = 1")], FILES)
+    suggestions = spark.createDataFrame([("a", 0, 1, "# a\nboom()")], "path string, idx bigint, line bigint, comment string")
+    for rows in (verify.payload_audit(files, suggestions), splice.spliced_lines(files, suggestions)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert any("zip_with(" in line for line in plan)
+        assert not [line for line in plan if "Filter" in line and "zip_with(" in line]
+    assert [r.text for r in verify.payload_audit(files, suggestions).collect()] == ["boom()"]
+
+
 def test_reduction_loses_no_partner(spark):
     rng = random.Random(9)
     left = [(rng.choice(["a", "b", None]), rng.choice([None, *range(500)])) for _ in range(2000)]
