@@ -212,3 +212,31 @@ def test_no_text_leaves_the_jvm(spark, files_of):
         assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     got = {r.path: r.content for r in strip.prune(files, policy="strict").collect()}
     assert got == {"a.rs": "x  y", "b.js": "a"}
+
+
+def test_files_that_are_not_lexed_have_no_string_over_lines(spark):
+    rng = random.Random(31)
+    pieces = ['"', '"a"', "'", "`", "\\", "/*", "*/", "//", "#", "<!--", "-->", "\n", "\n", "x ", 'R"(', ")", '"""', '""', "/", "\r\n"]
+    texts = {"".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(1500)}
+    texts |= {"".join(rng.choice(['"u#//h" ', "x\n", "# c\n", "// d\n", "/* e\n */\n", '"f"']) for _ in range(8)) for _ in range(100)}
+    families = sorted({family for _, family, _ in LANGUAGES})
+    rows = spark.createDataFrame([(t, f) for t in texts for f in families], "t string, f string").repartition(4)
+    marked = F.split(lexing.marked_text(F.col("t"), F.col("f")), "\n")
+    found = rows.select(
+        "t", "f", lexing.strings_may_cross(F.col("t"), F.col("f")).alias("may"),
+        F.exists(marked, lambda m: F.startswith(m, F.lit(lexing.IN_STRING))).alias("does"),
+    ).collect()
+    assert [(r.f, r.t) for r in found if r.does and not r.may] == []
+    assert sum(not r.may for r in found) > 1000 and sum(r.does for r in found) > 1000
+
+
+def test_comments_are_marked_without_looking_at_each_segment(spark):
+    """Line ends inside block comments, next to each other and to line comments, at the beginning and at the end."""
+    rng = random.Random(37)
+    pieces = ["/* a\n b */", "/*\n\n*/", "// c\n", "/* d */", "x", "\n", "/* e\n", "*/", "\r\n", " "]
+    texts = {"".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)} | {"/*\n", "\n/*\n*/\n"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    family = F.lit("cstyle")
+    by_tokens = lexing.marked_from_tokens(lexing.tokens(F.concat("t", F.lit("\n")), family), family)
+    for r in rows.select("t", lexing.marked_text(F.col("t"), family).alias("got"), by_tokens.alias("want")).collect():
+        assert r.got == r.want, r.t
