@@ -2,7 +2,7 @@
 
 import random
 
-from marginalia.operators import reduction, splice, strip, verify
+from marginalia.operators import lines, reduction, splice, strip, verify
 from marginalia.operators.reduction import key_bitmaps, possibly_in, with_possibly_in
 
 FILES = "path string, ext string, content string"
@@ -122,3 +122,19 @@ def test_lines_that_come_through_the_bitmaps_by_chance(spark, monkeypatch):
     out = lines.selectExpr("path", "pos + 1 AS out_line", "pos + 1 AS orig_line", f"CASE WHEN {bad} THEN 'b' ELSE text END AS text")
     found = verify.verify_lines(files, out).collect()
     assert len(found) == n and {(r.orig_line, r.text, r.source) for r in found} == {(4, "b", "a")}
+
+
+def test_audit_agrees_with_the_lines_of_the_new_text(spark):
+    """Also where an inserted line ends with a CR, which is part of its line end in the new text."""
+    bodies = ["// a", "/*\r\r\n b\r\r\n*/", "x()\r\r\ny()", "# c", "/* d\n\n*/ e()", "/* f", "// g\r\r\n// h"]
+    cases = [(f"{i}{ext}{len(eol)}", ext, f"a();{eol}  b = '{eol}';", body)
+             for i, body in enumerate(bodies) for ext in (".js", ".py", ".java") for eol in ("\n", "\r\n")]
+    files = spark.createDataFrame([c[:3] for c in cases], "path string, ext string, content string")
+    rows = [(c[0], 0, line, c[3]) for c in cases for line in (1, 2)]
+    suggestions = spark.createDataFrame(rows, "path string, idx bigint, line bigint, comment string")
+    state = lines.line_state(splice.splice(files, suggestions)).where("text IS NOT NULL AND NOT is_pure_comment")
+    new = splice.spliced_lines(files, suggestions).where("orig_line IS NULL").withColumnRenamed("out_line", "line_no")
+    want = {(r.path, r.line_no) for r in new.join(state, ["path", "line_no"]).collect()}
+    got = {(r.path, r.out_line) for r in verify.payload_audit(files, suggestions).collect()}
+    assert got == want and len(want) > 10
+    assert {r.path for r in verify.audit_flags(files, suggestions).where("bad").collect()} == {p for p, _ in want}
