@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from marginalia.plans.registry import QUERIES
-from marginalia.operators import changes, metrics, responses
+from marginalia.operators import changes, metrics, prompts, responses
 
 
 def envelope(provider, text):
@@ -139,3 +139,10 @@ def test_tables_are_read_once(spark):
     assert scans == 3
     scans, _, plan = scans_and_exchanges(QUERIES["insertable_suggestions"](spark, "/root/testdata/sf0.001"))
     assert scans == 3
+
+
+def test_the_text_of_a_prompt_is_made_once(spark, files_of):
+    built = prompts.build_prompts(files_of([("a.js", ".js", "x\ny")]))
+    plan = built.select("prompt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Suggest comments for the source file") <= 1
+    assert built.first().prompt.endswith("1: x\n2: y")
