@@ -25,6 +25,16 @@ def key_bitmaps(rows: DataFrame, *keys: Sequence[str]) -> DataFrame:
     )
 
 
+def made(bitmaps: DataFrame) -> DataFrame:
+    """The same bitmaps, made now and held by the driver, 4 MB at most.
+
+    A plan that meets them at several places has all that they are made of at each of these, and the driver
+    analyzes, optimizes and prints it each time.
+    """
+    rows, session = bitmaps._jdf, bitmaps.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(rows.collectAsList(), rows.schema()), session)
+
+
 def _met(rows: DataFrame, bitmaps: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     return rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(_slot(key)) == F.col("__bitmap"), how)
 

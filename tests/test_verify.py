@@ -71,6 +71,39 @@ def test_no_line_text_is_shuffled_unless_it_is_a_violation(spark):
     assert sizes and sum(sizes) < 2 * n * 100
 
 
+def test_lines_are_not_gathered_in_the_driver_nor_their_making_repeated(spark, monkeypatch):
+    """Files of a table of few bytes have many lines: the engine takes them for few, and would broadcast them."""
+    n, unlike, key_bitmaps = 3000, [], verify.key_bitmaps
+
+    def seen(rows, *keys):
+        unlike.append(rows)
+        return key_bitmaps(rows, *keys)
+
+    monkeypatch.setattr(verify, "key_bitmaps", seen)
+    files = spark.range(n).selectExpr("concat('f', id) AS path", "'.js' AS ext", "repeat('a();\n', 20) AS content")
+    out = strip.stripped_lines(files).selectExpr(
+        "path", "out_line", "orig_line", "CASE WHEN path = 'f7' AND orig_line = 3 THEN 'b' ELSE text END AS text"
+    )
+    found = verify.verify_lines(files, out, mode="prune")
+    plans = [found._jdf.queryExecution(), unlike[0]._jdf.queryExecution()]
+    assert "Broadcast" not in plans[1].executedPlan().toString()
+    for plan in plans:
+        joins = [line for line in plan.executedPlan().toString().split("\n") if "Join" in line]
+        assert [line for line in joins if "orig_line" in line.partition("[")[2].partition("]")[0] and "SortMerge" in line]
+        # either side is lexed once in a plan
+        assert plan.optimizedPlan().toString().count("Range (") == 2
+    assert [tuple(r) for r in found.collect()] == [("f7", 3, 3, "b", "a();")]
+
+
+def test_without_wrong_lines_nothing_is_read_again(spark):
+    files = spark.createDataFrame([("f", ".js", "a(); // b\n\nc();"), (None, ".js", "d();"), ("n", ".js", None)], FILES)
+    out = strip.stripped_lines(files).where("path IS NOT NULL")
+    found = verify.verify_lines(files, out, mode="prune")
+    assert found.schema.simpleString() == "struct<path:string,out_line:int,orig_line:int,text:string,source:string>"
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.collect() == []
+
+
 def test_flags_of_files_in_the_row_and_by_join(spark):
     files = spark.createDataFrame(
         [("bad", ".py", "x = 1"), ("good", ".py", "x = 1"), ("unnamed", ".py", ""), ("empty", ".py", "")], FILES
